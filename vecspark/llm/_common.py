@@ -107,25 +107,27 @@ class Hasher:
     def __init__(self, seed: int = 1):
         self.table = _table(seed)
         self.base = int(mix(np.array([seed * 77 + 5], U))[0]) & ~7 | 3
-        self.pow = np.ones(1, U)
+        self.pow = self.back = np.ones(1, U)
 
-    def powers(self, n: int) -> np.ndarray:
+    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first n powers of the base and of its inverse."""
         if len(self.pow) < n:
             size = max(n, CHUNK + 1)
-            p = np.full(size, U(self.base))
-            p[0] = 1
-            self.pow = np.cumprod(p, dtype=U)
-        return self.pow[:n]
+            for name, base in (("pow", self.base), ("back", pow(self.base, -1, 1 << 64))):
+                p = np.full(size, U(base))
+                p[0] = 1
+                setattr(self, name, np.cumprod(p, dtype=U))
+        return self.pow[:n], self.back[:n]
 
     def prefix(self, buf: np.ndarray) -> np.ndarray:
         out = np.empty(len(buf) + 1, U)
         out[0] = 0
-        np.cumsum(self.table[buf] * self.powers(len(buf)), out=out[1:])
+        np.cumsum(self.table[buf] * self.powers(len(buf))[0], out=out[1:])
         return out
 
     def ranges(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The hash of each range; empty ranges have hash mix(0)."""
-        return mix((prefix[end] - prefix[start]) * self.powers(len(prefix))[len(prefix) - 1 - start] + (end - start).astype(U))
+        """The hash of each range, wherever it lies; empty ranges have hash mix(0)."""
+        return mix((prefix[end] - prefix[start]) * self.powers(len(prefix))[1][start] + (end - start).astype(U))
 
 
 def chunks(texts: pa.Array, sep: bytes = b" ") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
