@@ -162,23 +162,27 @@ def grams(h: np.ndarray, first: np.ndarray, n: int, whole: bool = True) -> tuple
     whole: a text of fewer words, but not none, is one run.
     """
     count = np.diff(first)
-    last = np.repeat(first[1:], count)
-    at = np.arange(len(h))
-    room = last - at
-    keep = room >= n
-    if whole:
-        keep |= (at == np.repeat(first[:-1], count)) & (room < n)
     if not len(h):
         return np.empty(0, U), np.empty(0, np.int64), np.zeros(len(first), np.int64)
-    total = h * _COEF[0]
+    m = max(len(h) - n + 1, 0)
+    total = h[:m] * _COEF[0]
     for j in range(1, n):
-        part = np.zeros(len(h), U)
-        part[:-j or None] = h[j:] if j < len(h) else part[:0] if j > len(h) else h[j:]
-        part[room <= j] = 0
-        total += part * _COEF[j]
-    total += np.minimum(room, n).astype(U)
+        total += h[j : m + j] * _COEF[j]
+    total += U(n)
+    keep = np.ones(len(h), bool)
+    for j in range(1, n):  # the last n - 1 words of each text start no run
+        ends = first[1:][count >= j] - j
+        keep[ends] = False
+    total = mix(total)
+    if m < len(h):
+        total = np.concatenate([total, np.zeros(len(h) - m, U)])
+    if whole:
+        for i in np.flatnonzero((count < n) & (count > 0)).tolist():
+            a, k = int(first[i]), int(count[i])
+            total[a] = mix(np.array([sum(int(x) * int(c) for x, c in zip(h[a : a + k], _COEF, strict=False)) + k & (1 << 64) - 1], U))[0]
+            keep[a] = True
     kept = np.flatnonzero(keep)
-    return mix(total[kept]), kept, np.searchsorted(kept, first)
+    return total[kept], kept, np.searchsorted(kept, first)
 
 
 _words = Hasher(11)
