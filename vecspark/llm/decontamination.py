@@ -184,3 +184,27 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit = [_covered([(r["a"], r["b"]) for r in x]) if x else 0 for x in batch.column("ranges").to_pylist()]
         items = [sorted(x) for x in batch.column("items").to_pylist()]
         yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_words": batch.column("n_words"), "n_hit": pa.array(hit, pa.int64()), "n_items": pa.array([len(x) for x in items], pa.int64()), "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), "contaminated": pa.array([x > 0 for x in hit], pa.bool_()), "ranges": batch.column("ranges")})
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs, all columns, without documents that hold a window of the benchmark; each block of it is one step over the rows, no shuffle."""
+    sc = docs.sparkSession.sparkContext
+    for block in _blocks(benchmark):
+        bench = Benchmark(block)
+        bench.bitmap = np.zeros(1 << 20, bool)
+        bench.bitmap[(bench.prints >> U(44)).astype(np.int64)] = True
+        docs = docs.mapInArrow(_keep(sc.broadcast(bench)), docs.schema)
+    return docs
+
+
+def _keep(shared) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for lo, _, raw, off in chunks(batch.column("text")):
+                h, first = _hashed(raw, off)
+                for i, _, _ in _hits(shared.value, h, first):
+                    keep[lo + i] = False
+            yield batch.filter(pa.array(keep))
+
+    return run

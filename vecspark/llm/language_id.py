@@ -118,31 +118,38 @@ def _has_letter(text: bytes) -> bool:
     return any(c.isalpha() for c in text.decode("utf-8", "ignore"))
 
 
+def _judge(m: Model, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, number of the best language or of `und`, score, bits a byte)."""
+    letter = np.zeros(256, bool)
+    letter[ord("a") : ord("z") + 1] = letter[ord("A") : ord("Z") + 1] = True
+    for lo, hi, raw, off in chunks(texts):
+        some = np.add.reduceat(letter[raw].astype(np.int64), off[:-1]) > 0
+        for i in np.flatnonzero(~some).tolist():
+            some[i] = _has_letter(raw[off[i] : off[i + 1]].tobytes())
+        best, score, rate = np.full(hi - lo, len(m.langs)), np.zeros(hi - lo), np.zeros(hi - lo)
+        if m.langs:
+            bits = m.code_lengths(raw, off)
+            least = bits.min(axis=0)
+            score = np.where(some, 1.0 / np.exp2(np.maximum(least - bits, -1000.0)).sum(axis=0), 0.0)
+            best = np.where(some, bits.argmin(axis=0), len(m.langs))
+            rate = least / np.maximum(np.diff(off) - 1, 1)
+        yield lo, hi, best, score, rate
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score and bits_per_byte for each document, from its whole text alone.
 
     lang_pred is the language of the shortest code (ties: the first by name), score its share of all languages' likelihood.
-    A text that is null, empty or without a letter, and any text where nothing was learned, is `und` with score 0.
+    A text that is null, empty or without a letter, and any text where nothing was learned, is `und` with score 0. An empty
+    table gives no rows; repeated rows are each judged, alike; further columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        letter = np.zeros(256, bool)
-        letter[ord("a") : ord("z") + 1] = letter[ord("A") : ord("Z") + 1] = True
         names = np.array([*m.langs, "und"], object)
         for batch in batches:
-            for lo, hi, raw, off in chunks(batch.column("text")):
-                ascii_ = np.add.reduceat(letter[raw].astype(np.int64), off[:-1]) > 0
-                for i in np.flatnonzero(~ascii_).tolist():
-                    ascii_[i] = _has_letter(raw[off[i] : off[i + 1]].tobytes())
-                best, score, rate = np.full(hi - lo, len(m.langs)), np.zeros(hi - lo), np.zeros(hi - lo)
-                if m.langs:
-                    bits = m.code_lengths(raw, off)
-                    least = bits.min(axis=0)
-                    score = np.where(ascii_, 1.0 / np.exp2(np.maximum(least - bits, -1000.0)).sum(axis=0), 0.0)
-                    best = np.where(ascii_, bits.argmin(axis=0), len(m.langs))
-                    rate = least / np.maximum(np.diff(off) - 1, 1)
+            for lo, hi, best, score, rate in _judge(m, batch.column("text")):
                 yield pa.record_batch({"doc_id": batch.column("doc_id").slice(lo, hi - lo), "held_out": batch.column("held_out").slice(lo, hi - lo), "lang_pred": pa.array(names[best].tolist(), pa.string()), "score": pa.array(score, pa.float64()), "bits_per_byte": pa.array(rate, pa.float64())})
 
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
@@ -154,13 +161,13 @@ def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """docs, all columns, without those whose language can't be told (`und`)."""
+    """docs, all columns, without those whose language is judged `und`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            keep = [bool(m.langs) and t is not None and any(c.isalpha() for c in t) for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            keep = [best < len(m.langs) for _, _, best, _, _ in _judge(m, batch.column("text"))]
+            yield batch.filter(pa.array(np.concatenate([*keep, np.empty(0, bool)]), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

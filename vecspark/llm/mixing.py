@@ -64,7 +64,7 @@ def _correct(rows: DataFrame, limit: float) -> DataFrame:
     return rows.join(chosen, rows["key"] == chosen["ck"], "left").withColumn("copies", (F.col("copies") + F.coalesce("change", F.lit(0))).cast("long")).drop("ck", "change")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, keep_key: bool = False) -> DataFrame:
     """A row for each document: doc_id, source, size (words), source_size, target of its source, rate, copies and taken = copies x size.
 
     Rates are the exponential tilt of equal base rates that meets each source's target exactly; copies are the rate rounded
@@ -77,7 +77,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     base = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "text").alias("same"))
     twin = F.row_number().over(Window.partitionBy("same", "doc_id", "source", "size").orderBy(F.lit(1)))
     base = base.withColumn("twin", twin)
-    base = base.select("doc_id", "source", "size", F.xxhash64("same", "source", "twin").alias("key"), F.xxhash64(F.lit("salt"), "same", "source", "twin").alias("salt"))
+    base = base.select("doc_id", "source", "size", "same", F.xxhash64("same", "source", "twin").alias("key"), F.xxhash64(F.lit("salt"), "same", "source", "twin").alias("salt"))
     base = durable(base)
     goal = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     goal = goal.withColumn("rate", F.least(tilt(F.col("source_size").cast("double"), F.col("target")), F.lit(float(most)))).withColumnRenamed("source", "ts")
@@ -86,4 +86,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     rows = rows.withColumn("copies", (F.floor("rate") + F.when(unit < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
     for _ in range(ROUNDING_PASSES):
         rows = durable(_correct(durable(rows) if _ == 0 else rows, most))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["same"] if keep_key else []))
+
+
+def resample(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """docs, all columns, each row as often as `mix` takes it."""
+    rows = docs.withColumn("_same", F.xxhash64("doc_id", "text"))
+    taken = mix(docs, weights, share, most, keep_key=True).groupBy("doc_id", "source", "same").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("list"))
+    taken = taken.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("same").alias("_h"), "list")
+    on = rows["doc_id"].eqNullSafe(F.col("_d")) & rows["source"].eqNullSafe(F.col("_s")) & (F.col("_same") == F.col("_h"))
+    w = Window.partitionBy("doc_id", "source", "_same").orderBy(F.lit(1))
+    joined = rows.join(taken.hint("shuffle_hash"), on).withColumn("_n", F.get("list", F.row_number().over(w) - 1).cast("int"))
+    return joined.where("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
