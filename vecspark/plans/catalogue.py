@@ -1,4 +1,632 @@
 """The registered queries of the engine and the SQL that their rows are compared with."""
 
+from __future__ import annotations
+
+import json
+import tempfile
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import exprs as X
+from ..operators import hnsw, ivf, nf4, pq, quality, rq, scalar, search
+from ..schema import embeddings, stats
+from ..sources import formats, generators, ingest
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+# ---------------------------------------------------------------- SQL pieces
+
+#: The driver's vectors in double precision.
+BASE = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings)"
+UNIT = "u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM e)"
+LEVELS = ", ".join(str(x) for x in X.NF4_LEVELS)
+MIDPOINTS = ", ".join(repr(x) for x in X.NF4_MIDPOINTS)
+LONG = "x AS (SELECT vec_id, unnest(range(len(v))) AS d, unnest(v) AS x FROM e)"
+RANGES = "t AS (SELECT d, min(x) AS mn, max(x) AS mx FROM x GROUP BY d)"
+CODES = "c AS (SELECT vec_id, d, mn, mx, CASE WHEN mx <= mn THEN 0 ELSE round(least(greatest((x - mn) / (mx - mn), 0), 1) * 255) END::INT AS code FROM x JOIN t USING (d))"
+BACK = "b AS (SELECT vec_id, list(CASE WHEN mx <= mn THEN mn ELSE mn + code::DOUBLE / 255 * (mx - mn) END ORDER BY d) AS v FROM c GROUP BY vec_id)"
+NFROWS = "n AS (SELECT vec_id, v, CASE WHEN m = 0 THEN 1 ELSE m END AS scale FROM (SELECT vec_id, v, list_max(list_transform(v, lambda y: abs(y))) AS m FROM e))"
+NFCODES = f"nc AS (SELECT vec_id, scale, list_transform(v, lambda y: len(list_filter([{MIDPOINTS}], lambda t: t < y / scale))) AS codes FROM n)"
+NFBACK = f"nb AS (SELECT vec_id, list_transform(codes, lambda k: ([{LEVELS}]::DOUBLE[])[k + 1] * scale) AS v FROM nc)"
+
+
+def _top(corpus: str, queries: str, k: int) -> str:
+    """Ranked cosine between two relations (vec_id, v)."""
+    return (
+        f"SELECT qid, rn, id, round(s, 6) AS score FROM (SELECT q.vec_id AS qid, c.vec_id AS id, list_cosine_similarity(c.v, q.v) AS s, "
+        f"row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(c.v, q.v) DESC, c.vec_id) AS rn FROM {corpus} c, {queries} q WHERE q.vec_id < 10) WHERE rn <= {k}"
+    )
+
+
+def _with(*parts: str) -> str:
+    return "WITH " + ", ".join(parts) + " "
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return register
+
+
+# ---------------------------------------------------------------- inputs
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+
+
+def ten(df: DataFrame) -> DataFrame:
+    """The ten query vectors, the first by ord."""
+    return df.where("ord < 10").select(F.col("ord").cast("string").alias("qid"), "vector")
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("qid").cast("long").alias("qid"), F.col("rn").cast("long").alias("rn"), F.col("ord").alias("id"), F.round("score", 6).alias("score"))
+
+
+def pairs(df: DataFrame) -> DataFrame:
+    """Each vector beside the one that follows it by ord."""
+    b = df.select((F.col("ord") - 1).alias("ord"), F.col("vector").alias("b"))
+    return df.select("ord", F.col("vector").alias("a")).join(b, "ord")
+
+
+def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+# ---------------------------------------------------------------- exact search
+
+
+@query(_with(BASE) + _top("e", "e", 10))
+def topk_batch_exact(spark, sf):
+    df = corpus(spark, sf)
+    return shown(search.batch_top_k(df, ten(df), 10))
+
+
+@query(_with(BASE) + _top("e", "e", 10))
+def topk_batch_relational(spark, sf):
+    df = corpus(spark, sf)
+    return shown(search.batch_top_k_sql(df, ten(df), 10))
+
+
+@query(_with(BASE) + "SELECT c.vec_id AS id, round(list_cosine_similarity(c.v, q.v), 6) AS score FROM e c, e q WHERE q.vec_id = 0 ORDER BY list_cosine_similarity(c.v, q.v) DESC, c.vec_id LIMIT 10")
+def topk_single_exact(spark, sf):
+    df = corpus(spark, sf)
+    q = df.where("ord = 0").first().vector
+    return search.top_k(df, q, 10).select(F.col("ord").alias("id"), F.round("score", 6).alias("score"))
+
+
+NAIVE_ROWS = [(0, "a", [1.0, 0.0]), (1, "zero", [0.0, 0.0]), (2, "long", [1.0, 2.0, 3.0]), (3, "b", [0.6, 0.8]), (4, "a2", [2.0, 0.0])]
+
+
+@query("SELECT * FROM (VALUES (1, 'a', 1.0::DOUBLE), (2, 'a2', 1.0), (3, 'b', 0.6), (4, 'zero', -1.0), (5, 'long', -1.0)) t(rn, id, score)")
+def topk_naive_edges(spark, sf):
+    df = _values(spark, NAIVE_ROWS, "ord long, id string, vector array<float>")
+    got = search.batch_top_k(df, _values(spark, [("q", [1.0, 0.0])], "qid string, vector array<float>"), 10, naive=True)
+    return got.select("rn", "id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT * FROM (VALUES ('ok', 4::BIGINT)) t(qid, n)")
+def topk_index_edges(spark, sf):
+    df = _values(spark, [r for r in NAIVE_ROWS if len(r[2]) == 2], "ord long, id string, vector array<float>")
+    q = _values(spark, [("ok", [0.5, 0.5]), ("zero", [0.0, 0.0]), ("long", [1.0, 2.0, 3.0])], "qid string, vector array<float>")
+    return search.batch_top_k(df, q, 10).groupBy("qid").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- expressions
+
+PAIRS = _with(BASE, "p AS (SELECT a.vec_id AS id, a.v AS a, b.v AS b FROM e a JOIN e b ON b.vec_id = a.vec_id + 1)")
+
+
+@query(PAIRS + "SELECT id, round(list_cosine_similarity(a, b), 6) AS cosine FROM p")
+def cosine_pairs(spark, sf):
+    return pairs(corpus(spark, sf)).select(F.col("ord").alias("id"), F.round(X.cosine("a", "b"), 6).alias("cosine"))
+
+
+@query(PAIRS + "SELECT id, round(list_inner_product(a, b), 6) AS dot FROM p")
+def dot_pairs(spark, sf):
+    return pairs(corpus(spark, sf)).select(F.col("ord").alias("id"), F.round(X.dot("a", "b"), 6).alias("dot"))
+
+
+@query(PAIRS + "SELECT id, round(list_distance(a, b) * list_distance(a, b), 6) AS l2sq FROM p")
+def l2_distance_pairs(spark, sf):
+    return pairs(corpus(spark, sf)).select(F.col("ord").alias("id"), F.round(X.l2sq("a", "b"), 6).alias("l2sq"))
+
+
+@query(_with(BASE) + "SELECT vec_id AS id, round(sqrt(list_inner_product(v, v)), 6) AS norm FROM e")
+def l2_norms(spark, sf):
+    return corpus(spark, sf).select(F.col("ord").alias("id"), F.round(X.l2_norm("vector"), 6).alias("norm"))
+
+
+@query(_with(BASE, UNIT) + "SELECT vec_id AS id, unnest(range(len(v)))::INT AS d, round(unnest(v), 6) AS x FROM u")
+def normalize_exploded(spark, sf):
+    return corpus(spark, sf).select(F.col("ord").alias("id"), F.posexplode(X.normalize("vector")).alias("d", "x")).withColumn("x", F.round("x", 6))
+
+
+EDGES = [(0, [1.0, 0.0], [0.0, 0.0]), (1, [1.0, 0.0], [1.0]), (2, [0.0, 0.0], [0.0, 0.0]), (3, [3.0, 4.0], [3.0, 4.0]), (4, [1.0, 0.0], [-2.0, 0.0])]
+
+
+@query("SELECT * FROM (VALUES (0, -1.0::DOUBLE), (1, -1.0), (2, -1.0), (3, 1.0), (4, -1.0)) t(id, cosine)")
+def cosine_edge_cases(spark, sf):
+    return _values(spark, EDGES, "id int, a array<float>, b array<float>").select("id", F.round(X.cosine("a", "b"), 6).alias("cosine"))
+
+
+@query("SELECT * FROM (VALUES (0, 0.0::DOUBLE), (2, 0.0), (3, 1.0), (4, -1.0)) t(id, cosine)")
+def cosine_wasm_variant(spark, sf):
+    rows = [r for r in EDGES if len(r[1]) == len(r[2])]
+    return _values(spark, rows, "id int, a array<float>, b array<float>").select("id", F.round(X.cosine("a", "b", on_zero="zero", on_mismatch="error", clamp=True), 6).alias("cosine"))
+
+
+@query(PAIRS + "SELECT id, round(list_cosine_similarity(a, b), 6) AS cosine, round(list_inner_product(a, b), 6) AS dot FROM p")
+def sql_functions(spark, sf):
+    X.register_sql_functions(spark)
+    return pairs(corpus(spark, sf)).selectExpr("ord AS id", "round(vec_cosine(a, b), 6) AS cosine", "round(vec_dot(a, b), 6) AS dot")
+
+
+@query(_with(BASE) + "SELECT e.vec_id AS id, arg_min(c.vec_id, (list_distance(e.v, c.v), c.vec_id))::INT AS nearest FROM e, e c WHERE c.vec_id < 8 GROUP BY e.vec_id")
+def nearest_centroid(spark, sf):
+    df = corpus(spark, sf)
+    centres = F.array(*[F.array(*[F.lit(float(x)) for x in r.vector]) for r in df.where("ord < 8").orderBy("ord").collect()])
+    return df.select(F.col("ord").alias("id"), X.nearest(F.col("vector"), centres).alias("nearest"))
+
+
+# ---------------------------------------------------------------- scalar codec
+
+
+@query(_with(BASE, LONG) + "SELECT d::INT AS d, round(min(x), 6) AS mn, round(max(x), 6) AS mx FROM x GROUP BY d")
+def quant_tables(spark, sf):
+    return scalar.fit(corpus(spark, sf)).select("d", F.round(F.col("mn").cast("double"), 6).alias("mn"), F.round(F.col("mx").cast("double"), 6).alias("mx"))
+
+
+def _coded(spark, sf):
+    df = corpus(spark, sf)
+    ranges = scalar.fit_arrays(df)
+    return df, ranges, scalar.encode(df, ranges)
+
+
+@query(_with(BASE, LONG, RANGES, CODES) + "SELECT vec_id AS id, d::INT AS d, code FROM c")
+def scalar_codes(spark, sf):
+    _, _, codes = _coded(spark, sf)
+    return codes.select(F.col("ord").alias("id"), F.posexplode("codes").alias("d", "code"))
+
+
+@query(_with(BASE, LONG, RANGES, CODES, BACK) + "SELECT vec_id AS id, unnest(range(len(v)))::INT AS d, round(unnest(v), 6) AS x FROM b")
+def scalar_decoded(spark, sf):
+    _, ranges, codes = _coded(spark, sf)
+    stored = scalar.from_bytes(scalar.to_bytes(codes))
+    return scalar.decode(stored, ranges).select(F.col("ord").alias("id"), F.posexplode("vector").alias("d", "x")).withColumn("x", F.round("x", 6))
+
+
+@query(
+    _with(BASE, LONG, "f AS (SELECT vec_id, d, CASE WHEN d = 3 THEN 0.5 ELSE x END AS x FROM x)", "t AS (SELECT d, min(x) AS mn, max(x) AS mx FROM f GROUP BY d)")
+    + "SELECT vec_id AS id, d::INT AS d, CASE WHEN abs(mx - mn) < 1e-12 THEN 128 ELSE round(least(greatest((x - mn) / (mx - mn), 0), 1) * 255) END::INT AS code FROM f JOIN t USING (d)"
+)
+def scalar_batch_const128(spark, sf):
+    df = corpus(spark, sf).withColumn("vector", F.transform("vector", lambda x, i: F.when(i == 3, F.lit(0.5).cast("float")).otherwise(x)))
+    return scalar.byte_codes(df, scalar.fit_arrays(df)).select(F.col("ord").alias("id"), F.posexplode("codes").alias("d", "code"))
+
+
+SCALAR = _with(BASE, LONG, RANGES, CODES, BACK)
+
+
+@query(SCALAR + _top("b", "e", 10))
+def scalar_topk(spark, sf):
+    df, ranges, codes = _coded(spark, sf)
+    return shown(scalar.batch_top_k(codes, ranges, ten(df), 10))
+
+
+@query(SCALAR + _top("b", "e", 10))
+def scalar_topk_cached(spark, sf):
+    df, ranges, codes = _coded(spark, sf)
+    return shown(scalar.batch_top_k(codes, ranges, ten(df), 10, cached=True))
+
+
+@query(SCALAR + "SELECT round(avg(list_cosine_similarity(e.v, b.v)), 6) AS mean_cosine FROM e JOIN b USING (vec_id)")
+def scalar_mean_cosine(spark, sf):
+    return quality.scalar_mean_cosine(corpus(spark, sf)).select(F.round("mean_cosine", 6).alias("mean_cosine"))
+
+
+@query(
+    _with(BASE, "i AS (SELECT vec_id, v, list_max(list_transform(v, lambda y: abs(y))) / 127 AS s FROM e)", "j AS (SELECT v, list_transform(v, lambda y: least(127, greatest(-127, round(y / s))) * s) AS w FROM i)")
+    + "SELECT round(avg(list_cosine_similarity(v, w)), 6) AS mean_cosine FROM j"
+)
+def int8_mean_cosine(spark, sf):
+    return quality.int8_mean_cosine(corpus(spark, sf)).select(F.round("mean_cosine", 6).alias("mean_cosine"))
+
+
+# ---------------------------------------------------------------- 4-bit codec
+
+
+@query(_with(BASE, NFROWS) + "SELECT vec_id AS id, round(scale, 6) AS scale FROM n")
+def nf4_scales(spark, sf):
+    return nf4.encode(corpus(spark, sf)).select(F.col("ord").alias("id"), F.round("scale", 6).alias("scale"))
+
+
+@query(_with(BASE, NFROWS, NFCODES) + "SELECT vec_id AS id, unnest(range(len(codes)))::INT AS d, unnest(codes)::INT AS code FROM nc")
+def nf4_codes(spark, sf):
+    return nf4.encode(corpus(spark, sf)).select(F.col("ord").alias("id"), F.posexplode("codes").alias("d", "code"))
+
+
+@query(_with(BASE, NFROWS, NFCODES) + "SELECT vec_id AS id, unnest(range(len(codes) // 2))::INT AS i, unnest(list_transform(range(len(codes) // 2), lambda k: codes[2 * k + 1] + 16 * codes[2 * k + 2]))::INT AS byte FROM nc")
+def nf4_packed(spark, sf):
+    return nf4.encode(corpus(spark, sf)).select(F.col("ord").alias("id"), F.posexplode(X.nf4_pack("codes")).alias("i", "byte"))
+
+
+@query(_with(BASE, NFROWS, NFCODES, NFBACK) + "SELECT vec_id AS id, unnest(range(len(v)))::INT AS d, round(unnest(v), 5) AS x FROM nb")
+def nf4_decoded(spark, sf):
+    return nf4.decode(nf4.encode(corpus(spark, sf))).select(F.col("ord").alias("id"), F.posexplode("vector").alias("d", "x")).withColumn("x", F.round("x", 5))
+
+
+@query(_with(BASE, NFROWS, NFCODES, NFBACK) + "SELECT round(avg(list_cosine_similarity(e.v, nb.v)), 6) AS mean_cosine FROM e JOIN nb USING (vec_id)")
+def nf4_mean_cosine(spark, sf):
+    return nf4.mean_cosine(corpus(spark, sf)).select(F.round("mean_cosine", 6).alias("mean_cosine"))
+
+
+@query(_with(BASE, NFROWS, NFCODES, NFBACK) + _top("nb", "e", 10))
+def nf4_topk(spark, sf):
+    df = corpus(spark, sf)
+    return shown(nf4.batch_top_k(nf4.encode(df), ten(df), 10))
+
+
+# ---------------------------------------------------------------- product quantisation
+
+#: Codebooks of 16 rows in 8 subspaces: rows i * n / 16 as they are (i0), or after one step (i1).
+PQ_BASE = (
+    BASE, UNIT, "w AS (SELECT count(*) AS n FROM e)", "s AS (SELECT vec_id, unnest(range(8)) AS s, unnest(list_transform(range(8), lambda j: v[j * 8 + 1 : j * 8 + 8])) AS p FROM u)",
+    "k0 AS (SELECT s, c, p AS centroid FROM (SELECT c, c * n // 16 AS row FROM w, (SELECT unnest(range(16)) AS c)) JOIN s ON s.vec_id = row)",
+    "a0 AS (SELECT s.vec_id, s.s, arg_min(c, (list_distance(p, centroid), c)) AS code, first(p) AS p FROM s JOIN k0 ON s.s = k0.s GROUP BY s.vec_id, s.s)",
+)
+PQ_STEP = (
+    "z AS (SELECT s, code AS c, d, avg(x) AS x FROM (SELECT s, code, unnest(range(8)) AS d, unnest(p) AS x FROM a0) GROUP BY s, code, d)",
+    "z2 AS (SELECT s, c, list(x ORDER BY d) AS m FROM z GROUP BY s, c)",
+    "k1 AS (SELECT s, c, list_transform(m, lambda y: y / sqrt(list_inner_product(m, m))) AS centroid FROM z2)",
+    "a1 AS (SELECT s.vec_id, s.s, arg_min(c, (list_distance(p, centroid), c)) AS code FROM s JOIN k1 ON s.s = k1.s GROUP BY s.vec_id, s.s)",
+)
+PQ_BACK = "r AS (SELECT vec_id, list_transform(range(64), lambda i: l[i // 8 + 1][i % 8 + 1]) AS v FROM (SELECT vec_id, list(centroid ORDER BY a0.s) AS l FROM a0 JOIN k0 ON a0.s = k0.s AND a0.code = k0.c GROUP BY vec_id))"
+
+
+def _pq(spark, sf, iterations, k=16):
+    df = corpus(spark, sf)
+    model = pq.train(df, 8, k, iterations)
+    return df, model, model.encode(df)
+
+
+def _pq_codes(codes: DataFrame) -> DataFrame:
+    return codes.select(F.col("ord").alias("id"), F.posexplode(F.transform(F.sequence(F.lit(0), F.octet_length("code") - 1), lambda i: F.conv(F.substring(F.hex("code"), (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int"))).alias("s", "code"))
+
+
+@query(_with(*PQ_BASE) + "SELECT s::INT AS s, c::INT AS c, unnest(range(8))::INT AS d, round(unnest(centroid), 6) AS x FROM k0")
+def pq_codebook_i0(spark, sf):
+    _, model, _ = _pq(spark, sf, 0)
+    return model.codebook(spark).select("s", "c", F.posexplode("centroid").alias("d", "x")).withColumn("x", F.round("x", 6))
+
+
+@query(_with(*PQ_BASE) + "SELECT vec_id AS id, s::INT AS s, code::INT AS code FROM a0")
+def pq_codes_i0(spark, sf):
+    return _pq_codes(_pq(spark, sf, 0)[2])
+
+
+@query(_with(*PQ_BASE, *PQ_STEP) + "SELECT vec_id AS id, s::INT AS s, code::INT AS code FROM a1")
+def pq_codes_i1(spark, sf):
+    return _pq_codes(_pq(spark, sf, 1)[2])
+
+
+@query(_with(*PQ_BASE, PQ_BACK) + "SELECT vec_id AS id, unnest(range(64))::INT AS d, round(unnest(v), 6) AS x FROM r")
+def pq_decoded_i0(spark, sf):
+    _, model, codes = _pq(spark, sf, 0)
+    return model.decode(codes).select(F.col("ord").alias("id"), F.posexplode("vector").alias("d", "x")).withColumn("x", F.round("x", 6))
+
+
+ADC = "SELECT qid, rn, id, round(s, 6) AS score FROM (SELECT q.vec_id AS qid, r.vec_id AS id, list_inner_product(r.v, q.v) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(r.v, q.v), 12) DESC, r.vec_id) AS rn FROM r, u q WHERE q.vec_id < 10) WHERE rn <= 10"
+
+
+@query(_with(*PQ_BASE, PQ_BACK) + ADC)
+def pq_adc_topk_i0(spark, sf):
+    df, model, codes = _pq(spark, sf, 0)
+    return shown(model.batch_top_k(codes, ten(df), 10))
+
+
+@query()
+def pq_codes_full(spark, sf):
+    return _pq_codes(_pq(spark, sf, 25, 256)[2])
+
+
+@query()
+def pq_adc_topk_full(spark, sf):
+    df, model, codes = _pq(spark, sf, 25, 256)
+    return shown(model.batch_top_k(codes, ten(df), 10))
+
+
+# ---------------------------------------------------------------- residual quantisation
+
+#: Two passes of the first 16 rows in 8 subspaces, untrained.
+RQ_BASE = (
+    BASE, "s AS (SELECT vec_id, unnest(range(8)) AS s, unnest(list_transform(range(8), lambda j: v[j * 8 + 1 : j * 8 + 8])) AS p FROM e)",
+    "k0 AS (SELECT s, vec_id AS c, p AS centroid FROM s WHERE vec_id < 16)",
+    "a0 AS (SELECT s.vec_id, s.s, arg_min(c, (list_distance(p, centroid), c)) AS code, arg_min(centroid, (list_distance(p, centroid), c)) AS q, first(p) AS p FROM s JOIN k0 ON s.s = k0.s GROUP BY s.vec_id, s.s)",
+    "s1 AS (SELECT vec_id, s, list_transform(range(8), lambda i: p[i + 1] - q[i + 1]) AS p FROM a0)",
+    "k1 AS (SELECT s, vec_id AS c, p AS centroid FROM s1 WHERE vec_id < 16)",
+    "a1 AS (SELECT s1.vec_id, s1.s, arg_min(c, (round(list_distance(p, centroid), 12), c)) AS code, arg_min(centroid, (round(list_distance(p, centroid), 12), c)) AS q FROM s1 JOIN k1 ON s1.s = k1.s GROUP BY s1.vec_id, s1.s)",
+    "r AS (SELECT vec_id, list_transform(range(64), lambda i: a[i // 8 + 1][i % 8 + 1] + b[i // 8 + 1][i % 8 + 1]) AS v FROM (SELECT a0.vec_id, list(a0.q ORDER BY a0.s) AS a, list(a1.q ORDER BY a0.s) AS b FROM a0 JOIN a1 ON a0.vec_id = a1.vec_id AND a0.s = a1.s GROUP BY a0.vec_id))",
+)
+
+
+def _rq(spark, sf, iterations, k=16):
+    df = corpus(spark, sf)
+    model = rq.train(df, 2, 8, k, iterations)
+    return df, model, model.encode(df)
+
+
+def _rq_codes(codes: DataFrame) -> DataFrame:
+    one = codes.select(F.col("ord").alias("id"), F.posexplode("codes").alias("p", "code"))
+    return one.select("id", "p", F.posexplode(F.transform(F.sequence(F.lit(0), F.octet_length("code") - 1), lambda i: F.conv(F.substring(F.hex("code"), (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int"))).alias("s", "code"))
+
+
+@query(_with(*RQ_BASE) + "SELECT vec_id AS id, 0 AS p, s::INT AS s, code::INT AS code FROM a0 UNION ALL SELECT vec_id, 1, s::INT, code::INT FROM a1")
+def rq_codes_i0(spark, sf):
+    return _rq_codes(_rq(spark, sf, 0)[2])
+
+
+@query(_with(*RQ_BASE) + "SELECT vec_id AS id, unnest(range(64))::INT AS d, round(unnest(v), 5) AS x FROM r")
+def rq_decoded_i0(spark, sf):
+    _, model, codes = _rq(spark, sf, 0)
+    return model.decode(codes).select(F.col("ord").alias("id"), F.posexplode("vector").alias("d", "x")).withColumn("x", F.round("x", 5))
+
+
+@query(_with(*RQ_BASE) + "SELECT round(avg(list_cosine_similarity(e.v, r.v)), 6) AS mean_cosine FROM e JOIN r USING (vec_id)")
+def rq_mean_cosine_i0(spark, sf):
+    df, model, _ = _rq(spark, sf, 0)
+    return model.mean_cosine(df).select(F.round("mean_cosine", 6).alias("mean_cosine"))
+
+
+@query()
+def rq_codes_full(spark, sf):
+    return _rq_codes(_rq(spark, sf, 15, 256)[2])
+
+
+# ---------------------------------------------------------------- statistics, choice, quality
+
+
+@query(_with(BASE, LONG) + "SELECT d::INT AS d, round(kurtosis_pop(x), 6) AS kurtosis FROM x GROUP BY d")
+def kurtosis_by_dim(spark, sf):
+    return quality.kurtosis_by_dim(corpus(spark, sf)).select("d", F.round("kurtosis", 6).alias("kurtosis"))
+
+
+@query(_with(BASE, LONG) + "SELECT round(avg(k), 6) AS kurtosis, CASE WHEN avg(k) > 4 THEN 'pq' ELSE 'nf4' END AS first_choice FROM (SELECT kurtosis_pop(x) AS k, var_pop(x) AS v FROM x GROUP BY d) WHERE v >= 1e-10")
+def kurtosis_route(spark, sf):
+    k = quality.mean_kurtosis(corpus(spark, sf))
+    return k.select(F.round("kurtosis", 6).alias("kurtosis"), F.when(F.col("kurtosis") > 4, "pq").otherwise("nf4").alias("first_choice"))
+
+
+@query("SELECT d, round(4.0 * d / (ceil(d / 2) + 4), 6)::DOUBLE AS nf4, round(4.0 * d / 8, 6)::DOUBLE AS pq, round(4.0 * (ceil(d / 8) * 8) / 16, 6)::DOUBLE AS rq, 4.0::DOUBLE AS scalar FROM (VALUES (64), (127), (128), (512), (768)) t(d)")
+def compression_ratios(spark, sf):
+    rows = [(d, round(nf4.compression_ratio(d), 6), round(pq.ProductQuantizer(np.zeros((8, 1, 1)), d).compression_ratio(), 6), round(rq.ResidualQuantizer([np.zeros((8, 1, 1))] * 2, 8, -(-d // 8) * 8, d).compression_ratio(), 6), scalar.COMPRESSION_RATIO) for d in (64, 127, 128, 512, 768)]
+    return _values(spark, rows, "d int, nf4 double, pq double, rq double, scalar double")
+
+
+@query()
+def auto_select(spark, sf):
+    c = quality.auto_select(corpus(spark, sf))
+    return _values(spark, [(c.format, float(c.cosine), float(c.ratio), json.dumps(c.params))], "format string, cosine double, ratio double, params string")
+
+
+EXACT = "exact AS (" + _top("e", "e", 10) + ")"
+
+
+def _recall(approx: str) -> str:
+    return f", {EXACT}, approx AS ({approx}) SELECT qid, round(count(a.id) / 10.0, 6)::DOUBLE AS recall FROM exact LEFT JOIN approx a USING (qid, id) GROUP BY qid"
+
+
+def _recall_rows(spark, sf, approx: DataFrame, df: DataFrame) -> DataFrame:
+    exact = search.batch_top_k(df, ten(df), 10)
+    return quality.recall_at_k(exact, approx, 10).select(F.col("qid").cast("long").alias("qid"), F.round("recall", 6).alias("recall"))
+
+
+@query(SCALAR.rstrip() + _recall(_top("b", "e", 10)))
+def recall_scalar(spark, sf):
+    df, ranges, codes = _coded(spark, sf)
+    return _recall_rows(spark, sf, scalar.batch_top_k(codes, ranges, ten(df), 10), df)
+
+
+@query(_with(BASE, NFROWS, NFCODES, NFBACK).rstrip() + _recall(_top("nb", "e", 10)))
+def recall_nf4(spark, sf):
+    df = corpus(spark, sf)
+    return _recall_rows(spark, sf, nf4.batch_top_k(nf4.encode(df), ten(df), 10), df)
+
+
+@query(_with(*PQ_BASE, PQ_BACK).rstrip() + _recall(ADC))
+def recall_pq_i0(spark, sf):
+    df, model, codes = _pq(spark, sf, 0)
+    return _recall_rows(spark, sf, model.batch_top_k(codes, ten(df), 10), df)
+
+
+def _shards(df: DataFrame) -> int:
+    """A few thousand rows a shard."""
+    return max(1, -(-df.count() // 2048))
+
+
+@query()
+def hnsw_topk(spark, sf):
+    df = corpus(spark, sf)
+    return shown(hnsw.batch_top_k(hnsw.build(df, _shards(df)), ten(df), 10))
+
+
+@query()
+def recall_hnsw(spark, sf):
+    df = corpus(spark, sf)
+    return _recall_rows(spark, sf, hnsw.batch_top_k(hnsw.build(df, _shards(df)), ten(df), 10), df)
+
+
+@query()
+def recall_ivf(spark, sf):
+    df = corpus(spark, sf)
+    return _recall_rows(spark, sf, ivf.build(df, 16).batch_top_k(ten(df), 10, 12), df)
+
+
+@query(
+    SCALAR.rstrip() + ", s AS (SELECT q.vec_id, max(list_cosine_similarity(b.v, q.v)) AS s FROM b, e q GROUP BY q.vec_id) SELECT round(avg(s), 5) AS average_similarity, round(greatest(max(s), 0), 5) AS max_similarity, round(least(min(s), 1), 5) AS min_similarity, "
+    "count(*) AS samples_analyzed, 4.0::DOUBLE AS compression_ratio, 75.0::DOUBLE AS memory_savings_percent, CASE WHEN avg(s) >= 0.99 THEN 'A+' WHEN avg(s) >= 0.95 THEN 'A' WHEN avg(s) >= 0.9 THEN 'B' WHEN avg(s) >= 0.85 THEN 'C' ELSE 'D' END AS quality_grade FROM s"
+)
+def quality_report(spark, sf):
+    df, ranges, codes = _coded(spark, sf)
+    r = quality.quality_report(df, codes, ranges, 1 << 30)
+    return r.select(*[F.round(c, 5).alias(c) for c in ("average_similarity", "max_similarity", "min_similarity")], "samples_analyzed", "compression_ratio", "memory_savings_percent", "quality_grade")
+
+
+@query("SELECT count(*) AS count, 64 AS dimensions, min(len(embedding))::INT AS min_dim, max(len(embedding))::INT AS max_dim, 0::BIGINT AS nan_rows FROM embeddings")
+def dataset_stats(spark, sf):
+    return stats(corpus(spark, sf))
+
+
+@query("SELECT (min(len(embedding)) = max(len(embedding))) AS uniform, max(len(embedding))::INT AS dim FROM embeddings")
+def dim_validation(spark, sf):
+    return stats(corpus(spark, sf)).select((F.col("min_dim") == F.col("max_dim")).alias("uniform"), F.col("max_dim").alias("dim"))
+
+
+@query("SELECT * FROM (VALUES ('q', 0.6::DOUBLE)) t(qid, recall)")
+def recall_fixture(spark, sf):
+    exact = _values(spark, [("q", i, c) for i, c in enumerate("abcde", 1)], "qid string, rn int, id string")
+    approx = _values(spark, [("q", i, c) for i, c in enumerate("acefg", 1)], "qid string, rn int, id string")
+    return quality.recall_at_k(exact, approx, 5)
+
+
+@query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+def label_counts(spark, sf):
+    return spark.read.parquet(f"{sf}/embeddings.parquet").groupBy("label").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- sources and formats
+
+SAME = "SELECT vec_id AS id, unnest(range(len(embedding)))::INT AS d, round(unnest(embedding)::DOUBLE, 5) AS x FROM embeddings"
+
+
+def _lines(df: DataFrame, form) -> DataFrame:
+    text = F.transform("vector", lambda x: x.cast("string"))
+    return df.select("ord", form(F.col("id"), text).alias("line"))
+
+
+def _exploded(parsed: DataFrame) -> DataFrame:
+    return parsed.select(F.col("id").cast("long").alias("id"), F.posexplode("vector").alias("d", "x")).withColumn("x", F.round(F.col("x").cast("double"), 5))
+
+
+@query(SAME)
+def ingest_jsonl(spark, sf):
+    form = lambda i, v: F.concat(F.lit('{"id":"'), i, F.lit('","vector":['), F.array_join(v, ","), F.lit("]}"))
+    return _exploded(ingest.parse_lines(_lines(corpus(spark, sf), form)))
+
+
+@query(SAME)
+def ingest_csv(spark, sf):
+    return _exploded(ingest.parse_lines(_lines(corpus(spark, sf), lambda i, v: F.concat_ws(",", i, F.array_join(v, ",")))))
+
+
+@query(SAME)
+def ingest_words(spark, sf):
+    return _exploded(ingest.parse_words(_lines(corpus(spark, sf), lambda i, v: F.concat_ws(" ", i, F.array_join(v, " ")))))
+
+
+MALFORMED = ['{"id":"one","vector":[1.0,"x",2]}', "", "invalid json line", "two,3.0,bad,4.0", "three,none", '{"id":7,"vector":[1]}', '{"id":"four","vector":[]}', "  five,5.5  "]
+
+
+@query("SELECT * FROM (VALUES ('one', 2, 3.0::DOUBLE), ('two', 2, 7.0), ('four', 0, 0.0), ('five', 1, 5.5)) t(id, n, total)")
+def ingest_malformed(spark, sf):
+    rows = _values(spark, list(enumerate(MALFORMED)), "ord long, line string")
+    return ingest.parse_lines(rows).select("id", F.size("vector").alias("n"), F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")).alias("total"))
+
+
+@query("SELECT * FROM (VALUES ('', 0, 0.0::DOUBLE), ('1.0', 1, 1.0), ('1.0, 2.0 , 3.0', 3, 6.0), ('1.0,invalid,3.0', 2, 4.0), ('-1.5,0.0,2.5', 3, 1.0)) t(q, n, total)")
+def parse_query_string(spark, sf):
+    rows = _values(spark, [("",), ("1.0",), ("1.0, 2.0 , 3.0",), ("1.0,invalid,3.0",), ("-1.5,0.0,2.5",)], "q string")
+    v = ingest.parse_query(F.col("q"))
+    return rows.select("q", F.size(v).alias("n"), F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double")).alias("total"))
+
+
+@query("SELECT * FROM (VALUES ('a', 2, 3.0::DOUBLE), ('?', 3, 1.5)) t(qid, n, total)")
+def ingest_queries(spark, sf):
+    rows = _values(spark, [(0, '{"id":"a","vector":[1,2]}'), (1, ""), (2, '{"vector":[1.5,"x",null]}')], "ord long, line string")
+    return ingest.parse_queries(rows).select("qid", F.size("vector").alias("n"), F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")).alias("total"))
+
+
+def _round_trip(spark, rows: DataFrame, kind: str, model=None, dim: int = 0) -> DataFrame:
+    path = f"{tempfile.mkdtemp(prefix='vecspark-')}/data.bin"
+    formats.write_file(rows, path, kind, model, dim)
+    with open(path, "rb") as f:
+        back = [(name, [float(x) for x in v]) for name, v in formats.decode_file(f.read())]
+    return _exploded(_values(spark, back, "id string, vector array<float>"))
+
+
+@query(SAME)
+def format_roundtrip_stream(spark, sf):
+    return _round_trip(spark, corpus(spark, sf), "stream")
+
+
+@query(_with(BASE, LONG, RANGES, CODES, BACK) + "SELECT vec_id AS id, unnest(range(len(v)))::INT AS d, round(unnest(v)::FLOAT::DOUBLE, 5) AS x FROM b")
+def format_roundtrip_qstream(spark, sf):
+    df, ranges, codes = _coded(spark, sf)
+    return _round_trip(spark, scalar.to_bytes(codes), "scalar", np.stack(ranges, axis=1), len(ranges[0]))
+
+
+@query(_with(BASE, NFROWS, NFCODES, f"fb AS (SELECT vec_id, list_transform(codes, lambda k: ([{LEVELS}]::FLOAT[])[k + 1] * scale::FLOAT) AS v FROM nc)") + "SELECT vec_id AS id, unnest(range(len(v)))::INT AS d, round(unnest(v)::DOUBLE, 5) AS x FROM fb")
+def format_roundtrip_nf4(spark, sf):
+    stored = nf4.pack(nf4.encode(corpus(spark, sf)))
+    return _round_trip(spark, stored, "nf4", None, 64)
+
+
+@query(_with(*PQ_BASE, PQ_BACK) + "SELECT vec_id AS id, unnest(range(64))::INT AS d, round(unnest(v)::FLOAT::DOUBLE, 5) AS x FROM r")
+def format_roundtrip_pq(spark, sf):
+    _, model, codes = _pq(spark, sf, 0)
+    return _round_trip(spark, codes, "pq", model)
+
+
+@query(_with(*RQ_BASE) + "SELECT vec_id AS id, unnest(range(64))::INT AS d, round(unnest(v)::FLOAT::DOUBLE, 5) AS x FROM r")
+def format_roundtrip_rq(spark, sf):
+    _, model, codes = _rq(spark, sf, 0)
+    return _round_trip(spark, codes, "rq", model)
+
+
+# ---------------------------------------------------------------- pipeline, generators
+
+
+@query()
+def pipeline_json(spark, sf):
+    from .workflow import compress, search_lines
+
+    df = corpus(spark, sf)
+    decoded = compress(df, "nf4").decoded
+    return search_lines(hnsw.build(decoded, _shards(df)), ten(df), 10)
+
+
+@query()
+def generator_random(spark, sf):
+    return generators.random_unit(spark, 200, 32).select("ord", "id", F.round(X.l2_norm("vector"), 5).alias("norm"))
+
+
+@query()
+def generator_themed(spark, sf):
+    return generators.themed(spark, "mixed", 360, 32).select("ord", "id", F.round(X.l2_norm("vector"), 5).alias("norm"))
+
+
+@query()
+def generator_xorshift(spark, sf):
+    return generators.xorshift_cube(spark, 100, 16).select("ord", "id", F.posexplode("vector").alias("d", "x"))
+
+
+@query(
+    _with(BASE, "t AS (" + _top("e", "e", 11) + ")", "l AS (SELECT qid, label, count(*) AS n, row_number() OVER (PARTITION BY qid ORDER BY count(*) DESC, label) AS r FROM t JOIN e ON e.vec_id = t.id WHERE t.rn > 1 GROUP BY qid, label)")
+    + "SELECT qid, label, n FROM l WHERE r = 1"
+)
+def topk_by_label_majority(spark, sf):
+    """An extra: the most frequent label among the ten nearest others."""
+    df = corpus(spark, sf)
+    labels = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("ord"), "label")
+    near = search.batch_top_k(df, ten(df), 11).where("rn > 1").join(labels, "ord")
+    counts = near.groupBy("qid", "label").agg(F.count("*").alias("n"))
+    first = counts.groupBy("qid").agg(F.max_by(F.struct("label", "n"), F.struct("n", -F.col("label"))).alias("b"))
+    return first.select(F.col("qid").cast("long").alias("qid"), "b.label", "b.n")
