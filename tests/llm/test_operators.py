@@ -187,10 +187,8 @@ def test_line_dedup(docs, spark):
     assert line_dedup.dedup_lines(edge.empty(spark)).count() == 0
 
 
-def test_line_dedup_with_full_filters(docs, monkeypatch):
-    monkeypatch.setattr(line_dedup, "BITS", 1 << 17)
-    monkeypatch.setattr(line_dedup, "BLOCK", 1 << 10)
-    got = by(line_dedup.dedup_lines(docs, with_text=False))
+def test_line_dedup_with_full_filters(docs):
+    got = by(line_dedup.dedup_lines(docs, with_text=False, bits=8 * line_dedup.BLOCK))
     assert {d: (r.n_lines, r.n_dropped, r.kept_sha256) for d, r in got.items()} == edge.lines(texts())
 
 
@@ -374,7 +372,6 @@ def test_winnowing_misses_no_window():
         item = [rng.choice("abc") for _ in range(12)]
         text = [rng.choice("abcd") for _ in range(30)] + item[:10] + [rng.choice("abcd") for _ in range(rng.randrange(9))]
         bench = decontamination.Benchmark([("i", " ".join(item))])
-        bench.bitmap = np.ones(1 << 20, bool)
         for _, _, raw, off in chunks(pa.array([" ".join(text)])):
             h, first = decontamination._hashed(raw, off)
             assert any(set(range(30, 40)) <= {k for a, b in r for k in range(a, b)} for _, r, _ in decontamination._hits(bench, h, first))

@@ -45,29 +45,34 @@ def _selected(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Benchmark:
-    """A block of items: fingerprints with their places, window hashes with the items that have them, and short items by length."""
+    """A block of items in arrays: selected 5-grams, and for each window length the windows' hashes with the numbers of their items."""
 
     def __init__(self, items: list[tuple[str | None, str | None]]):
-        texts = pa.array([t or "" for _, t in items], pa.string())
-        windows: dict[int, set] = {}
-        short: dict[int, dict[int, set]] = {}
-        prints = []
-        for lo, hi, raw, off in chunks(texts):
+        self.names = [name for name, _ in items]
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        prints = [np.empty(0, U)]
+        for lo, hi, raw, off in chunks(pa.array([t or "" for _, t in items], pa.string())):
             h, first = _hashed(raw, off)
             prints.append(_selected(h, first)[0])
+            size = np.diff(first)
             g, _, gf = grams(h, first, WINDOW, whole=False)
-            for i in range(hi - lo):
-                name, n = items[lo + i][0], int(first[i + 1] - first[i])
-                if n >= WINDOW:
-                    for x in g[gf[i] : gf[i + 1]].tolist():
-                        windows.setdefault(x, set()).add(name)
-                elif n:
-                    own, _, _ = grams(h[first[i] : first[i + 1]], np.array([0, n]), n)
-                    short.setdefault(n, {}).setdefault(int(own[0]), set()).add(name)
-        self.prints = np.unique(np.concatenate(prints)) if prints else np.empty(0, U)
-        self.windows, self.short = windows, short
-        self.known = {n: np.array(sorted(x), U) for n, x in [(WINDOW, windows), *short.items()] if x}
-        self.names = {WINDOW: windows, **short}
+            found.setdefault(WINDOW, []).append((g, lo + np.repeat(np.arange(hi - lo), np.diff(gf))))
+            for i in np.flatnonzero((size < WINDOW) & (size > 0)).tolist():
+                own, _, _ = grams(h[first[i] : first[i + 1]], np.array([0, size[i]]), int(size[i]))
+                found.setdefault(int(size[i]), []).append((own, np.array([lo + i])))
+        self.prints = np.unique(np.concatenate(prints))
+        self.bitmap = np.zeros(1 << 20, bool)
+        self.bitmap[(self.prints >> U(44)).astype(np.int64)] = True
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n, parts in found.items():
+            h, item = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if len(h):
+                order = np.lexsort((item, h))
+                self.windows[n] = h[order], item[order]
+
+    def items(self, n: int, window: np.uint64) -> set:
+        h, item = self.windows[n]
+        return {self.names[k] for k in item[np.searchsorted(h, window) : np.searchsorted(h, window, side="right")].tolist()}
 
 
 def _in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -78,10 +83,9 @@ def _in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 def _hits(bench: Benchmark, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]], set]]:
     """For each text with a hit: its number, word ranges of all window occurrences and the items."""
-    filter_ = bench.bitmap
     sel, at = _selected(h, first)
     if len(bench.prints):
-        may = filter_[(sel >> U(44)).astype(np.int64)]
+        may = bench.bitmap[(sel >> U(44)).astype(np.int64)]
         may[may] = _in(sel[may], bench.prints)
         hit = set((np.searchsorted(first, at[may], side="right") - 1).tolist())
     else:
@@ -90,16 +94,16 @@ def _hits(bench: Benchmark, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[
     items: dict[int, set] = {}
 
     def note(g: np.ndarray, at: np.ndarray, n: int, doc: Callable[[int], int], base: int) -> None:
-        for k in np.flatnonzero(_in(g, bench.known[n])).tolist():
+        for k in np.flatnonzero(_in(g, bench.windows[n][0])).tolist():
             i = doc(int(at[k]))
             ranges.setdefault(i, []).append((int(at[k]) + base - int(first[i]), int(at[k]) + base - int(first[i]) + n))
-            items.setdefault(i, set()).update(bench.names[n][int(g[k])])
+            items.setdefault(i, set()).update(bench.items(n, g[k]))
 
-    if WINDOW in bench.known:
+    if WINDOW in bench.windows:
         for i in hit:  # extended: all windows of the text are looked up
             g, p, _ = grams(h[first[i] : first[i + 1]], np.array([0, first[i + 1] - first[i]]), WINDOW, whole=False)
             note(g, p, WINDOW, lambda _, i=i: i, int(first[i]))
-    for n in bench.short:
+    for n in sorted(bench.windows.keys() - {WINDOW}):
         g, p, _ = grams(h, first, n, whole=False)
         note(g, p, n, lambda k: int(np.searchsorted(first, k, side="right") - 1), 0)
     for i in sorted(ranges):
@@ -119,10 +123,7 @@ _FOUND = "doc_id long, n_words long, ranges array<struct<a:int,b:int>>, items ar
 
 def scan(docs: DataFrame, items: list[tuple[str | None, str | None]]) -> DataFrame:
     """Every document with its word count, the word ranges that the items' windows cover and those items' ids."""
-    bench = Benchmark(items)
-    bench.bitmap = np.zeros(1 << 20, bool)
-    bench.bitmap[(bench.prints >> U(44)).astype(np.int64)] = True
-    shared = docs.sparkSession.sparkContext.broadcast(bench)
+    shared = docs.sparkSession.sparkContext.broadcast(Benchmark(items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = shared.value
@@ -190,10 +191,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs, all columns, without documents that hold a window of the benchmark; each block of it is one step over the rows, no shuffle."""
     sc = docs.sparkSession.sparkContext
     for block in _blocks(benchmark):
-        bench = Benchmark(block)
-        bench.bitmap = np.zeros(1 << 20, bool)
-        bench.bitmap[(bench.prints >> U(44)).astype(np.int64)] = True
-        docs = docs.mapInArrow(_keep(sc.broadcast(bench)), docs.schema)
+        docs = docs.mapInArrow(_keep(sc.broadcast(Benchmark(block))), docs.schema)
     return docs
 
 

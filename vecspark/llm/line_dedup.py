@@ -43,15 +43,15 @@ def _lines(raw: np.ndarray, off: np.ndarray, shortest: int):
     return start, end, first, kept, h1, h2
 
 
-def _places(h1: np.ndarray, h2: np.ndarray) -> list[np.ndarray]:
-    return [(mix(h1 + U(j) * h2) % U(BITS)).astype(np.int64) for j in range(PLACES)]
+def _places(h1: np.ndarray, h2: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(mix(h1 + U(j) * h2) % U(bits)).astype(np.int64) for j in range(PLACES)]
 
 
-def _filters(shortest: int) -> Callable:
+def _filters(shortest: int, bits: int) -> Callable:
     """Two filters of each task's rows, in blocks: lines of one document at least, and of two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(BITS // 8, np.uint8), np.zeros(BITS // 8, np.uint8)
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
             for _, _, raw, off in chunks(batch.column(0), b"\n"):
                 _, _, first, kept, h1, h2 = _lines(raw, off, shortest)
@@ -64,7 +64,7 @@ def _filters(shortest: int) -> Callable:
                 _, at, n = np.unique(a, return_index=True, return_counts=True)
                 a, b = a[at], b[at]
                 again = n > 1
-                places = _places(a, b)
+                places = _places(a, b, bits)
                 known = np.ones(len(a), bool)
                 for p in places:
                     known &= (once[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
@@ -90,25 +90,25 @@ def _merged(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     yield pa.record_batch({"block": pa.array([key[0].as_py()], pa.int32()), "twice": pa.array([twice.tobytes()], pa.binary())})
 
 
-def suspects(docs: DataFrame, shortest: int = 20) -> DataFrame:
+def suspects(docs: DataFrame, shortest: int = 20, bits: int = BITS) -> DataFrame:
     """Rows (h1, h2, doc_id), one for each document and line key that may be in two documents; h1, h2 are a 128-bit digest of the key."""
     spark = docs.sparkSession
-    parts = docs.where("doc_id is not null").select("text").mapInArrow(_filters(shortest), "block int, once binary, twice binary")
-    blocks = parts.groupBy("block").applyInArrow(_merged, "block int, twice binary").collect()  # BITS / 8 bytes at most
-    whole = np.zeros(BITS // 8, np.uint8)
+    parts = docs.where("doc_id is not null").select("text").mapInArrow(_filters(shortest, bits), "block int, once binary, twice binary")
+    blocks = parts.groupBy("block").applyInArrow(_merged, "block int, twice binary").collect()  # bits / 8 bytes at most
+    whole = np.zeros(bits // 8, np.uint8)
     for r in blocks:
         whole[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.twice, np.uint8)
     shared = spark.sparkContext.broadcast(whole.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
+        known = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, _, raw, off in chunks(batch.column(1), b"\n"):
                 _, _, first, kept, h1, h2 = _lines(raw, off, shortest)
                 hit = np.ones(len(kept), bool)
-                for p in _places(h1, h2):
-                    hit &= (bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+                for p in _places(h1, h2, bits):
+                    hit &= (known[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
                 doc = ids[lo + np.searchsorted(first, kept[hit], side="right") - 1]
                 yield pa.record_batch({"h1": h1[hit].view(np.int64), "h2": h2[hit].view(np.int64), "doc_id": doc})
 
@@ -142,7 +142,7 @@ def _drop(shortest: int) -> Callable:
     return run
 
 
-def dedup_lines(docs: DataFrame, shortest: int = 20, least_docs: int = 3, with_text: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, shortest: int = 20, least_docs: int = 3, with_text: bool = True, bits: int = BITS) -> DataFrame:
     """A row for each document: doc_id, n_lines, n_dropped, kept_sha256 and (with_text) the kept text.
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Keys of at least `shortest` code points
@@ -150,7 +150,7 @@ def dedup_lines(docs: DataFrame, shortest: int = 20, least_docs: int = 3, with_t
     keeps all its own. A null or empty text is one empty line; rows with a null doc_id neither count nor lose lines; rows of
     one doc_id are one document. An empty table gives no rows; further columns are ignored.
     """
-    seen = suspects(docs, shortest).distinct()
+    seen = suspects(docs, shortest, bits).distinct()
     repeated = seen.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= least_docs).drop("n")
     out = seen.join(repeated, ["h1", "h2"]).where("doc_id <> keep").groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("drops"))
     rows = docs.select("doc_id", "text").join(out.hint("shuffle_hash"), "doc_id", "left")
