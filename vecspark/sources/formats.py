@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..operators.pq import ProductQuantizer
-from ..operators.rq import ResidualQuantizer, chained  # noqa: F401
+from ..operators.rq import ResidualQuantizer
 
 VENDOR = "VECSPARK"
 _MAGIC = re.compile(rb"[A-Z0-9_-]{1,32}\+(STREAM1|QSTREAM1|NF4STREAM1|RQSTREAM1|PQSTREAM1)\n")
