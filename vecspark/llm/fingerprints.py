@@ -16,7 +16,7 @@ ODD = (-7046029254386353131, -4417276706812531889, 1609587929392839161, -8796714
 
 def shingle_hashes(text: Column) -> Column:
     """Hashes of all runs of five words (`[^\\x20\\x09-\\x0D]+`, as written); of fewer words, of the whole run; of none, an empty array."""
-    trimmed = F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
     h = F.transform(F.split(trimmed, r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w))
 
     def runs(h: Column) -> Column:
@@ -79,7 +79,7 @@ def as_text(s: Column) -> Column:
 
 def from_text(c: Column) -> Column:
     """The sketch that as_text wrote."""
-    each = F.transform(F.sequence(F.lit(0), F.length(c) / 16 - 1), lambda i: F.conv(F.substring(c, (i * 16 + 1).cast("int"), F.lit(16)), 16, -10).cast("bigint"))
+    each = F.transform(F.sequence(F.lit(0), (F.length(c) / 16).cast("int") - 1), lambda i: F.conv(F.substring(c, (i * 16 + 1).cast("int"), F.lit(16)), 16, -10).cast("bigint"))
     return F.when(F.length(c) == 0, F.array().cast("array<bigint>")).otherwise(each)
 
 
@@ -88,19 +88,20 @@ def fingerprint(docs: DataFrame, text: str = "text", k: int = K) -> DataFrame:
     return docs.withColumn("sketch", sketch(F.col(text), k))
 
 
-def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Rows (doc_id, text, next_text): the text of the row that follows in descending doc_id order, of the first row after the last.
+def with_next(docs: DataFrame, buckets: int | None = None):
+    """Rows (doc_id, text, next_text, extra), and the window they are ordered by. next_text is that of the row that follows in descending doc_id order, of the first row after the last.
 
     Rows of one doc_id follow each other by the text's hash and the text; null ids come last; a table of one row follows itself.
-    Buckets of consecutive ids are sorted apart; the first row of each bucket is also sent to the bucket before it.
+    Buckets of consecutive ids are sorted apart; the first row of each bucket is also sent, as extra, to the bucket before it.
     """
     spark = docs.sparkSession
     cut = Buckets(docs, "doc_id", buckets or 4 * shuffle_width(spark))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), cut.of("doc_id").alias("bucket"))
     heads = docs.select(cut.of("doc_id").alias("bucket"), "doc_id").groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()  # at most cut.n + 1 rows of two numbers
     order = sorted(heads, key=lambda r: -r.bucket)
-    follows = {r.bucket: order[(i + 1) % len(order)].bucket for i, r in enumerate(order)}
-    sent = spark.createDataFrame([(b, head.bucket, head.head) for b, n in follows.items() for head in heads if head.bucket == n], "to int, bucket int, head long")
+    following = [order[(i + 1) % len(order)] for i in range(len(order))]
+    sent = spark.createDataFrame([(r.bucket, n.bucket, n.head) for r, n in zip(order, following, strict=True)], "to int, bucket int, head long")
+    sent = F.broadcast(sent) if len(order) <= 1 << 16 else sent  # three numbers a bucket
     ahead = rows.join(sent, (rows["bucket"] == sent["bucket"]) & rows["doc_id"].eqNullSafe(sent["head"])).select("doc_id", "text", F.col("to").alias("bucket"), F.lit(1).alias("extra"))
     both = rows.withColumn("extra", F.lit(0)).unionByName(ahead)
     w = Window.partitionBy("bucket").orderBy("extra", F.desc_nulls_last("doc_id"), F.xxhash64("text"), "text")
