@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 #: The template's control strings, as written.
 START, END = "<|im_start|>", "<|im_end|>"
 _ESCAPE = re.compile(r"\\|<\|")
-_UNESCAPE = re.compile(r"\\([\\|n])|<\\\|")
 
 
 def escape(text: str) -> str:
@@ -82,9 +81,6 @@ class PartVisitor:
         self._attach("document", part, int(part.get("pages") or 1) * self.page_tokens, flat)
 
 
-_PLACE = re.compile(r"<\|(image|audio|document):(\d+)\|>")
-
-
 def render(role: str, flat: Flat) -> str:
     return f"{START}{escape_role(role)}\n{''.join(flat.text)}{END}\n"
 

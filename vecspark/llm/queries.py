@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: The tokenizer file's place; another may be given to the operator.
 TOKENIZER = "word_bpe_49k.json"
