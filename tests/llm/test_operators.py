@@ -127,6 +127,26 @@ def test_frequent_shingles_change_no_result(spark, monkeypatch):
     assert {d: r.component_id for d, r in got.items()} == {d: c for d, (_, c) in want.items()}
 
 
+def test_large_groups_are_cut_into_tiles(spark):
+    rows = spark.createDataFrame([(t, s, 9, s) for t, m in ((1, 50), (2, 3)) for s in range(m)], "token long, s1 long, n int, label long")
+    groups = collections.defaultdict(set)
+    for r in jaccard_join._tiled(rows, 10).collect():
+        groups[r.token].add(r.s1)
+    assert max(map(len, groups.values())) < 40 and {0, 1, 2} in groups.values()
+    assert all(any(a in g and b in g for g in groups.values()) for a in range(50) for b in range(a))
+
+
+def test_shared_tokens_over_batches():
+    rng = random.Random(3)
+    rows = sorted((rng.randrange(30), rng.randrange(6)) for _ in range(120))
+    want = {(t, s) for t, s in rows if len({b for a, b in rows if a == t}) > 1}
+    for size in (1, 2, 7, 500):
+        parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+        batches = (pa.record_batch({"token": pa.array([r[0] for r in p], pa.int64()), "s1": pa.array([r[1] for r in p], pa.int64()), "n": pa.array([5] * len(p), pa.int32())}) for p in parts)
+        got = [(t, s) for b in jaccard_join._shared_tokens(batches) for t, s in zip(b["token"].to_pylist(), b["s1"].to_pylist(), strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_null_ids_link_with_nothing(spark):
     rows = [(None, edge.BASE), (1, edge.BASE), (2, edge.BASE)]
     got = sorted((str(r.doc_id), r.component_id) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
@@ -264,13 +284,22 @@ def test_pieces_tokenise_as_whole_texts(tokenizer):
         assert whole == parts, text
 
 
+def test_plain_words_take_the_short_way_rightly(tokenizer):
+    words = token_output.Words(tokenizer, 2)
+    assert words.plain
+    rng = random.Random(8)
+    some = {"".join(rng.choice("abcxyzABZéÉàßÿÀÖöñ") for _ in range(rng.randrange(1, 14))) + rng.choice(["", "", ".", ",", "?!", "...", "'", "-", "\u0301"]) for _ in range(3000)}
+    words.learn(some)
+    assert all(words.known[w] == words._whole([w])[0] for w in some)
+
+
 @pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 300_000])
 def test_rans_round_trip(n):
     rng = np.random.default_rng(n)
     ids = rng.zipf(1.3, n).clip(1, 40_000).astype(np.uint32)
     seen, counts = np.unique(np.concatenate([ids, [5, 49_407]]), return_counts=True)
     table = token_output.Table(seen, counts)
-    block, _ = token_output.encode(table, ids)
+    block = token_output.encode(table, ids)
     assert (token_output.decode(table, block) == ids).all()
     for a, b in ((0, 5), (n // 2, n // 2 + 7), (max(n - 3, 0), n)):
         assert (token_output.decode(table, block, a, b) == ids[a:b]).all()
@@ -422,3 +451,17 @@ def test_sketches_merge(spark):
 def test_all_queries_run(spark):
     got = queries.queries()
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in got) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
+    want = con.execute(queries.ORACLE[name])
+    columns = [d[0] for d in want.description]
+    df = queries.queries()[name](spark, SMALL)
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(map(str, ([r[c] for c in columns] for r in df.collect()))) == sorted(str(list(r)) for r in want.fetchall())

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .oracle import ORACLE
+
+__all__ = ["ORACLE", "queries", "tokenizer_path"]
+
 #: The tokenizer file's place; another may be given to the operator.
 TOKENIZER = "word_bpe_49k.json"
 
@@ -82,7 +86,3 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (op1_sharding, op2_ngram_jaccard_join, op3_pii, op4_line_dedup, op5_source_mixing, op6_token_output, op7_language_id, op8_chat_formatting, op9_decontamination, op10_fingerprints)}
-
-
-#: Where SQL can express a query's rows.
-ORACLE: dict[str, str] = {}
