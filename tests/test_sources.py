@@ -3,9 +3,9 @@ import struct
 import numpy as np
 import pytest
 
-from vecspark.operators import nf4, pq, rq, scalar
+from vecspark.operators import hnsw, nf4, pq, rq, scalar
 from vecspark.schema import from_arrays
-from vecspark.sources import formats, generators, ingest
+from vecspark.sources import formats, generators, graph_file, ingest
 from vecspark.streaming import encode as stream
 
 
@@ -126,3 +126,21 @@ def test_streaming(spark, tmp_path):
     q = stream.search_stream(stream.read_lines(spark, str(tmp_path / "in")), from_arrays(spark, [[1.0, 0.1], [0.1, 1.0]]), 1, lambda df, n: found.extend(df.collect()), str(tmp_path / "ck2"))
     q.awaitTermination()
     assert {r.qid: r.id for r in found} == {"a": "vec_0", "b": "vec_1"}
+
+
+def test_graph_file(spark, tmp_path):
+    df = from_arrays(spark, vectors(60, 8))
+    index = hnsw.build(df, 1).persist()
+    path = str(tmp_path / "g.bin")
+    assert graph_file.write(index, path) == 60
+    back = graph_file.read(spark, path)
+    q = spark.createDataFrame([("q", [1.0] * 8)], "qid string, vector array<float>")
+    assert [r.id for r in hnsw.batch_top_k(back, q, 5).orderBy("rn").collect()] == [r.id for r in hnsw.batch_top_k(index, q, 5).orderBy("rn").collect()]
+    with open(path, "rb") as f:
+        data = f.read()
+    nodes, entry, params = graph_file.decode_graph(data)
+    assert graph_file.encode_graph(nodes, entry) == data and params["m0"] == 32
+    empty = graph_file.encode_graph([], -1)
+    assert graph_file.decode_graph(empty)[:2] == ([], -1) and len(empty) == 8 + 1 + 4 + 48
+    with pytest.raises(ValueError):
+        graph_file.write(hnsw.build(df, 4), path)
