@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -12,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Buckets, durable, fresh_path, shuffle_width
+from ._common import Buckets, fresh_path, shuffle_width
 
 #: Frequencies add up to 2**SCALE; lanes are coded in step; a checkpoint holds all lanes' states.
 SCALE = 18
@@ -22,7 +24,7 @@ BLOCK_TOKENS = 1 << 18
 LOW = 1 << 31
 MAGIC = b"RANSIDS1"
 #: Words whose ids a worker remembers, at most.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 _U = np.uint64
 
 
@@ -41,16 +43,18 @@ class Table:
         self.freq = freq.astype(_U)
         self.start = np.concatenate([[0], np.cumsum(freq)]).astype(_U)[:-1]
         self.symbol = np.repeat(np.arange(n), freq)
+        self.number = np.zeros(int(self.ids.max(initial=0)) + 1, np.int64)
+        self.number[self.ids] = np.arange(n)
 
 
-def encode(table: Table, ids: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
-    """The block's words and checkpoints for ids that all are in the table."""
-    sym = np.searchsorted(table.ids, ids)
+def encode(table: Table, ids: np.ndarray) -> bytes:
+    """A block of ids that all are in the table: header, checkpoints, words, checksum."""
+    sym = table.number[ids]
     n = len(sym)
     steps = -(-n // LANES)
     x = np.full(LANES, LOW, _U)
     out: list[np.ndarray] = []
-    marks: list[tuple[int, np.ndarray]] = []  # words written before (from the end), states
+    marks: list[tuple[int, int, np.ndarray]] = []  # step, words written from there to the end, states
     written = 0
     for t in range(steps - 1, -1, -1):
         s = sym[t * LANES : (t + 1) * LANES]
@@ -69,7 +73,7 @@ def encode(table: Table, ids: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]
     head = struct.pack("<8sIII", MAGIC, n, len(body), len(marks))
     table_ = b"".join(struct.pack("<II", t, len(body) - w) + s.astype("<u8").tobytes() for t, w, s in marks)
     payload = head + table_ + body.astype("<u4").tobytes()
-    return payload + struct.pack("<I", zlib.crc32(payload)), []
+    return payload + struct.pack("<I", zlib.crc32(payload))
 
 
 def decode(table: Table, block: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
@@ -106,49 +110,97 @@ def decode(table: Table, block: bytes, first: int = 0, last: int | None = None)
 # ---------------------------------------------------------------- tokens
 
 
-def _tokenise(path: str, end_id: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+#: Words of Latin-1 letters, perhaps with closing marks: their normal form is lower case, their pre-tokens are the letters and the marks.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=?@\[-`{}~]*)")
+
+
+class Words:
+    """Ids of words between spaces and line feeds, remembered by a worker from task to task.
 
+    No pre-token of the tokenizers meant here spans such a place, so a text's ids are those of its words. Plain words go
+    to the tokenizer's model at once; `plain` says whether that is right for this tokenizer, by trial. All others take the whole way.
+    """
+
+    kept: dict[tuple[str, int], Words] = {}
+
+    def __init__(self, path: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        known: dict[str, bytes] = {}
-        end = np.array([end_id], "<u4").tobytes()
-
-        def learn(words: set[str]) -> None:
-            new = [w for w in words if w not in known]
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(words)
-            for lo in range(0, len(new), 4096):
-                part = new[lo : lo + 4096]
-                for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-
-        # No pre-token spans a space or line feed, so a text's ids are those of its pieces between them.
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo in range(0, len(texts), 256):
-                pieces = [(t or "").replace("\n", " ").split(" ") for t in texts[lo : lo + 256]]
-                learn(set().union(*pieces))
-                ids = []
-                for p in pieces:
-                    try:
-                        ids.append(b"".join(map(known.__getitem__, p)) + end)
-                    except KeyError:  # the memory was cleared for this very part
-                        learn(set(p))
-                        ids.append(b"".join(map(known.__getitem__, p)) + end)
-                small = [np.frombuffer(x, "<u4").astype("<u2" if max_id < 65536 else "<u4").tobytes() for x in ids]
-                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(lo, 256), "bucket": batch.column("bucket").slice(lo, 256), "ids": pa.array(small, pa.binary())})
-
-    max_id = 65535
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tok, self.width = Tokenizer.from_file(path), width
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [chr(c) for c in range(0xDF, 0x100)]
+        self.bytes = {ord(x): level.pre_tokenize_str(x)[0][0] for x in letters}
+        self.known: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        trial = ["the", "Straße", "ÀÉÎõü", "naïve.", "end?!", "Sch\u00f6nhausen,", "xqzj)", "ÿ;", "WORD...", "ab***", "ab_-&"]
+        self.plain = all(self._plain(w) == self._whole([w])[0] for w in trial)
+        self.known.clear()
+        self.cores.clear()
+
+    @classmethod
+    def of(cls, path: str, width: int) -> Words:
+        if (path, width) not in cls.kept:
+            cls.kept[path, width] = cls(path, width)
+        return cls.kept[path, width]
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [self._pack(e.ids) for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _core(self, piece: str) -> bytes:
+        found = self.cores.get(piece)
+        if found is None:
+            found = self._pack([t.id for t in self.tok.model.tokenize(piece)])
+            self.cores[piece] = found
+        return found
+
+    def _plain(self, word: str) -> bytes | None:
+        m = _PLAIN.fullmatch(word)
+        if not m:
+            return None
+        core = m[1].lower()
+        out = self._core(core if core.isascii() else core.translate(self.bytes))
+        return out + self._core(m[2]) if m[2] else out
+
+    def learn(self, words: set[str]) -> None:
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            self.cores.clear()
+            new = words
+        rest = []
+        for w in new:
+            found = self._plain(w) if self.plain else None
+            if found is None:
+                rest.append(w)
+            else:
+                self.known[w] = found
+        for lo in range(0, len(rest), 4096):
+            self.known.update(zip(rest[lo : lo + 4096], self._whole(rest[lo : lo + 4096]), strict=True))
+
+
+def _tokenise(path: str, end_id: int) -> Callable:
+    """Rows' ids with the end id, in 2 bytes each where the vocabulary allows it."""
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)
-    max_id = max([*vocab["model"]["vocab"].values(), *(x["id"] for x in vocab.get("added_tokens", [])), end_id])
-    del vocab
-    run.width = 2 if max_id < 65536 else 4
+    width = 2 if max([*vocab["model"]["vocab"].values(), *(x["id"] for x in vocab.get("added_tokens", [])), end_id]) < 65536 else 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words.of(path, width)
+        end = words._pack([end_id])
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for lo in range(0, len(texts), 64):
+                pieces = [(t or "").replace("\n", " ").split(" ") for t in texts[lo : lo + 64]]
+                words.learn(set().union(*pieces))
+                get = words.known.__getitem__
+                ids = [b"".join(map(get, p)) + end for p in pieces]
+                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(lo, 64), "bucket": batch.column("bucket").slice(lo, 64), "ids": pa.array(ids, pa.binary())})
+
+    run.width = width
     return run
 
 
@@ -228,7 +280,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> Data
         t, starts = shared.value
         for batch in batches:
             for b, at, d, s, x in zip(*(batch.column(c).to_pylist() for c in ("bucket", "before", "doc_ids", "sizes", "ids")), strict=True):
-                block, _ = encode(t, np.frombuffer(x, f"<u{width}"))
+                block = encode(t, np.frombuffer(x, f"<u{width}"))
                 yield pa.record_batch({"first_id": pa.array([d[0]], pa.int64()), "before": pa.array([starts[b] + at], pa.int64()), "doc_ids": pa.array([d], pa.list_(pa.int64())), "sizes": pa.array([s], pa.list_(pa.int32())), "block": pa.array([block], pa.binary())})
 
     staged.mapInArrow(code, _BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
