@@ -13,6 +13,8 @@ from . import search
 
 #: Sums travel as whole numbers of this fraction of the largest possible sum, so that their order cannot change them.
 FIXED = 1 << 61
+#: Tables of so many values at most (16 MB) are trained on the driver; a Spark job a step would cost more than the step.
+LOCAL_VALUES = 1 << 21
 
 
 def split(m: np.ndarray, subspaces: int) -> np.ndarray:
@@ -26,54 +28,67 @@ def assign(parts: np.ndarray, books: np.ndarray) -> np.ndarray:
     for s in range(len(parts)):
         for lo in range(0, parts.shape[1], 1024):
             x = parts[s, lo : lo + 1024]
-            d = ((x[:, None, :] - books[s][None, :, :]) ** 2).sum(axis=2) if x.shape[1] <= 16 else (x * x).sum(1)[:, None] - 2 * x @ books[s].T + (books[s] ** 2).sum(1)[None, :]
+            d = ((x[:, None, :] - books[s][None, :, :]) ** 2).sum(axis=2) if books[s].size <= 1024 else (x * x).sum(1)[:, None] - 2 * x @ books[s].T + (books[s] ** 2).sum(1)[None, :]
             out[s, lo : lo + 1024] = d.argmin(axis=1)
     return out
 
 
+def _sums(parts: np.ndarray, books: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some rows: the sum and number of each centroid's, and how many changed their centroid in each subspace."""
+    m, k, w = books.shape
+    now = assign(parts, books)
+    was = assign(parts, before) if before is not None else np.zeros_like(now)
+    n = np.stack([np.bincount(now[s], minlength=k) for s in range(m)])
+    total = np.stack([np.stack([np.bincount(now[s], weights=parts[s, :, d], minlength=k) for d in range(w)], axis=1) for s in range(m)])
+    return total, n, (now != was).sum(axis=1)
+
+
 def _partial(prepare: Callable, books: np.ndarray, before: np.ndarray | None, scale: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, k, w = books.shape
         total, n, moved = np.zeros((m, k, w)), np.zeros((m, k), np.int64), np.zeros(m, np.int64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            parts = split(prepare(batch), m)
-            now = assign(parts, books)
-            was = assign(parts, before) if before is not None else np.zeros_like(now)
-            moved += (now != was).sum(axis=1)
-            for s in range(m):
-                n[s] += np.bincount(now[s], minlength=k)
-                for d in range(w):
-                    total[s, :, d] += np.bincount(now[s], weights=parts[s, :, d], minlength=k)
+            if batch.num_rows:
+                t, c, x = _sums(split(prepare(batch), m), books, before)
+                total, n, moved = total + t, n + c, moved + x
         s, c, d = (x.ravel() for x in np.indices((m, k, w)))
         yield pa.record_batch({"s": pa.array(s, pa.int32()), "c": pa.array(c, pa.int32()), "d": pa.array(d, pa.int32()), "total": pa.array(np.rint(total.ravel() * scale).astype(np.int64)), "n": pa.array(np.repeat(n.ravel(), w)), "moved": pa.array(np.repeat(moved, k * w))})
 
     return run
 
 
+def _gathered(rows: DataFrame, prepare: Callable, books: np.ndarray, before: np.ndarray | None, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    m, k, w = books.shape
+    sums = rows.mapInArrow(_partial(prepare, books, before, scale), "s int, c int, d int, total long, n long, moved long")
+    got = sums.groupBy("s", "c", "d").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.sum("moved").alias("moved")).toArrow()
+    total, n, moved = np.zeros((m, k, w)), np.zeros((m, k)), np.zeros(m)
+    s, c, d = (got[x].to_numpy() for x in "scd")
+    total[s, c, d] = got["total"].to_numpy() / scale
+    n[s, c] = got["n"].to_numpy()
+    moved[s] = got["moved"].to_numpy()
+    return total, n, moved
+
+
 def lloyd(rows: DataFrame, prepare: Callable, first: np.ndarray, iterations: int, spherical: bool, spare: np.ndarray | None = None) -> np.ndarray:
     """Centroids [subspace, centroid, part] after at most `iterations` steps.
 
     prepare turns a batch of rows into a matrix. spherical: centroids are normalised means (raw where the norm is tiny), all
     rows start in cluster 0 and a first step that moves none ends the run at the initial centroids; a dead centroid becomes
     its row of spare. Otherwise the first step always updates and a dead centroid stays. Each step is one pass with sums
-    for each centroid from each task; a row for each centroid element reaches the driver.
+    for each centroid from each task; a row for each centroid element reaches the driver. Small tables (LOCAL_VALUES) take the same steps there.
     """
     books = first.copy()
     before = None
     m, k, w = books.shape
-    n_rows, largest = rows.count(), float(_largest(rows, prepare))
-    scale = FIXED / max(n_rows * largest, 1e-300)
+    n_rows = rows.count()
+    here, scale = None, 1.0
+    if n_rows * m * w <= LOCAL_VALUES:
+        here = np.concatenate([split(prepare(b), m) for b in rows.toArrow().to_batches() if b.num_rows], axis=1)
+    else:
+        scale = FIXED / max(n_rows * float(_largest(rows, prepare)), 1e-300)
     active = np.ones(m, bool)
     for step in range(iterations):
-        sums = rows.mapInArrow(_partial(prepare, books, before, scale), "s int, c int, d int, total long, n long, moved long")
-        got = sums.groupBy("s", "c", "d").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.sum("moved").alias("moved")).toArrow()
-        total, n, moved = np.zeros((m, k, w)), np.zeros((m, k)), np.zeros(m)
-        s, c, d = (got[x].to_numpy() for x in "scd")
-        total[s, c, d] = got["total"].to_numpy() / scale
-        n[s, c] = got["n"].to_numpy()
-        moved[s] = got["moved"].to_numpy()
+        total, n, moved = _sums(here, books, before) if here is not None else _gathered(rows, prepare, books, before, scale)
         active &= (moved > 0) if spherical or step else True
         if not active.any():
             break
