@@ -28,19 +28,19 @@ def assign(parts: np.ndarray, books: np.ndarray) -> np.ndarray:
     for s in range(len(parts)):
         for lo in range(0, parts.shape[1], 1024):
             x = parts[s, lo : lo + 1024]
-            d = ((x[:, None, :] - books[s][None, :, :]) ** 2).sum(axis=2) if books[s].size <= 1024 else (x * x).sum(1)[:, None] - 2 * x @ books[s].T + (books[s] ** 2).sum(1)[None, :]
+            d = ((x[:, None, :] - books[s][None, :, :]) ** 2).sum(axis=2) if books[s].size <= 1024 else x @ (-2 * books[s].T) + (books[s] ** 2).sum(1)
             out[s, lo : lo + 1024] = d.argmin(axis=1)
     return out
 
 
-def _sums(parts: np.ndarray, books: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of some rows: the sum and number of each centroid's, and how many changed their centroid in each subspace."""
+def _sums(parts: np.ndarray, books: np.ndarray, was: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of some rows: the sum and number of each centroid's, how many changed their centroid in each subspace, and the centroids."""
     m, k, w = books.shape
     now = assign(parts, books)
-    was = assign(parts, before) if before is not None else np.zeros_like(now)
+    was = np.zeros_like(now) if was is None else was
     n = np.stack([np.bincount(now[s], minlength=k) for s in range(m)])
     total = np.stack([np.stack([np.bincount(now[s], weights=parts[s, :, d], minlength=k) for d in range(w)], axis=1) for s in range(m)])
-    return total, n, (now != was).sum(axis=1)
+    return total, n, (now != was).sum(axis=1), now
 
 
 def _partial(prepare: Callable, books: np.ndarray, before: np.ndarray | None, scale: float) -> Callable:
@@ -49,7 +49,8 @@ def _partial(prepare: Callable, books: np.ndarray, before: np.ndarray | None, sc
         total, n, moved = np.zeros((m, k, w)), np.zeros((m, k), np.int64), np.zeros(m, np.int64)
         for batch in batches:
             if batch.num_rows:
-                t, c, x = _sums(split(prepare(batch), m), books, before)
+                parts = split(prepare(batch), m)
+                t, c, x, _ = _sums(parts, books, assign(parts, before) if before is not None else None)
                 total, n, moved = total + t, n + c, moved + x
         s, c, d = (x.ravel() for x in np.indices((m, k, w)))
         yield pa.record_batch({"s": pa.array(s, pa.int32()), "c": pa.array(c, pa.int32()), "d": pa.array(d, pa.int32()), "total": pa.array(np.rint(total.ravel() * scale).astype(np.int64)), "n": pa.array(np.repeat(n.ravel(), w)), "moved": pa.array(np.repeat(moved, k * w))})
@@ -81,14 +82,17 @@ def lloyd(rows: DataFrame, prepare: Callable, first: np.ndarray, iterations: int
     before = None
     m, k, w = books.shape
     n_rows = rows.count()
-    here, scale = None, 1.0
+    here, codes, scale = None, None, 1.0
     if n_rows * m * w <= LOCAL_VALUES:
         here = np.concatenate([split(prepare(b), m) for b in rows.toArrow().to_batches() if b.num_rows], axis=1)
     else:
         scale = FIXED / max(n_rows * float(_largest(rows, prepare)), 1e-300)
     active = np.ones(m, bool)
     for step in range(iterations):
-        total, n, moved = _sums(here, books, before) if here is not None else _gathered(rows, prepare, books, before, scale)
+        if here is not None:
+            total, n, moved, codes = _sums(here, books, codes)
+        else:
+            total, n, moved = _gathered(rows, prepare, books, before, scale)
         active &= (moved > 0) if spherical or step else True
         if not active.any():
             break
