@@ -128,7 +128,7 @@ def test_frequent_shingles_change_no_result(spark, monkeypatch):
 
 
 def test_large_groups_are_cut_into_tiles(spark):
-    rows = spark.createDataFrame([(t, s, 9, s) for t, m in ((1, 50), (2, 3)) for s in range(m)], "token long, s1 long, n int, label long")
+    rows = spark.createDataFrame([(t, s, 9, s, None) for t, m in ((1, 50), (2, 3)) for s in range(m)], "token long, s1 long, n int, label long, prefix binary")
     groups = collections.defaultdict(set)
     for r in jaccard_join._tiled(rows, 10).collect():
         groups[r.token].add(r.s1)

@@ -27,14 +27,20 @@ PERCENT = 80
 #: Least hashes of a set that are held against other sets' at first.
 KEYS = 8
 #: Counters of the sketch; a shingle is frequent if its counter exceeds the mean by MANY and by 8 deviations.
-COUNTERS = 1 << 22
-COUNT_BLOCK = 1 << 16
-MANY = 64
+COUNTERS = 1 << 24
+COUNT_BLOCK = 1 << 18
+SHIFT = U(64 - 24)
+MANY = 16
 #: Bits of the set of documents whose shingles a step needs.
 INVOLVED_BITS = 1 << 23
 #: Partners of one set in one task.
 PARTNERS = 4096
 TILE = 2048
+#: Sets of a token that one task looks at, about; a larger group is cut into parts, each two of which meet.
+GROUP = 1 << 15
+#: In groups over LARGE, so many sets of the main component are held against all others, in rounds, before all pairs are.
+LARGE = 32
+LEADERS = (16, 32)
 
 
 def required(a: np.ndarray | int, b: np.ndarray | int, percent: int = PERCENT):
@@ -81,7 +87,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s1, s2 = _sums(g, at)
             n = np.diff(at)
             fresh = np.array([not seen(x) for x in s1.tolist()], bool) & (n > 0)
-            counters += np.bincount((g[np.repeat(fresh, n)] >> U(42)).astype(np.int64), minlength=COUNTERS).astype(np.int32) if fresh.any() else 0
+            np.add.at(counters, (g[np.repeat(fresh, n)] >> SHIFT).astype(np.int64), 1)
             least = g.view(np.int64)
             keys = [least[a : min(a + KEYS, b)].tolist() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             rows = hi - lo
@@ -107,12 +113,12 @@ def _frequent(limit: float) -> Callable:
 
 
 def _order(signed: DataFrame) -> np.ndarray:
-    """Which of the COUNTERS classes of shingles are frequent: bits, 512 KB."""
+    """Which of the COUNTERS classes of shingles are frequent: packed bits, 2 MB."""
     mean = (signed.where("kind = 0").agg(F.sum("n").alias("n")).first().n or 0) / COUNTERS
     limit = mean + max(MANY, 8 * mean**0.5)
-    bits = np.zeros(COUNTERS, bool)
+    bits = np.zeros(COUNTERS // 8, np.uint8)
     for r in signed.where("kind = 1").select("block", "counts").groupBy("block").applyInArrow(_frequent(limit), "block int, bits binary").collect():
-        bits[r.block * COUNT_BLOCK : (r.block + 1) * COUNT_BLOCK] = np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
+        bits[r.block * COUNT_BLOCK // 8 : (r.block + 1) * COUNT_BLOCK // 8] = np.frombuffer(r.bits, np.uint8)
     return bits
 
 
@@ -216,14 +222,14 @@ def _near_keys(classes: DataFrame, percent: int) -> DataFrame:
 
 def _post(shared, percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = shared.value
+        frequent = np.unpackbits(shared.value)
         seen = _Seen()
         for batch in batches:
             for _, _, g, at in shingle_sets(batch.column("text")):
                 s1 = _sums(g, at)[0]
                 n = np.diff(at)
                 fresh = np.array([not seen(x) for x in s1.tolist()], bool) & (n > 0)
-                late = frequent[(g >> U(42)).astype(np.int64)].astype(np.int64)
+                late = frequent[(g >> SHIFT).astype(np.int64)].astype(np.int64)
                 # place in the order: frequent ones after the others, each ascending
                 row = np.repeat(np.arange(len(n)), n)
                 c = np.concatenate([[0], np.cumsum(late)])
@@ -260,61 +266,179 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iter
 
 
 def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of tokens in two sets at least, once for each set."""
-    for t, s, n in _groups(batches, ("s1", "n")):
+    """Rows of tokens in two sets at least, once for each set, from rows in order of token and set; only the last row is held."""
+    held, shared = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "s1", "n")]
+        if held is not None:
+            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+        t, s, _ = cols
         fresh = np.ones(len(t), bool)
         fresh[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
-        t, s, n = t[fresh], s[fresh], n[fresh]
-        same = t[1:] == t[:-1]
+        t, s, n = (c[fresh] for c in cols)
         many = np.zeros(len(t), bool)
+        many[0] = shared
+        same = t[1:] == t[:-1]
         many[1:] |= same
         many[:-1] |= same
+        held, shared = [c[-1:] for c in (t, s, n)], bool(many[-1])
+        many[-1] = False
         yield pa.record_batch({"token": t[many], "s1": s[many], "n": n[many]})
+    if shared:
+        yield pa.record_batch(dict(zip(("token", "s1", "n"), held, strict=True)))
+
+
+class _Counted:
+    """Pairs with how many tokens they were met at, or the whole count where it is known, so that a task writes a pair once for many tokens."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, whole: np.ndarray | None = None) -> None:
+        none = np.zeros(len(a), np.int64)
+        self.parts.append((np.minimum(a, b), np.maximum(a, b), none + 1 if whole is None else none, none if whole is None else whole))
+        self.size += len(a)
+
+    def rows(self) -> pa.RecordBatch:
+        a, b, met, whole = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else [np.empty(0, np.int64)] * 4
+        order = np.lexsort((b, a))
+        a, b, met, whole = a[order], b[order], met[order], whole[order]
+        self.parts, self.size = [], 0
+        if len(a):
+            fresh = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            a, b, met, whole = a[fresh], b[fresh], np.add.reduceat(met, fresh), np.maximum.reduceat(whole, fresh)
+        return pa.record_batch({"a": a, "b": b, "met": met, "whole": whole})
+
+
+_COUNTED = "a long, b long, met long, whole long"
+
 
+def _prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
+    return n - -(-percent * n // 100) + 1
+
+
+def _within(s: np.ndarray, n: np.ndarray, c: np.ndarray, prefixes: list[bytes], percent: int, out: _Counted) -> None:
+    """Adds the pairs of a large group whose prefixes have enough tokens in common, counted here and not pair by pair in rows.
+
+    Sets of the most frequent component are not held against each other.
+    """
+    labels, at, size = np.unique(c, return_inverse=True, return_counts=True)
+    rest = np.flatnonzero(at != size.argmax())
+    items = [np.frombuffer(x or b"", ">i8") for x in prefixes]
+    tokens, number = np.unique(np.concatenate(items), return_inverse=True)
+    often = np.bincount(number)[number] > 1
+    rows = np.repeat(np.arange(len(items)), [len(x) for x in items])[often]
+    columns, number = np.unique(number[often], return_inverse=True)
+    for lo in range(0, len(rest), TILE // 4):
+        x = rest[lo : lo + TILE // 4]
+        for j in range(0, len(s), TILE // 2):
+            y = np.arange(j, min(j + TILE // 2, len(s)))
+            both = np.zeros((len(x), len(y)), np.float32)
+            for k in range(0, len(columns), TILE):  # blocks of tokens, so that memory stays bounded
+                left, right = np.zeros((len(x), TILE), np.float32), np.zeros((len(y), TILE), np.float32)
+                inside = (number >= k) & (number < k + TILE)
+                r, col = rows[inside], number[inside] - k
+                place = np.full(len(s), -1)
+                place[x] = np.arange(len(x))
+                use = place[r] >= 0
+                left[place[r[use]], col[use]] = 1
+                use = (r >= j) & (r < j + len(y))
+                right[r[use] - j, col[use]] = 1
+                both += left @ right.T
+            nx, ny = n[x][:, None], n[y][None, :]
+            need = required(nx, ny, percent)
+            longer = np.maximum(nx - _prefix_length(nx, percent), ny - _prefix_length(ny, percent))
+            ok = (c[x][:, None] != c[y][None, :]) & (np.minimum(nx, ny) >= need) & (both > 0) & (both + longer >= need)
+            u, v = np.nonzero(ok)
+            out.add(s[x[u]], s[y[v]], np.rint(both[u, v]).astype(np.int64))
+
+
+def _leaders(s: np.ndarray, c: np.ndarray, leaders: int) -> np.ndarray:
+    """Places of some sets of a group's most frequent component, the same ones for many tokens."""
+    labels, at, n = np.unique(c, return_inverse=True, return_counts=True)
+    main = np.flatnonzero(at == n.argmax())
+    return main[np.argsort(mix(s[main].view(U) ^ U(leaders)), kind="stable")[:leaders]]
+
+
+def _pairs(percent: int, leaders: int = 0) -> Callable:
+    """Pairs of sets of different components that share a token; with leaders, only those with some sets of a large group's main component."""
 
-def _pairs(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, s, n, c in _groups(batches, ("s1", "n", "label")):
+        out = _Counted()
+        for t, s, n, c, prefix in _groups(batches, ("s1", "n", "label", "prefix")):
             n = n.astype(np.int64)
             bounds = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1], [True]]))
-            out: list[tuple[np.ndarray, np.ndarray]] = []
-            size = 0
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if (c[lo:hi] == c[lo]).all():
+                if (c[lo:hi] == c[lo]).all() or leaders and hi - lo <= LARGE:
+                    continue
+                if not leaders and hi - lo > LARGE:
+                    _within(s[lo:hi], n[lo:hi], c[lo:hi], prefix[lo:hi].tolist(), percent, out)
+                    if out.size > 1 << 18:
+                        yield out.rows()
                     continue
                 order = lo + np.argsort(n[lo:hi], kind="stable")
-                for i in range(0, len(order), TILE):
-                    x = order[i : i + TILE, None]
-                    for j in range(i, len(order), TILE):
+                first = lo + _leaders(s[lo:hi], c[lo:hi], leaders) if leaders else order
+                for i in range(0, len(first), TILE):
+                    x = first[i : i + TILE, None]
+                    for j in range(0 if leaders else i, len(order), TILE):
                         y = order[None, j : j + TILE]
-                        if 100 * int(n[x[-1, 0]]) < percent * int(n[y[0, 0]]):
+                        if not leaders and 100 * int(n[x[-1, 0]]) < percent * int(n[y[0, 0]]):
                             break
-                        need = required(n[x], n[y], percent)
-                        ok = (c[x] != c[y]) & (np.minimum(n[x], n[y]) >= need)
-                        if i == j:
+                        ok = (c[x] != c[y]) & (np.minimum(n[x], n[y]) >= required(n[x], n[y], percent))
+                        if i == j and not leaders:
                             ok &= np.arange(ok.shape[0])[:, None] < np.arange(ok.shape[1])[None, :]
                         u, v = np.nonzero(ok)
                         if len(u):
-                            a, b = s[x[u, 0]], s[y[0, v]]
-                            out.append((np.minimum(a, b), np.maximum(a, b)))
-                            size += len(a)
-                        if size > 1 << 18:
-                            yield pa.record_batch({"a": np.concatenate([o[0] for o in out]), "b": np.concatenate([o[1] for o in out])})
-                            out, size = [], 0
-            if out:
-                yield pa.record_batch({"a": np.concatenate([o[0] for o in out]), "b": np.concatenate([o[1] for o in out])})
+                            out.add(s[x[u, 0]], s[y[0, v]])
+                        if out.size > 1 << 20:
+                            yield out.rows()
+            if out.size > 1 << 18:
+                yield out.rows()
+        yield out.rows()
 
     return run
 
 
-def _candidates(docs: DataFrame, classes: DataFrame, labels: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """Pairs of classes in different components that share enough of their prefixes to be similar."""
+def _shared(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
+    """Rows (token, s1, n) of prefix tokens that two sets have at least."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     posts = docs.where("doc_id is not null").select("text").mapInArrow(_post(shared, percent), "token long, s1 long, n int")
-    posts = posts.repartition("token").sortWithinPartitions("token", "s1").mapInArrow(_shared_tokens, "token long, s1 long, n int")
+    return durable(posts.repartition("token").sortWithinPartitions("token", "s1").mapInArrow(_shared_tokens, "token long, s1 long, n int"))
+
+
+def _tiled(rows: DataFrame, tile: int) -> DataFrame:
+    """rows with a token's group cut into parts of about `tile` sets, and each two parts put together under a key of their own, so that no task holds a whole large group."""
+    large = rows.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > tile).select("token", F.ceil(F.col("m") / tile).cast("int").alias("parts"))
+    rows = rows.join(large, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("s1"), F.col("parts").cast("long")).cast("int")
+    keys = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64("token", F.least(own, j), F.greatest(own, j)))
+    return rows.select(F.explode(keys).alias("token"), "s1", "n", "label", "prefix")
+
+
+def _with_prefixes(rows: DataFrame) -> DataFrame:
+    """rows with the set's shared prefix tokens, 8 bytes each, where the token's group is large; null elsewhere."""
+    large = rows.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where((F.col("m") > LARGE) & (F.col("lo") != F.col("hi"))).select(F.col("token").alias("big"))
+    marked = rows.join(large, F.col("token") == F.col("big"), "left")
+    sets = marked.where("big is not null").select(F.col("s1").alias("set")).distinct()
+    mine = rows.join(sets, F.col("s1") == F.col("set"), "left_semi").groupBy(F.col("s1").alias("set")).agg(F.collect_list("token").alias("all"))
+    packed = mine.select("set", F.unhex(F.array_join(F.transform("all", lambda t: F.lpad(F.hex(t), 16, "0")), "")).alias("prefix"))
+    in_large = marked.where("big is not null").join(packed, F.col("s1") == F.col("set")).select("token", "s1", "n", "label", "prefix")
+    return in_large.unionByName(marked.where("big is null").select("token", "s1", "n", "label").withColumn("prefix", F.lit(None).cast("binary")))
+
+
+def _candidates(posts: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, leaders: int = 0, tile: int = GROUP) -> DataFrame:
+    """Pairs of classes in different components that share enough of their prefixes to be similar.
+
+    All common tokens up to the lesser of two prefixes' last ones lie in both prefixes; so what both share there and the longer
+    rest must reach the required overlap. A round with leaders counts only some tokens, which loses none but of its own pairs.
+    """
     labelled = posts.join(labels.select(F.col("node").alias("s1"), "label"), "s1", "left").withColumn("label", F.coalesce("label", "s1"))
-    pairs = labelled.repartition("token").sortWithinPartitions("token").mapInArrow(_pairs(percent), "a long, b long")
-    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("same"))
+    labelled = labelled.withColumn("prefix", F.lit(None).cast("binary")) if leaders else _with_prefixes(labelled)
+    pairs = _tiled(labelled, tile).repartition("token").sortWithinPartitions("token").mapInArrow(_pairs(percent, leaders), _COUNTED)
+    counted = pairs.groupBy("a", "b").agg(F.greatest(F.sum("met"), F.max("whole")).alias("same"))
     sizes = classes.select("s1", "n")
     na, nb = sizes.select(F.col("s1").alias("a"), F.col("n").alias("na")), sizes.select(F.col("s1").alias("b"), F.col("n").alias("nb"))
     prefix = lambda n: F.col(n) - F.ceil(F.col(n) * percent / 100) + 1
@@ -338,8 +462,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     same_id = _same_id(signed)
     links = durable(settle(docs, classes, _near_keys(classes, percent), percent).unionByName(same_id))
     labels = components(links)
-    more = settle(docs, classes, _candidates(docs, classes, labels, _order(signed), percent), percent)
-    labels = components(links.unionByName(more))
+    posts = _shared(docs, _order(signed), percent)
+    for leaders in (*LEADERS, 0):  # large groups are joined through some sets before all remaining pairs are asked for
+        more = settle(docs, classes, _candidates(posts, classes, labels, percent, leaders), percent)
+        links = durable(links.unionByName(more))
+        labels = components(links)
     named = classes.select("s1", "rep").join(labels, F.col("s1") == F.col("node"), "left").withColumn("label", F.coalesce("label", "s1"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     ids = named.join(least, "label").select("s1", "component_id")
