@@ -145,7 +145,7 @@ def l2_norms(spark, sf):
     return corpus(spark, sf).select(F.col("ord").alias("id"), F.round(X.l2_norm("vector"), 6).alias("norm"))
 
 
-@query(_with(BASE, UNIT) + "SELECT vec_id AS id, unnest(range(len(v)))::INT AS d, round(unnest(v), 6) AS x FROM u")
+@query(_with(BASE, UNIT) + "SELECT vec_id AS id, unnest(range(len(v)))::INT AS d, round(unnest(v), 6) + 0.0 AS x FROM u")
 def normalize_exploded(spark, sf):
     return corpus(spark, sf).select(F.col("ord").alias("id"), F.posexplode(X.normalize("vector")).alias("d", "x")).withColumn("x", F.round("x", 6))
 
@@ -197,7 +197,7 @@ def scalar_codes(spark, sf):
     return codes.select(F.col("ord").alias("id"), F.posexplode("codes").alias("d", "code"))
 
 
-@query(_with(BASE, LONG, RANGES, CODES, BACK) + "SELECT vec_id AS id, unnest(range(len(v)))::INT AS d, round(unnest(v), 6) AS x FROM b")
+@query(_with(BASE, LONG, RANGES, CODES, BACK) + "SELECT vec_id AS id, unnest(range(len(v)))::INT AS d, round(unnest(v), 6) + 0.0 AS x FROM b")
 def scalar_decoded(spark, sf):
     _, ranges, codes = _coded(spark, sf)
     stored = scalar.from_bytes(scalar.to_bytes(codes))
@@ -259,7 +259,7 @@ def nf4_packed(spark, sf):
     return nf4.encode(corpus(spark, sf)).select(F.col("ord").alias("id"), F.posexplode(X.nf4_pack("codes")).alias("i", "byte"))
 
 
-@query(_with(BASE, NFROWS, NFCODES, NFBACK) + "SELECT vec_id AS id, unnest(range(len(v)))::INT AS d, round(unnest(v), 5) AS x FROM nb")
+@query(_with(BASE, NFROWS, NFCODES, NFBACK) + "SELECT vec_id AS id, unnest(range(len(v)))::INT AS d, round(unnest(v), 5) + 0.0 AS x FROM nb")
 def nf4_decoded(spark, sf):
     return nf4.decode(nf4.encode(corpus(spark, sf))).select(F.col("ord").alias("id"), F.posexplode("vector").alias("d", "x")).withColumn("x", F.round("x", 5))
 
@@ -302,7 +302,7 @@ def _pq_codes(codes: DataFrame) -> DataFrame:
     return codes.select(F.col("ord").alias("id"), F.posexplode(F.transform(F.sequence(F.lit(0), F.octet_length("code") - 1), lambda i: F.conv(F.substring(F.hex("code"), (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int"))).alias("s", "code"))
 
 
-@query(_with(*PQ_BASE) + "SELECT s::INT AS s, c::INT AS c, unnest(range(8))::INT AS d, round(unnest(centroid), 6) AS x FROM k0")
+@query(_with(*PQ_BASE) + "SELECT s::INT AS s, c::INT AS c, unnest(range(8))::INT AS d, round(unnest(centroid), 6) + 0.0 AS x FROM k0")
 def pq_codebook_i0(spark, sf):
     _, model, _ = _pq(spark, sf, 0)
     return model.codebook(spark).select("s", "c", F.posexplode("centroid").alias("d", "x")).withColumn("x", F.round("x", 6))
@@ -318,7 +318,7 @@ def pq_codes_i1(spark, sf):
     return _pq_codes(_pq(spark, sf, 1)[2])
 
 
-@query(_with(*PQ_BASE, PQ_BACK) + "SELECT vec_id AS id, unnest(range(64))::INT AS d, round(unnest(v), 6) AS x FROM r")
+@query(_with(*PQ_BASE, PQ_BACK) + "SELECT vec_id AS id, unnest(range(64))::INT AS d, round(unnest(v), 6) + 0.0 AS x FROM r")
 def pq_decoded_i0(spark, sf):
     _, model, codes = _pq(spark, sf, 0)
     return model.decode(codes).select(F.col("ord").alias("id"), F.posexplode("vector").alias("d", "x")).withColumn("x", F.round("x", 6))
@@ -374,7 +374,7 @@ def rq_codes_i0(spark, sf):
     return _rq_codes(_rq(spark, sf, 0)[2])
 
 
-@query(_with(*RQ_BASE) + "SELECT vec_id AS id, unnest(range(64))::INT AS d, round(unnest(v), 5) AS x FROM r")
+@query(_with(*RQ_BASE) + "SELECT vec_id AS id, unnest(range(64))::INT AS d, round(unnest(v), 5) + 0.0 AS x FROM r")
 def rq_decoded_i0(spark, sf):
     _, model, codes = _rq(spark, sf, 0)
     return model.decode(codes).select(F.col("ord").alias("id"), F.posexplode("vector").alias("d", "x")).withColumn("x", F.round("x", 5))
@@ -504,7 +504,7 @@ def label_counts(spark, sf):
 
 # ---------------------------------------------------------------- sources and formats
 
-SAME = "SELECT vec_id AS id, unnest(range(len(embedding)))::INT AS d, round(unnest(embedding)::DOUBLE, 5) AS x FROM embeddings"
+SAME = "SELECT vec_id AS id, unnest(range(len(embedding)))::INT AS d, round(unnest(embedding)::DOUBLE, 5) + 0.0 AS x FROM embeddings"
 
 
 def _lines(df: DataFrame, form) -> DataFrame:
@@ -567,25 +567,25 @@ def format_roundtrip_stream(spark, sf):
     return _round_trip(spark, corpus(spark, sf), "stream")
 
 
-@query(_with(BASE, LONG, RANGES, CODES, BACK) + "SELECT vec_id AS id, unnest(range(len(v)))::INT AS d, round(unnest(v)::FLOAT::DOUBLE, 5) AS x FROM b")
+@query(_with(BASE, LONG, RANGES, CODES, BACK) + "SELECT vec_id AS id, unnest(range(len(v)))::INT AS d, round(unnest(v)::FLOAT::DOUBLE, 5) + 0.0 AS x FROM b")
 def format_roundtrip_qstream(spark, sf):
     df, ranges, codes = _coded(spark, sf)
     return _round_trip(spark, scalar.to_bytes(codes), "scalar", np.stack(ranges, axis=1), len(ranges[0]))
 
 
-@query(_with(BASE, NFROWS, NFCODES, f"fb AS (SELECT vec_id, list_transform(codes, lambda k: ([{LEVELS}]::FLOAT[])[k + 1] * scale::FLOAT) AS v FROM nc)") + "SELECT vec_id AS id, unnest(range(len(v)))::INT AS d, round(unnest(v)::DOUBLE, 5) AS x FROM fb")
+@query(_with(BASE, NFROWS, NFCODES, f"fb AS (SELECT vec_id, list_transform(codes, lambda k: ([{LEVELS}]::FLOAT[])[k + 1] * scale::FLOAT) AS v FROM nc)") + "SELECT vec_id AS id, unnest(range(len(v)))::INT AS d, round(unnest(v)::DOUBLE, 5) + 0.0 AS x FROM fb")
 def format_roundtrip_nf4(spark, sf):
     stored = nf4.pack(nf4.encode(corpus(spark, sf)))
     return _round_trip(spark, stored, "nf4", None, 64)
 
 
-@query(_with(*PQ_BASE, PQ_BACK) + "SELECT vec_id AS id, unnest(range(64))::INT AS d, round(unnest(v)::FLOAT::DOUBLE, 5) AS x FROM r")
+@query(_with(*PQ_BASE, PQ_BACK) + "SELECT vec_id AS id, unnest(range(64))::INT AS d, round(unnest(v)::FLOAT::DOUBLE, 5) + 0.0 AS x FROM r")
 def format_roundtrip_pq(spark, sf):
     _, model, codes = _pq(spark, sf, 0)
     return _round_trip(spark, codes, "pq", model)
 
 
-@query(_with(*RQ_BASE) + "SELECT vec_id AS id, unnest(range(64))::INT AS d, round(unnest(v)::FLOAT::DOUBLE, 5) AS x FROM r")
+@query(_with(*RQ_BASE) + "SELECT vec_id AS id, unnest(range(64))::INT AS d, round(unnest(v)::FLOAT::DOUBLE, 5) + 0.0 AS x FROM r")
 def format_roundtrip_rq(spark, sf):
     _, model, codes = _rq(spark, sf, 0)
     return _round_trip(spark, codes, "rq", model)
