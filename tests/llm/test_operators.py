@@ -194,6 +194,20 @@ def test_contexts_discover_unseen_forms(spark):
     assert pii.mask(rows[8][1], got[100].spans) == "Please call us at <phone> today."
 
 
+def test_scores_count_distinct_instances_however_often_copied(spark):
+    rows = [(i, f"Please call us at +1 (415) 555-01{i:02d} any day.") for i in range(50)]
+    rows += [(i, "Please call us at noon") for i in range(100, 1100)]
+    rows += [(2000, "Please call us at 415-555-0199 today.")]
+    rows += [(i, "The code was +1 415 555 0100 again") for i in range(3000, 4000)] + [(4000 + i, f"The code was +1 415 555 020{i} again") for i in range(3)]
+    rows += [(5000 + i, f"The code was w{i}") for i in range(20)] + [(6000, "The code was 415-555-0199 again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    score = {r.pattern: r.score for r in pii.scored_patterns(docs).collect()}
+    assert score["us at "] > 50 / 52 and score["code was "] < 0.3
+    got = by(pii.find(docs))
+    a = rows[1050][1].index("415")
+    assert got[2000].spans == f"phone:{a}:{a + 12}" and got[6000].spans == ""
+
+
 # ---------------------------------------------------------------- 4 line dedup
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -142,20 +141,18 @@ class _Finder:
 
 
 def _edges(shared) -> Callable:
-    """How often each pattern stands before each instance, added up in the task; what can't be of the kind is one instance, 0."""
+    """The distinct instances that each pattern stands before, told apart in the task first; may: whether one can be of the kind."""
 
-    def rows(held: Counter) -> pa.RecordBatch:
+    def rows(held: set) -> pa.RecordBatch:
         keys = list(held)
-        names = ("kind", "pattern", "instance", "seed")
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.bool_())
-        cols = [pa.array([k[i] for k in keys], t) for i, t in enumerate(kinds)]
-        out = pa.record_batch([*cols, pa.array([held[k] for k in keys], pa.int64())], names=[*names, "n"])
+        names = ("kind", "pattern", "instance", "seed", "may")
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.bool_())
         held.clear()
-        return out
+        return pa.record_batch([pa.array([k[i] for k in keys], t) for i, t in enumerate(kinds)], names=list(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = _Finder(shared.value)
-        held: Counter = Counter()
+        held: set = set()
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 found = list(finder.find(text or ""))
@@ -165,8 +162,8 @@ def _edges(shared) -> Callable:
                 for kind, p, a, b in found:
                     end = own.get((kind, a))
                     value = text[a : end or b]
-                    seen = end is not None or plausible(kind, value)
-                    held[kind, p, xxhash.xxh64_intdigest(value.encode()) >> 1 if seen else 0, end is not None] += 1
+                    seed = end is not None
+                    held.add((kind, p, xxhash.xxh64_intdigest(value.encode()) >> 1 or 1, seed, seed or plausible(kind, value)))
                 if len(held) > 50_000:
                     yield rows(held)
         yield rows(held)
@@ -177,8 +174,8 @@ def _edges(shared) -> Callable:
 def scored_patterns(docs: DataFrame, min_support: int = MIN_SUPPORT, rounds: int = ROUNDS) -> DataFrame:
     """Rows (kind, pattern, score) from the pattern-instance graph of the whole corpus.
 
-    Seeds have score 1, tokens that can't be of the kind 0. In each round a pattern's score is the mean over its occurrences
-    of what follows, and any other instance's the mean over its occurrences of the patterns before it.
+    Seeds have score 1, tokens that can't be of the kind 0. In each round a pattern's score is the mean of the distinct
+    instances that follow it, however often each does, and any other instance's the mean of the patterns before it.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
@@ -188,19 +185,22 @@ def scored_patterns(docs: DataFrame, min_support: int = MIN_SUPPORT, rounds: int
     empty = spark.createDataFrame([], "kind string, pattern string, score double")
     edges = None
     for lo in range(0, len(known), AUTOMATON):
-        part = rows.select("text").mapInArrow(_edges(spark.sparkContext.broadcast(known[lo : lo + AUTOMATON])), "kind string, pattern string, instance long, seed boolean, n long")
+        part = rows.select("text").mapInArrow(_edges(spark.sparkContext.broadcast(known[lo : lo + AUTOMATON])), "kind string, pattern string, instance long, seed boolean, may boolean")
         edges = part if edges is None else edges.unionByName(part)
     if edges is None:
         return empty
-    edges = durable(edges.groupBy("kind", "pattern", "instance").agg(F.sum("n").alias("n"), F.max("seed").alias("seed")))
+    edges = edges.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"), F.max("may").alias("may"))
+    # of a pattern's instances that score 0 only the number matters: they share one row, 0, of n distinct ones
+    shown = F.when(F.col("may"), F.col("instance")).otherwise(0).alias("instance")
+    edges = durable(edges.groupBy("kind", "pattern", shown).agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
     fixed = F.when(F.col("seed"), 1.0).when(F.col("instance") == 0, 0.0)
-    mean = lambda x: F.sum(F.col(x) * F.col("n")) / F.sum("n")
+    mean = F.sum(F.col("score") * F.col("n")) / F.sum("n")
     scored = edges.withColumn("score", F.coalesce(fixed, F.lit(0.0)))
     for _ in range(rounds):
-        patterns = scored.groupBy("kind", "pattern").agg(mean("score").alias("ps"))
-        instances = edges.join(patterns, ["kind", "pattern"]).groupBy("kind", "instance").agg(mean("ps").alias("is"))
+        patterns = scored.groupBy("kind", "pattern").agg(mean.alias("ps"))
+        instances = edges.join(patterns, ["kind", "pattern"]).groupBy("kind", "instance").agg(F.avg("ps").alias("is"))
         scored = durable(edges.join(instances, ["kind", "instance"]).withColumn("score", F.coalesce(fixed, F.col("is"))).drop("is"))
-    return scored.groupBy("kind", "pattern").agg(mean("score").alias("score"))
+    return scored.groupBy("kind", "pattern").agg(mean.alias("score"))
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
