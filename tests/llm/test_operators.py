@@ -208,6 +208,21 @@ def test_scores_count_distinct_instances_however_often_copied(spark):
     assert got[2000].spans == f"phone:{a}:{a + 12}" and got[6000].spans == ""
 
 
+def test_lower_casing_keeps_places_whatever_stands_around():
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    one = [pii.lower(c) for c in every]
+    assert all(len(c) == 1 for c in one) and pii.lower("".join(every)) == "".join(one)
+    assert pii.lower("\u039f\u0394\u039f\u03a3 \u03a3") == "".join(map(pii.lower, "\u039f\u0394\u039f\u03a3 \u03a3"))
+
+
+def test_contexts_are_found_beside_a_capital_dotted_i(spark):
+    rows = [(i, f"\u0130stanbul'da bize \u0130leti\u015fim hatt\u0131: +90 (212) 555-01{i:02d} aray\u0131n.") for i in range(20)]
+    rows += [(100, "\u0130zmir, \u0130leti\u015fim hatt\u0131: 0212-555-0199")]
+    got = by(pii.find(spark.createDataFrame(rows, "doc_id long, text string")))
+    a = rows[20][1].index("0212")
+    assert got[100].spans == f"phone:{a}:{a + 13}" and got[3].n_phone == 1
+
+
 # ---------------------------------------------------------------- 4 line dedup
 
 

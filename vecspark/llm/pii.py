@@ -69,6 +69,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def lower(text: str) -> str:
+    """text lower-cased code point by code point, each in its place: capital dotted I is i, and every sigma is the same."""
+    if text.isascii():
+        return text.lower()
+    return text.replace("\u0130", "i").lower().replace("\u03c2", "\u03c3")
+
+
 _CONTEXT = re.compile(r"[^\W\d_]+[^\w\n]{1,3}[^\W\d_]+[^\w\n]{1,4}\Z")
 _TOKEN = re.compile(r"[^\s,;<>\"']+(?: (?=[(0-9])[^\s,;<>\"']+){0,4}")
 
@@ -76,7 +83,7 @@ _TOKEN = re.compile(r"[^\s,;<>\"']+(?: (?=[(0-9])[^\s,;<>\"']+){0,4}")
 def context(text: str, start: int) -> str | None:
     """The lexical pattern left of a place: two words of letters with what stands between, lower-cased, on one line."""
     m = _CONTEXT.search(text[max(0, start - 60) : start])
-    return m[0].lower() if m else None
+    return lower(m[0]) if m else None
 
 
 def follower(text: str, at: int) -> tuple[int, int] | None:
@@ -131,10 +138,9 @@ class _Finder:
 
     def find(self, text: str) -> Iterator[tuple[str, str, int, int]]:
         """(kind, pattern, start, end) of each token after a pattern, where the token's own context is that pattern."""
-        low = text.lower()
-        if not self.some or len(low) != len(text):  # lower-casing that moves places: no pattern is looked for
+        if not self.some:
             return
-        for last, (p, kinds) in self.a.iter(low):
+        for last, (p, kinds) in self.a.iter(lower(text)):
             if context(text, last + 1) == p and (t := follower(text, last + 1)):
                 for kind in kinds:
                     yield kind, p, *t
