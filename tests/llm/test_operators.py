@@ -365,6 +365,38 @@ def test_code_lengths_are_those_of_a_proper_code():
     assert np.allclose(p.sum(axis=2), 1.0, atol=1e-5)
 
 
+def test_every_byte_has_its_own_code_length():
+    rng = np.random.default_rng(1)
+    grams = rng.integers(0, 16, (400, 3)) @ np.array([1 << 16, 1 << 8, 1]) * 17  # bytes 0, 17, ..., 255
+    kinds, n = np.unique(grams, return_counts=True)
+    row, table = language_id._sparse_tree(kinds, n)
+    p = np.exp2(-table.reshape(-1, 256).astype(float))
+    assert np.allclose(p.sum(axis=1), 1.0, atol=1e-5)
+    small = np.zeros((256, 256, 256), np.int32)
+    small[kinds >> 16, kinds >> 8 & 255, kinds & 255] = n
+    first = [int(x) for x in np.unique(kinds >> 16)[:3]] + [1]
+    one = small.sum(axis=0)
+    for a in first:  # each slice by the dense definition
+        p1 = language_id._longer(one.astype(float), language_id._longer(one.sum(axis=0).astype(float), np.full(256, 1 / 256)))
+        want = language_id._bits(language_id._longer(small[a].astype(float), p1))
+        assert np.array_equal(table.reshape(-1, 256)[row[a << 8 : a + 1 << 8]], want)
+
+
+def test_languages_that_differ_in_rare_bytes_are_told_apart(spark):
+    rng = random.Random(5)
+    ascii_ = "".join(chr(c) for c in range(33, 127))
+    many = "".join(chr(c) for c in range(0x400, 0x460)) + "".join(chr(c) for c in range(0xC0, 0x100))
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(5))
+    rows = [(i, " ".join(word(ascii_ + many) for _ in range(600)), "big") for i in range(80)]
+    rare = {"x": "\u0e01\u0e02\u0e03\u0e04", "y": "\u1e01\u1e02\u1e03\u1e04"}  # lead bytes e0 and e1, the rest alike
+    rows += [(1000 + 100 * k + i, " ".join(word(letters) for _ in range(4)), lang) for k, (lang, letters) in enumerate(rare.items()) for i in range(20)]
+    got = by(language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert all(got[d].lang_pred == lang for d, _, lang in rows)
+    model = language_id.Model([("l", b << 16 | b << 8 | b, 1 + b) for b in range(256)])
+    lengths = model.code_lengths(*[x for _, _, *x in chunks(pa.array(["\u0e01", "\u1e01"]))][0])
+    assert lengths.shape == (1, 2) and lengths[0, 0] != lengths[0, 1]
+
+
 # ---------------------------------------------------------------- 8 chat formatting
 
 

@@ -13,8 +13,6 @@ from ._common import LOWER, chunks
 
 #: Labelled documents a language that the trees are fitted on, at most about; which ones follows from a hash of doc_id.
 TRAIN_DOCS = 5000
-#: The most frequent byte values that are symbols of their own; all others share one more symbol.
-SYMBOLS = 95
 
 
 def _grams(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -41,54 +39,70 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch({"lang": pa.array([lang] * len(kinds), pa.string()), "gram": pa.array(kinds, pa.int32()), "n": pa.array(n, pa.int64())})
 
 
+def _longer(n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Probabilities after contexts with counts n, from those p after one symbol less: escape (method C), with exclusion."""
+    total, kinds = n.sum(-1, keepdims=True), (n > 0).sum(-1, keepdims=True)
+    below = np.broadcast_to(p, n.shape) * (n == 0)
+    rest = below.sum(-1, keepdims=True)
+    escape = np.where(rest > 0, kinds / np.maximum(total + kinds, 1), 0.0)
+    escape = np.where(total == 0, 1.0, escape)
+    seen = n / np.where(rest > 0, np.maximum(total + kinds, 1), np.maximum(total, 1))
+    return seen + escape * below / np.where(rest > 0, rest, 1.0)
+
+
+def _bits(p: np.ndarray) -> np.ndarray:
+    return (-np.log2(np.maximum(p, 2.0**-60))).astype(np.float32)
+
+
 def _tree(counts: np.ndarray) -> np.ndarray:
-    """Bits of each symbol after each two-symbol context, from counts [a, b, c]: escape to shorter contexts (method C), with exclusion."""
-    size = counts.shape[0]
-    p = np.full(size, 1.0 / size)
+    """Bits of each symbol after each two-symbol context, from counts [a, b, c]."""
+    p = np.full(counts.shape[0], 1.0 / counts.shape[0])
     for order in (0, 1, 2):
-        n = counts.sum(axis=tuple(range(2 - order))).astype(float)
-        total, kinds = n.sum(-1, keepdims=True), (n > 0).sum(-1, keepdims=True)
-        below = np.broadcast_to(p, n.shape) * (n == 0)
-        rest = below.sum(-1, keepdims=True)
-        escape = np.where(rest > 0, kinds / np.maximum(total + kinds, 1), 0.0)
-        escape = np.where(total == 0, 1.0, escape)
-        seen = n / np.where(rest > 0, np.maximum(total + kinds, 1), np.maximum(total, 1))
-        p = seen + escape * below / np.where(rest > 0, rest, 1.0)
-    return (-np.log2(np.maximum(p, 2.0**-60))).astype(np.float32)
+        p = _longer(counts.sum(axis=tuple(range(2 - order))).astype(float), p)
+    return _bits(p)
+
+
+def _sparse_tree(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_tree over all 256 byte values, from distinct three-byte numbers and their counts, without rows of unseen contexts.
+
+    Returns the row of each context a << 8 | b, and the rows: of the contexts seen, then after each single byte b, which
+    serves every (a, b) not seen.
+    """
+    context, byte = grams >> 8, grams & 255
+    two = np.zeros((256, 256))
+    np.add.at(two, (context & 255, byte), n)
+    one = _longer(two, _longer(two.sum(axis=0), np.full(256, 1.0 / 256)))
+    seen, own = np.unique(context, return_inverse=True)
+    rows = np.empty((len(seen) + 256, 256), np.float32)
+    rows[len(seen) :] = _bits(one)
+    for lo in range(0, len(seen), 1024):
+        part = seen[lo : lo + 1024]
+        mine = (own >= lo) & (own < lo + 1024)
+        counts = np.zeros((len(part), 256))
+        np.add.at(counts, (own[mine] - lo, byte[mine]), n[mine])
+        rows[lo : lo + len(part)] = _bits(_longer(counts, one[part & 255]))
+    at = len(seen) + (np.arange(1 << 16, dtype=np.int32) & 255)
+    at[seen] = np.arange(len(seen))
+    return at.astype(np.int32), rows.reshape(-1)
 
 
 class Model:
-    """Frozen statistics: the symbol of each byte and for each language the code length of each symbol in context."""
+    """Frozen statistics: for each language the code length of each of the 256 byte values in context."""
 
     def __init__(self, counts: list[tuple[str, int, int]]):
         self.langs = sorted({r[0] for r in counts})
-        seen = np.zeros(256, np.int64)
-        for _, g, n in counts:
-            seen[g & 255] += n
-        common = [int(x) for x in np.argsort(-seen, kind="stable")[:SYMBOLS] if seen[x]]
-        self.symbol = np.full(256, len(common), np.int32)
-        self.symbol[common] = np.arange(len(common))
-        self.size = len(common) + 1
-        tables = np.zeros((len(self.langs), self.size, self.size, self.size), np.int64)
         at = {x: i for i, x in enumerate(self.langs)}
-        rows = np.array([(at[lang], g >> 16, g >> 8 & 255, g & 255, n) for lang, g, n in counts], np.int64).reshape(-1, 5)
-        np.add.at(tables, (rows[:, 0], self.symbol[rows[:, 1]], self.symbol[rows[:, 2]], self.symbol[rows[:, 3]]), rows[:, 4])
-        self.bits = np.stack([_tree(t).reshape(-1) for t in tables]) if self.langs else np.zeros((0, 1), np.float32)
+        rows = np.array([(at[lang], g, n) for lang, g, n in counts], np.int64).reshape(-1, 3)
+        self.trees = [_sparse_tree(*rows[rows[:, 0] == k, 1:].T) for k in range(len(self.langs))]
 
     def code_lengths(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         """[language, text]: the bits that each language's tree needs for each text."""
-        s = self.symbol[LOWER[raw]]
-        space = self.symbol[32]
-        one, two = np.empty_like(s), np.empty_like(s)
-        one[1:], two[2:] = s[:-1], s[:-2]
+        g = _grams(raw, off)
+        context, byte = g >> 8, g & 255
         start = off[:-1]
-        one[start] = two[start] = space
-        second = start[np.diff(off) > 1] + 1
-        two[second] = space
-        at = (two * self.size + one) * self.size + s
         out = np.empty((len(self.langs), len(start)))
-        for k in range(len(self.langs)):
-            bits = self.bits[k][at].astype(np.float64)
+        for k, (row, table) in enumerate(self.trees):
+            bits = table[row[context] << 8 | byte].astype(np.float64)
             bits[off[1:] - 1] = 0.0  # separators
             out[k] = np.add.reduceat(bits, start)
         return out
