@@ -233,6 +233,18 @@ def test_auto_select(spark):
     assert c.format in ("rq", "pq") and c.ratio >= 8.0
 
 
+def test_registered_auto_select_judges_all_rows(spark, tmp_path):
+    from vecspark.plans import catalogue
+
+    rng = np.random.default_rng(4)
+    v = np.concatenate([np.tile([1.0, -1.0], (1000, 4)), rng.normal(size=(600, 8)) ** 5])
+    spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    df = catalogue.corpus(spark, str(tmp_path))
+    got = catalogue.auto_select(spark, str(tmp_path)).first()
+    whole, first = quality.auto_select(df, max_sample=1600), quality.auto_select(df)
+    assert got.format == whole.format and got.cosine == pytest.approx(whole.cosine, abs=1e-9) and abs(first.cosine - whole.cosine) > 1e-3
+
+
 def test_schema_checks(spark):
     with pytest.raises(ValueError):
         validate_dims(table(spark, [("a", [1.0, 0.0]), ("b", [0.0, 1.0, 2.0])]))

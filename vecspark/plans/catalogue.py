@@ -413,7 +413,7 @@ def compression_ratios(spark, sf):
 
 @query()
 def auto_select(spark, sf):
-    c = quality.auto_select(corpus(spark, sf))
+    c = quality.auto_select(corpus(spark, sf), max_sample=None)
     return _values(spark, [(c.format, float(c.cosine), float(c.ratio), json.dumps(c.params))], "format string, cosine double, ratio double, params string")
 
 
