@@ -119,32 +119,109 @@ def test_near_duplicates_of_chained_and_borderline_copies(spark):
     assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == want
 
 
-def test_frequent_shingles_change_no_result(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "MANY", 1)
-    rows = [(d, t) for d, t in texts() if t and len(t) < 5000]
-    want = edge.components(rows)
-    got = by(jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
-    assert {d: r.component_id for d, r in got.items()} == {d: c for d, (_, c) in want.items()}
-
-
-def test_large_groups_are_cut_into_tiles(spark):
-    rows = spark.createDataFrame([(t, s, 9, s, None) for t, m in ((1, 50), (2, 3)) for s in range(m)], "token long, s1 long, n int, label long, prefix binary")
-    groups = collections.defaultdict(set)
-    for r in jaccard_join._tiled(rows, 10).collect():
-        groups[r.token].add(r.s1)
-    assert max(map(len, groups.values())) < 40 and {0, 1, 2} in groups.values()
-    assert all(any(a in g and b in g for g in groups.values()) for a in range(50) for b in range(a))
-
-
-def test_shared_tokens_over_batches():
+def _near_copies(seed, groups=6, size=25):
+    """Texts whose sets lie around the threshold, with passages that many groups share."""
+    rng = random.Random(seed)
+    rows = []
+    passages = [[f"p{k}_{i}" for i in range(12)] for k in range(3)]
+    for k in range(groups):
+        base = [f"b{k}_{i}" for i in range(rng.choice([6, 30, 90, 260]))] + passages[k % 3]
+        for _ in range(size):
+            own = list(base)
+            for _ in range(rng.randrange(1 + len(own) // 25)):
+                own[rng.randrange(len(own))] = f"e{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(own[rng.randrange(3) :])))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("branch", [4, jaccard_join.BRANCH])
+def test_large_branches_are_cut_without_loss(spark, branch):
+    rows = _near_copies(branch)
+    got = by(jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), branch=branch))
+    assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == edge.components(rows)
+
+
+def _trees(rows, label):
+    """Pairs of the forest over whole sets of numbers, dealt and traversed here."""
+    sets = [np.array(sorted(x), np.int64) for x in rows]
+    n = np.array([len(x) for x in sets])
+    df = collections.Counter(t for x in sets for t in x.tolist())
+    out = []
+    for i, x in enumerate(sets):
+        x = np.array(sorted((t for t in x.tolist() if df[t] > 1), key=lambda t: (df[t], t)), np.int64)
+        code = np.concatenate([jaccard_join._codes(jaccard_join._rank(np.array([df[t] for t in x.tolist()])), x), np.full(jaccard_join.LEVELS, 0xFFFFFFFF, np.uint32)])
+        for k, t in enumerate(x.tolist()):
+            bits = jaccard_join._parity(sets[i].view(np.uint64), np.array([0, n[i]]))[0]
+            out.append((t, k, len(x), code[k + 1 : k + 1 + jaccard_join.LEVELS].astype(np.uint32).tobytes(), i, n[i], label[i], bits))
+    out.sort(key=lambda r: r[0])
+    cols = [np.array(c, object) if isinstance(c[0], bytes) else np.array(c) for c in zip(*out, strict=True)]
+    found = set()
+    for a, b in jaccard_join._Forest(*cols, 80).pairs():
+        found |= {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    return found
+
+
+def test_trees_lose_no_pair(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FRONT", 50)
+    for seed in range(6):
+        rng = random.Random(seed)
+        base = [rng.sample(range(1 << 62), rng.choice([3, 20, 150])) for _ in range(4)]
+        rows = []
+        for _ in range(60):
+            own = list(rng.choice(base))
+            for _ in range(rng.randrange(1 + len(own) // 6)):
+                own[rng.randrange(len(own))] = rng.randrange(1 << 62)
+            rows.append(set(own))
+        label = [rng.randrange(12) for _ in rows]
+        similar = {(i, j) for j in range(len(rows)) for i in range(j) if label[i] != label[j] and 100 * len(rows[i] & rows[j]) >= 80 * len(rows[i] | rows[j])}
+        found = _trees(rows, label)
+        assert similar <= found and all(label[i] != label[j] for i, j in found)
+
+
+def test_parity_bits_bound_the_difference():
+    rng = random.Random(8)
+    sets = [rng.sample(range(1 << 62), n) for n in (1, 3, 64, 65, 70, 130, 250, 260, 900, 1100, 1300)]
+    sets += [x[: len(x) - len(x) // 9] for x in sets]
+    at = np.cumsum([0, *map(len, sets)])
+    bits = jaccard_join._Bits(np.diff(at), b"".join(jaccard_join._parity(np.array([t for x in sets for t in sorted(x)], np.uint64), at)))
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    for a, b, d in zip(i.tolist(), j.tolist(), bits.differ(i, j).tolist(), strict=True):
+        assert d <= len(set(sets[a]) ^ set(sets[b])) and (a != b or d == 0)
+
+
+@pytest.mark.parametrize("most", [3, 1 << 16])
+def test_shared_posts_over_batches(monkeypatch, most):
+    monkeypatch.setattr(jaccard_join, "MOST", most)
     rng = random.Random(3)
-    rows = sorted((rng.randrange(30), rng.randrange(6)) for _ in range(120))
-    want = {(t, s) for t, s in rows if len({b for a, b in rows if a == t}) > 1}
+    rows = sorted((rng.randrange(30), rng.choice([0, 0, 0, 2]), rng.randrange(6), rng.choice([5, 5, 5, -5])) for _ in range(150))
+    rows = [r for r in rows if r[1] == 0 or r[3] > 0]
+    sets, hot = collections.defaultdict(set), {(t, k) for t, k, _, n in rows if k or n < 0}
+    for t, k, s, _ in rows:
+        sets[t, k].add(s)
+    want = {(t, k, s): most if (t, k) in hot else min(len(x), most) for (t, k), x in sets.items() if len(x) > 1 or (t, k) in hot for s in x}
     for size in (1, 2, 7, 500):
-        parts = [rows[i : i + size] for i in range(0, len(rows), size)]
-        batches = (pa.record_batch({"token": pa.array([r[0] for r in p], pa.int64()), "s1": pa.array([r[1] for r in p], pa.int64()), "n": pa.array([5] * len(p), pa.int32())}) for p in parts)
-        got = [(t, s) for b in jaccard_join._shared_tokens(batches) for t, s in zip(b["token"].to_pylist(), b["s1"].to_pylist(), strict=True)]
-        assert len(got) == len(set(got)) and set(got) == want
+        batches = (pa.record_batch({c: pa.array(v, t) for c, v, t in zip(("token", "salt", "s", "n"), zip(*rows[i : i + size], strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)}) for i in range(0, len(rows), size))
+        got = [r for b in jaccard_join._shared(batches) for r in zip(*(b[c].to_pylist() for c in ("token", "s", "n", "rank")), strict=True)]
+        assert sorted(got) == sorted((t, s, 5, int(jaccard_join._rank(np.array([d]))[0])) for (t, _, s), d in want.items())
+
+
+def test_sets_with_one_digest_are_told_apart_by_both(spark):
+    texts_ = pa.record_batch({"doc_id": pa.array([1, 2]), "same": pa.array([1, 2]), "text": pa.array([edge.BASE, edge.NEAR])})
+    signed = next(jaccard_join._sign(iter([texts_])))
+    twins = signed["s1"].to_numpy().view(np.uint64)
+    _, _, g, at = next(jaccard_join.shingle_sets(texts_["text"]))
+    assert jaccard_join._names(g, at, twins).tolist() == signed["both"].to_pylist() != signed["s1"].to_pylist()
+    rows = spark.createDataFrame([(int(a), int(b)) for a, b in zip(signed["s1"].to_pylist(), signed["both"].to_pylist(), strict=True)], "s1 long, both long")
+    assert sorted(r.s for r in rows.select(jaccard_join._name(twins)).collect()) == sorted(signed["both"].to_pylist())
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    rows = [(1, edge.BASE), (1, edge.NEAR), (2, edge.NEAR), (3, edge.BASE), (4, "x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard_join.near_duplicates(df).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+    labels = {(r.doc_id, r.n_shingles): r.label for r in jaccard_join.linked(df).collect()}
+    assert len(set(labels.values())) == 3
 
 
 def test_null_ids_link_with_nothing(spark):
