@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,10 +16,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all runs on one machine (tests)."""
     sc = spark.sparkContext
     at = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="vecspark-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
@@ -35,6 +38,17 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column has, in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -72,7 +86,7 @@ class Buckets:
 # ---------------------------------------------------------------- byte segments
 
 #: Bytes of text looked at in one go; a longer text makes a chunk of its own.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 ASCII_SPACE = [0x20, *range(0x09, 0x0E)]
 LOWER = np.arange(256, dtype=np.uint8)
@@ -102,22 +116,28 @@ def _table(seed: int) -> np.ndarray:
 
 
 class Hasher:
-    """Polynomial hashes modulo 2**64 of byte ranges, through prefix sums."""
+    """Polynomial hashes modulo 2**64 of byte ranges, through prefix sums; hashers differ in what a byte counts."""
+
+    BASE = 0x5851F42D4C957F2B
+    _pow = _back = np.ones(1, U)
 
     def __init__(self, seed: int = 1):
         self.table = _table(seed)
-        self.base = int(mix(np.array([seed * 77 + 5], U))[0]) & ~7 | 3
-        self.pow = self.back = np.ones(1, U)
-
-    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The first n powers of the base and of its inverse."""
-        if len(self.pow) < n:
-            size = max(n, CHUNK + 1)
-            for name, base in (("pow", self.base), ("back", pow(self.base, -1, 1 << 64))):
-                p = np.full(size, U(base))
-                p[0] = 1
-                setattr(self, name, np.cumprod(p, dtype=U))
-        return self.pow[:n], self.back[:n]
+
+    @classmethod
+    def powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first n powers of the base and of its inverse; those for a chunk are kept."""
+        if len(cls._pow) >= n:
+            return cls._pow[:n], cls._back[:n]
+        size = max(n, CHUNK + 1)
+        out = []
+        for base in (cls.BASE, pow(cls.BASE, -1, 1 << 64)):
+            p = np.full(size, U(base))
+            p[0] = 1
+            out.append(np.cumprod(p, dtype=U))
+        if size == CHUNK + 1:
+            cls._pow, cls._back = out
+        return out[0][:n], out[1][:n]
 
     def prefix(self, buf: np.ndarray) -> np.ndarray:
         out = np.empty(len(buf) + 1, U)
