@@ -41,7 +41,9 @@ LEVELS = 6
 #: Sets of a branch that one task looks at, about; a larger branch is cut into parts, each two of which meet.
 BRANCH = 1 << 15
 #: Places in trees that are looked at in one go.
-FRONT = 1 << 20
+FRONT = 1 << 18
+#: Sets whose rows are dealt at once.
+AT_ONCE = 256
 #: Partners of one set in one task.
 PARTNERS = 4096
 #: Bits of the largest broadcast set of documents whose texts are read again; beyond it they are joined.
@@ -335,7 +337,7 @@ def _best(percent: int) -> Callable:
     """For each set and key the leader with the fewest differing bits, if it may be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             s, n = batch.column("s").to_numpy(), batch.column("n").to_numpy().astype(np.int64)
             bits, names, sizes, theirs = (batch.column(c).to_pylist() for c in ("bits", "ls", "ln", "lbits"))
             row = np.repeat(np.arange(len(s)), [len(x) // 8 for x in names])
@@ -367,11 +369,17 @@ def _with_leaders(sets: DataFrame, percent: int) -> DataFrame:
 # ---------------------------------------------------------------- trees
 
 
-def _dealt(percent: int) -> Callable:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(lo, AT_ONCE)
+
+
+def _dealt() -> Callable:
     """A row for each branch of a set: the branch, the set's place there, its next LEVELS codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows, keys, places, paths = [], [], [], []
             s = batch.column("s").to_numpy().view(U)
             size = []
@@ -485,7 +493,7 @@ def _in_trees(sets: DataFrame, labels: DataFrame, percent: int, branch: int = BR
     light = named.mapInArrow(_light(percent), "token long, s long, label long")
     mixed = light.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", F.ceil(F.col("m") / branch).cast("int").alias("parts"))
     kept = light.select("token", "s").join(mixed, "token").groupBy("s").agg(F.collect_list(F.struct("token", "parts")).alias("branches"))
-    rows = named.join(kept, "s").mapInArrow(_dealt(percent), "key long, place int, m int, path binary, s long, n int, label long, bits binary")
+    rows = named.join(kept, "s").mapInArrow(_dealt(), "key long, place int, m int, path binary, s long, n int, label long, bits binary")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_climb(percent), "a long, b long")
 
 
@@ -493,7 +501,7 @@ def _light(percent: int) -> Callable:
     """(token, s, label) of the first shared posts of a set, so many that any similar set has one of them among its own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             n = batch.column("n").to_numpy().astype(np.int64)
             tokens = [np.frombuffer(x, np.int64) for x in batch.column("tokens").to_pylist()]
             first = [t[: len(t) - c + 1] for t, c in zip(tokens, _least_common(n, percent).tolist(), strict=True)]
