@@ -153,7 +153,7 @@ def _trees(rows, label):
         code = np.concatenate([jaccard_join._codes(jaccard_join._rank(np.array([df[t] for t in x.tolist()])), x), np.full(jaccard_join.LEVELS, 0xFFFFFFFF, np.uint32)])
         for k, t in enumerate(x.tolist()):
             bits = jaccard_join._parity(sets[i].view(np.uint64), np.array([0, n[i]]))[0]
-            out.append((t, k, len(x), code[k + 1 : k + 1 + jaccard_join.LEVELS].astype(np.uint32).tobytes(), i, n[i], label[i], bits))
+            out.append((t, k, len(x), code[k + 1 : k + 1 + jaccard_join.LEVELS].astype(np.uint32).tobytes(), np.concatenate([np.zeros(jaccard_join.BACK, np.int64), x])[k : k + jaccard_join.BACK].tobytes(), i, n[i], label[i], bits))
     out.sort(key=lambda r: r[0])
     cols = [np.array(c, object) if isinstance(c[0], bytes) else np.array(c) for c in zip(*out, strict=True)]
     found = set()

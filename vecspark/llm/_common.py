@@ -87,6 +87,8 @@ class Buckets:
 
 #: Bytes of text looked at in one go; a longer text makes a chunk of its own.
 CHUNK = 1 << 20
+#: Rows whose texts are unpacked at once.
+ROWS = 1024
 
 ASCII_SPACE = [0x20, *range(0x09, 0x0E)]
 LOWER = np.arange(256, dtype=np.uint8)
@@ -152,17 +154,18 @@ class Hasher:
 
 def chunks(texts: pa.Array, sep: bytes = b" ") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes with a separator after each text, start of each text and the end) for chunks of a column; nulls are empty."""
-    rows = [x or b"" for x in texts.cast(pa.large_string()).cast(pa.large_binary()).to_pylist()]
-    lo = 0
-    while lo < len(rows):
-        size, hi = 0, lo
-        while hi < len(rows) and (hi == lo or size + len(rows[hi]) < CHUNK):
-            size += len(rows[hi]) + 1
-            hi += 1
-        off = np.zeros(hi - lo + 1, np.int64)
-        np.cumsum([len(x) + 1 for x in rows[lo:hi]], out=off[1:])
-        yield lo, hi, np.frombuffer(sep.join([*rows[lo:hi], b""]), np.uint8), off
-        lo = hi
+    for top in range(0, len(texts), ROWS):
+        rows = [x or b"" for x in texts.slice(top, ROWS).cast(pa.large_string()).cast(pa.large_binary()).to_pylist()]
+        lo = 0
+        while lo < len(rows):
+            size, hi = 0, lo
+            while hi < len(rows) and (hi == lo or size + len(rows[hi]) < CHUNK):
+                size += len(rows[hi]) + 1
+                hi += 1
+            off = np.zeros(hi - lo + 1, np.int64)
+            np.cumsum([len(x) + 1 for x in rows[lo:hi]], out=off[1:])
+            yield top + lo, top + hi, np.frombuffer(sep.join([*rows[lo:hi], b""]), np.uint8), off
+            lo = hi
 
 
 def words(buf: np.ndarray, off: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -36,10 +36,10 @@ SALTS = 64
 MOST = 1 << 16
 #: Least shingles of a set by which it meets leaders, leaders of a shingle, and leaders that a set is settled with.
 KEYS, LEADERS, BEST = 8, 16, 3
-#: Levels of a branch's tree below its first.
-LEVELS = 6
+#: Levels of a branch's tree below its first, and shingles before it that tell whether a pair met before.
+LEVELS, BACK = 6, 4
 #: Sets of a branch that one task looks at, about; a larger branch is cut into parts, each two of which meet.
-BRANCH = 1 << 15
+BRANCH = 1 << 13
 #: Places in trees that are looked at in one go.
 FRONT = 1 << 18
 #: Sets whose rows are dealt at once.
@@ -375,12 +375,19 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(lo, AT_ONCE)
 
 
+def _fixed(parts: list[bytes], size: int) -> pa.Array:
+    """Binary values of one size that lie one after another."""
+    whole = b"".join(parts)
+    n = len(whole) // size
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, len(whole) + 1, size, dtype=np.int32)), pa.py_buffer(whole)])
+
+
 def _dealt() -> Callable:
-    """A row for each branch of a set: the branch, the set's place there, its next LEVELS codes."""
+    """A row for each branch of a set: the branch, the set's place there, its next LEVELS codes and its last BACK shingles before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            rows, keys, places, paths = [], [], [], []
+            rows, keys, places, paths, backs = [], [], [], [], []
             s = batch.column("s").to_numpy().view(U)
             size = []
             for i, (tokens, codes, branches) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("tokens", "codes", "branches")), strict=True)):
@@ -390,6 +397,7 @@ def _dealt() -> Callable:
                 order = np.argsort(t, kind="stable")
                 token = np.array([b["token"] for b in branches], np.int64)
                 place = order[np.searchsorted(t, token, sorter=order)]
+                last = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(BACK, np.int64), t]), BACK)
                 next_ = np.lib.stride_tricks.sliding_window_view(c, LEVELS)
                 parts = np.array([b["parts"] for b in branches], np.int64)
                 k = np.repeat(np.arange(len(token)), parts)  # a large branch has a key for each two of its parts
@@ -399,10 +407,11 @@ def _dealt() -> Callable:
                 rows.append(np.full(len(k), i))
                 keys.append(key)
                 places.append(place[k])
-                paths += [x.tobytes() for x in next_[place[k] + 1]]
+                paths.append(next_[place[k] + 1].tobytes())
+                backs.append(last[place[k]].tobytes())
             if rows:
                 at = pa.array(np.concatenate(rows))
-                yield pa.record_batch({"key": np.concatenate(keys), "place": pa.array(np.concatenate(places), pa.int32()), "m": pa.array(np.array(size)[np.concatenate(rows)], pa.int32()), "path": pa.array(paths, pa.binary()), **{c: batch.column(c).take(at) for c in ("s", "n", "label", "bits")}})
+                yield pa.record_batch({"key": np.concatenate(keys), "place": pa.array(np.concatenate(places), pa.int32()), "m": pa.array(np.array(size)[np.concatenate(rows)], pa.int32()), "path": _fixed(paths, 4 * LEVELS), "back": _fixed(backs, 8 * BACK), **{c: batch.column(c).take(at) for c in ("s", "n", "label", "bits")}})
 
     return run
 
@@ -410,10 +419,11 @@ def _dealt() -> Callable:
 class _Forest:
     """The trees of some whole branches: rows sorted by branch and path; a node is a run of rows whose paths begin alike."""
 
-    def __init__(self, key, place, m, path, s, n, label, bits, percent: int):
+    def __init__(self, key, place, m, path, back, s, n, label, bits, percent: int):
         codes = np.frombuffer(b"".join(path.tolist()), np.uint32).reshape(-1, LEVELS)
         order = np.lexsort((*codes.T[::-1], key))
         self.codes, key = codes[order], key[order]
+        self.back = np.frombuffer(b"".join(back.tolist()), np.int64).reshape(-1, BACK)[order]
         self.s, self.label, self.percent = s[order], label[order], percent
         self.n, self.after = n[order].astype(np.int64), (m - place - 1)[order].astype(np.int64)  # after: shared posts that follow the branch's
         self.rest = _rest(self.n, percent)
@@ -472,13 +482,16 @@ class _Forest:
         ok = (j > i) & (self.label[i] != self.label[j]) & (np.minimum(self.n[i], self.n[j]) >= need) & (bound >= need - np.maximum(self.rest[i], self.rest[j]))
         i, j = i[ok], j[ok]
         may = _may(self.n[i], self.n[j], self.bits.differ(i, j), self.percent)
-        return self.s[i[may]], self.s[j[may]]
+        i, j = i[may], j[may]
+        x, y = self.back[i], self.back[j]
+        met = ((x[:, :, None] == y[:, None, :]) & (x != 0)[:, :, None]).any(axis=(1, 2))  # at a branch before this one
+        return self.s[i[~met]], self.s[j[~met]]
 
 
 def _climb(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
-        for rows in _groups(batches, ("key", "place", "m", "path", "s", "n", "label", "bits")):
+        for rows in _groups(batches, ("key", "place", "m", "path", "back", "s", "n", "label", "bits")):
             for x, y in _Forest(*rows, percent).pairs():
                 new = [p for p in zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True) if not seen(p)]
                 yield pa.record_batch({"a": pa.array([p[0] for p in new], pa.int64()), "b": pa.array([p[1] for p in new], pa.int64())})
@@ -493,7 +506,7 @@ def _in_trees(sets: DataFrame, labels: DataFrame, percent: int, branch: int = BR
     light = named.mapInArrow(_light(percent), "token long, s long, label long")
     mixed = light.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", F.ceil(F.col("m") / branch).cast("int").alias("parts"))
     kept = light.select("token", "s").join(mixed, "token").groupBy("s").agg(F.collect_list(F.struct("token", "parts")).alias("branches"))
-    rows = named.join(kept, "s").mapInArrow(_dealt(), "key long, place int, m int, path binary, s long, n int, label long, bits binary")
+    rows = named.join(kept, "s").mapInArrow(_dealt(), "key long, place int, m int, path binary, back binary, s long, n int, label long, bits binary")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_climb(percent), "a long, b long")
 
 
