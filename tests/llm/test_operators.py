@@ -356,6 +356,35 @@ def test_resample_keeps_all_columns(docs):
     assert out.count() == sum(r.copies for r in mixing.mix(docs).collect())
 
 
+def test_resample_takes_the_same_twins_and_clashing_columns_stay(spark):
+    rows = [(1 + i // 8, "a b c", None, "x", i, i, i, i, i, i, i, i) for i in range(16)] + [(50, "w " * 40, None, "y", *[777] * 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _d int, _s int, h int, n int, same int, list int, I int, Copies int")
+    out = [sorted(map(tuple, mixing.resample(df.repartition(k)).collect()), key=str) for k in (1, 3, 5)]
+    assert out[0] == out[1] == out[2] and all(len(set(r[4:])) == 1 for r in out[0])
+
+
+def test_balance_solves_the_dual(spark):
+    rng = random.Random(4)
+    rows = [(s, size, rng.randrange(1, 9)) for s in ("a", "b", None) for size in (1, 5, 30, 200, 1500)]
+    sizes = spark.createDataFrame(rows, "source string, size long, n long")
+    own = collections.Counter()
+    for s, size, n in rows:
+        own[s] += size * n
+    share = {"a": 1.5, "b": 0.4, None: 2.0}
+    goal = spark.createDataFrame([(s, x, share[s] * x) for s, x in own.items()], "source string, source_size long, target double")
+    got = {(r.source, r["size"]): r.rate for r in mixing.balance(sizes, goal).collect()}
+    z = {size: np.log1p(size) for _, size, _ in rows}
+    centre = sum(n * size * z[size] for _, size, n in rows) / sum(own.values())
+    for s in own:
+        assert sum(got[s, size] * size * n for t, size, n in rows if t == s) == pytest.approx(share[s] * own[s], rel=1e-6)
+    assert all(got[None, size] == 2 for size in z)
+    logit = {k: np.log(r / (2 - r)) for k, r in got.items() if k[0]}
+    slopes = [(logit[s, 1500] - logit[s, x]) / (z[1500] - z[x]) for s in ("a", "b") for x in (1, 5, 30, 200)]
+    assert max(slopes) - min(slopes) < 1e-5  # one multiplier of the size for all documents
+    moment = sum(got[s, size] * size * n * (z[size] - centre) for s, size, n in rows if s)
+    assert moment == pytest.approx(-mixing.RIDGE * sum(own.values()) * slopes[0], rel=1e-3)
+
+
 # ---------------------------------------------------------------- 6 token output
 
 
