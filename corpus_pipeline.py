@@ -16,7 +16,7 @@ from vecspark.llm.queries import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; null texts and those without a letter go."""
+    """Documents whose language can be told: null texts, those without a letter and those that no language's tree codes in fewer bits than their bytes have go."""
     return language_id.accepted(docs, language_id.fit(docs))
 
 

@@ -460,32 +460,80 @@ def test_language_id(spark, docs):
     odd = by(language_id.predict(docs, model))
     assert all(odd[d].lang_pred == "und" for d, t in texts() if not any(c.isalpha() for c in t or "")) and odd[14].lang_pred != "und"
     kept = language_id.accepted(docs, model)
-    assert kept.schema == docs.schema and {r.doc_id for r in kept.collect()} == {d for d, t in texts() if any(c.isalpha() for c in t or "")}
+    bits = {d: r.bits_per_byte for d, r in odd.items()}
+    assert kept.schema == docs.schema and {r.doc_id for r in kept.collect()} == {d for d, t in texts() if any(c.isalpha() for c in t or "") and bits[d] < language_id.PLAIN}
     assert language_id.identify(edge.empty(spark)).count() == 0
 
 
-def test_code_lengths_are_those_of_a_proper_code():
-    counts = np.random.default_rng(0).integers(0, 3, (6, 6, 6))
-    counts[1, 2] = 0
-    p = np.exp2(-language_id._tree(counts).astype(float))
-    assert np.allclose(p.sum(axis=2), 1.0, atol=1e-5)
-
-
-def test_every_byte_has_its_own_code_length():
-    rng = np.random.default_rng(1)
-    grams = rng.integers(0, 16, (400, 3)) @ np.array([1 << 16, 1 << 8, 1]) * 17  # bytes 0, 17, ..., 255
-    kinds, n = np.unique(grams, return_counts=True)
-    row, table = language_id._sparse_tree(kinds, n)
-    p = np.exp2(-table.reshape(-1, 256).astype(float))
-    assert np.allclose(p.sum(axis=1), 1.0, atol=1e-5)
-    small = np.zeros((256, 256, 256), np.int32)
-    small[kinds >> 16, kinds >> 8 & 255, kinds & 255] = n
-    first = [int(x) for x in np.unique(kinds >> 16)[:3]] + [1]
-    one = small.sum(axis=0)
-    for a in first:  # each slice by the dense definition
-        p1 = language_id._longer(one.astype(float), language_id._longer(one.sum(axis=0).astype(float), np.full(256, 1 / 256)))
-        want = language_id._bits(language_id._longer(small[a].astype(float), p1))
-        assert np.array_equal(table.reshape(-1, 256)[row[a << 8 : a + 1 << 8]], want)
+def _plain_ppm(training, order):
+    """Code lengths by the definition: counts in dictionaries, escape method C, exclusion by renormalising the lower order."""
+    counts = [collections.defaultdict(collections.Counter) for _ in range(order + 1)]
+    lowered = lambda t: re.sub(rb"[A-Z]", lambda m: m[0].lower(), t.encode())
+    for text in training:
+        b = b" " * order + lowered(text)
+        for i in range(order, len(b)):
+            for k in range(order + 1):
+                counts[k][b[i - k : i]][b[i]] += 1
+
+    def p(context, c):
+        k = len(context)
+        seen = counts[k].get(context)
+        below = (lambda x: p(context[1:], x)) if k else (lambda x: 1 / 256)
+        if not seen:
+            return below(c)
+        rest = 1 - sum(below(x) for x in seen)
+        total, kinds = sum(seen.values()), len(seen)
+        if rest <= 1e-9:
+            return seen[c] / total
+        return seen[c] / (total + kinds) if c in seen else kinds / (total + kinds) / rest * below(c)
+
+    def bits(text):
+        b = b" " * order + lowered(text)
+        return sum(-np.log2(p(b[i - order : i], b[i])) for i in range(order, len(b)))
+
+    return p, bits
+
+
+TRAINING = {
+    "de": ["Der Fluss ist breit und der Wald ist still", "das Wasser ist kalt"], "en": ["The river is wide and the forest is still", "the water is cold " * 3],
+    "ru": ["\u0440\u0435\u043a\u0430 \u0448\u0438\u0440\u043e\u043a\u0430 \u0438 \u043b\u0435\u0441 \u0442\u0438\u0445", "\u0432\u043e\u0434\u0430"], "zh": ["\u6cb3\u5f88\u5bbd\u68ee\u6797\u5f88\u5b89\u9759", "\u6c34\u5f88\u51b7"],
+}
+
+
+@pytest.mark.parametrize("order", [2, 4])
+def test_code_lengths_equal_a_plain_coder(spark, order):
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, ts in TRAINING.items() for t in ts)]
+    rows = [(d, t, lang) for d, (_, t, lang) in zip((d for d in range(99) if edge.crc(str(d).encode()) % 4 != 2), rows)]  # none is held out
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), order=order)
+    asked = ["der Fluss", "the cold", "", "x", "\u0440\u0435\u043a\u0430 \u0438 \u0434\u043e\u043c", "\u68ee\u6797 \u6c34 42", "A" * 300, "\x00\u00ff the"]
+    got = np.concatenate([model.code_lengths(raw, off) for _, _, raw, off in chunks(pa.array(asked))], axis=1)
+    for k, lang in enumerate(model.langs):
+        p, bits = _plain_ppm(TRAINING[lang], order)
+        assert sum(p(b"the " [-order:], c) for c in range(256)) == pytest.approx(1)
+        assert got[k] == pytest.approx([bits(t) for t in asked], rel=1e-5)
+
+
+def test_bounded_trees_are_proper_codes_too(spark):
+    rows = [(d, t, "en") for d, t in enumerate(TRAINING["en"] * 9) if edge.crc(str(d).encode()) % 4 != 2]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), cells=1)
+    tree = language_id._Tree(2, [(np.array([97, 98]), np.array([3, 1])), (np.array([97 << 8 | 97, 97 << 8 | 98]), np.array([2, 1])), (np.array([(97 << 8 | 97) << 8 | 98]), np.array([1]))])
+    for context in (0, 97, 98, 97 << 8 | 97):
+        assert tree.probability(2, (context << 8) + np.arange(256)).sum() == pytest.approx(1)
+    assert len(model.seen[4][0].keys) <= 256
+
+
+def test_numbers_are_found_in_an_index():
+    keys = np.unique(np.random.default_rng(2).integers(0, 1 << 40, 5000))
+    index = language_id._Index(keys)
+    assert (index.find(keys) == np.arange(len(keys))).all() and (index.find(keys + 1) == np.where(np.isin(keys + 1, keys), np.searchsorted(keys, keys + 1), -1)).all()
+    assert language_id._Index(keys[:0]).find(keys[:2]).tolist() == [-1, -1]
+
+
+def test_texts_that_no_tree_shortens_are_not_accepted(spark):
+    rows = [(d, t * 20, "en") for d, t in enumerate(TRAINING["en"] * 9)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = spark.createDataFrame([(1, "the forest and the water"), (2, "\u6cb3\u5f88\u5bbd\u68ee\u6797\u5f88\u5b89\u9759"), (3, "12 34"), (4, None)], "doc_id long, text string")
+    assert [r.doc_id for r in language_id.accepted(asked, model).collect()] == [1]
 
 
 def test_languages_that_differ_in_rare_bytes_are_told_apart(spark):
@@ -498,9 +546,6 @@ def test_languages_that_differ_in_rare_bytes_are_told_apart(spark):
     rows += [(1000 + 100 * k + i, " ".join(word(letters) for _ in range(4)), lang) for k, (lang, letters) in enumerate(rare.items()) for i in range(20)]
     got = by(language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
     assert all(got[d].lang_pred == lang for d, _, lang in rows)
-    model = language_id.Model([("l", b << 16 | b << 8 | b, 1 + b) for b in range(256)])
-    lengths = model.code_lengths(*[x for _, _, *x in chunks(pa.array(["\u0e01", "\u1e01"]))][0])
-    assert lengths.shape == (1, 2) and lengths[0, 0] != lengths[0, 1]
 
 
 # ---------------------------------------------------------------- 8 chat formatting

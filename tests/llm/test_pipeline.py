@@ -2,7 +2,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from vecspark.llm import mixing
+from vecspark.llm import language_id, mixing
 from vecspark.llm.queries import tokenizer_path
 
 from . import edge
@@ -18,8 +18,12 @@ def test_pipeline_stage_by_stage(spark):
 
     known = stages["language_id"](spark, docs, SMALL)
     assert known.columns == docs.columns
-    rows = {d: t for d, t in rows.items() if any(c.isalpha() for c in t or "")}
+    lettered = {d for d, t in rows.items() if any(c.isalpha() for c in t or "")}
+    judged = language_id.predict(docs, language_id.fit(docs)).collect()
+    assert {r.doc_id for r in judged if r.lang_pred != "und"} == lettered
+    rows = {r.doc_id: rows[r.doc_id] for r in judged if r.doc_id in lettered and r.bits_per_byte < language_id.PLAIN}
     assert {r.doc_id for r in known.collect()} == set(rows)
+    assert {r.doc_id for r in docs.collect() if r.lang and r.doc_id in lettered} <= set(rows)
 
     single = stages["near_duplicates"](spark, known, SMALL)
     assert single.columns == docs.columns

@@ -2,109 +2,166 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import LOWER, chunks
 
 #: Labelled documents a language that the trees are fitted on, at most about; which ones follows from a hash of doc_id.
 TRAIN_DOCS = 5000
+#: Bytes of context at most.
+ORDER = 4
+#: Code lengths in the model at most (16 MB), which bounds the nodes of an order that each language keeps, the most frequent ones.
+CELLS = 1 << 22
+#: Bits a byte from which on a text is of no learned language: its shortest code is no shorter than its bytes.
+PLAIN = 8.0
+#: Bytes that are looked up in one go.
+PLACES = 1 << 17
+
+
+def _grams(raw: np.ndarray, off: np.ndarray, order: int) -> np.ndarray:
+    """Each byte with the `order` bytes before it as one number, A-Z lower-cased; before a text stand spaces."""
+    b = LOWER[raw].astype(np.int64)
+    age = np.arange(len(b)) - np.repeat(off[:-1], np.diff(off))
+    out = b.copy()
+    for j in range(1, order + 1):
+        before = np.full_like(b, 32)
+        before[j:] = np.where(age[j:] < j, 32, b[:-j])
+        out |= before << (8 * j)
+    return out
+
+
+def _counts(order: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = np.array(batch.column("lang").to_pylist(), object)
+            for lo, hi, raw, off in chunks(batch.column("text")):
+                g = _grams(raw, off, order)
+                for lang in sorted(set(langs[lo:hi])):
+                    own = np.repeat(langs[lo:hi] == lang, np.diff(off))
+                    own[off[1:] - 1] = False  # separators are no text
+                    kinds, n = np.unique(g[own], return_counts=True)
+                    yield pa.record_batch({"lang": pa.array([lang] * len(kinds), pa.string()), "gram": pa.array(kinds, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    return run
+
+
+class _Index:
+    """Places of distinct numbers in an array, by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = np.uint64(64 - max(4, int(4 * len(keys)).bit_length()))
+        self.slots = np.full((1 << 64 - int(self.shift)) + 64, -1, np.int32)
+        left, slot = np.arange(len(keys)), self._first(keys)
+        while len(left):
+            if int(slot.max()) >= len(self.slots):
+                self.slots = np.concatenate([self.slots, np.full(64, -1, np.int32)])
+            free = self.slots[slot] < 0
+            _, one = np.unique(slot[free], return_index=True)
+            taken = np.flatnonzero(free)[one]
+            self.slots[slot[taken]] = left[taken]
+            rest = np.ones(len(left), bool)
+            rest[taken] = False
+            left, slot = left[rest], slot[rest] + 1
+        self.slots = np.append(self.slots, np.int32(-1))
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each number, -1 where it isn't there."""
+        out = np.full(len(keys), -1, np.int32)
+        if not len(self.keys):
+            return out
+        slot, left = self._first(keys), np.arange(len(keys))
+        while len(left):
+            at = self.slots[slot]
+            same = (at >= 0) & (self.keys[at] == keys[left])
+            out[left[same]] = at[same]
+            go = (at >= 0) & ~same
+            left, slot = left[go], slot[go] + 1
+        return out
 
 
-def _grams(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """The last three bytes at each place as a number, A-Z lower-cased; before a text stand two spaces."""
-    b = LOWER[raw].astype(np.int32)
-    one, two = np.empty_like(b), np.empty_like(b)
-    one[1:], two[2:] = b[:-1], b[:-2]
-    start = off[:-1]
-    one[start] = two[start] = 32
-    second = start[np.diff(off) > 1] + 1
-    two[second] = 32
-    return two << 16 | one << 8 | b
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        langs = np.array(batch.column("lang").to_pylist(), object)
-        for lo, hi, raw, off in chunks(batch.column("text")):
-            g = _grams(raw, off)
-            for lang in sorted(set(langs[lo:hi])):
-                own = np.repeat(langs[lo:hi] == lang, np.diff(off))
-                own[off[1:] - 1] = False  # separators are no text
-                kinds, n = np.unique(g[own], return_counts=True)
-                yield pa.record_batch({"lang": pa.array([lang] * len(kinds), pa.string()), "gram": pa.array(kinds, pa.int32()), "n": pa.array(n, pa.int64())})
-
-
-def _longer(n: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Probabilities after contexts with counts n, from those p after one symbol less: escape (method C), with exclusion."""
-    total, kinds = n.sum(-1, keepdims=True), (n > 0).sum(-1, keepdims=True)
-    below = np.broadcast_to(p, n.shape) * (n == 0)
-    rest = below.sum(-1, keepdims=True)
-    escape = np.where(rest > 0, kinds / np.maximum(total + kinds, 1), 0.0)
-    escape = np.where(total == 0, 1.0, escape)
-    seen = n / np.where(rest > 0, np.maximum(total + kinds, 1), np.maximum(total, 1))
-    return seen + escape * below / np.where(rest > 0, rest, 1.0)
+class _Tree:
+    """One language: for each order the probabilities of the bytes seen after each context, and what the others share."""
+
+    def __init__(self, order: int, nodes: list[tuple[np.ndarray, np.ndarray]]):
+        self.seen, self.contexts = [], []
+        for k in range(order + 1):
+            gram, n = nodes[k]
+            context, own = np.unique(gram >> 8, return_inverse=True)
+            kinds, total = np.bincount(own, minlength=len(context)), np.bincount(own, weights=n, minlength=len(context))
+            rest = 1 - np.bincount(own, weights=self.probability(k - 1, gram & ((1 << 8 * k) - 1)), minlength=len(context))
+            open_ = rest > 1e-9  # else every byte was seen
+            p = n / np.where(open_, total + kinds, total)[own]
+            escape = np.where(open_, kinds / (total + kinds) / np.where(open_, rest, 1.0), 0.0)
+            self.seen.append((_Index(gram), p))
+            self.contexts.append((_Index(context), escape))
+
+    def probability(self, k: int, gram: np.ndarray) -> np.ndarray:
+        """Of the last byte of each number after the k bytes before it (escape method C, with exclusion)."""
+        if k < 0:
+            return np.full(len(gram), 1 / 256)
+        at = self.seen[k][0].find(gram)
+        out = np.where(at >= 0, self.seen[k][1][at], 0.0) if len(self.seen[k][1]) else np.zeros(len(gram))
+        less = np.flatnonzero(at < 0)
+        if len(less):
+            out[less] = self.escape(k, gram[less] >> 8) * self.probability(k - 1, gram[less] & ((1 << 8 * k) - 1))
+        return out
+
+    def escape(self, k: int, context: np.ndarray) -> np.ndarray:
+        """What the probability of one order less is multiplied by, where the byte wasn't seen; 1 after contexts not seen."""
+        at = self.contexts[k][0].find(context)
+        return np.where(at >= 0, self.contexts[k][1][at], 1.0) if len(self.contexts[k][1]) else np.ones(len(context))
 
 
 def _bits(p: np.ndarray) -> np.ndarray:
     return (-np.log2(np.maximum(p, 2.0**-60))).astype(np.float32)
 
 
-def _tree(counts: np.ndarray) -> np.ndarray:
-    """Bits of each symbol after each two-symbol context, from counts [a, b, c]."""
-    p = np.full(counts.shape[0], 1.0 / counts.shape[0])
-    for order in (0, 1, 2):
-        p = _longer(counts.sum(axis=tuple(range(2 - order))).astype(float), p)
-    return _bits(p)
-
-
-def _sparse_tree(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """_tree over all 256 byte values, from distinct three-byte numbers and their counts, without rows of unseen contexts.
-
-    Returns the row of each context a << 8 | b, and the rows: of the contexts seen, then after each single byte b, which
-    serves every (a, b) not seen.
-    """
-    context, byte = grams >> 8, grams & 255
-    two = np.zeros((256, 256))
-    np.add.at(two, (context & 255, byte), n)
-    one = _longer(two, _longer(two.sum(axis=0), np.full(256, 1.0 / 256)))
-    seen, own = np.unique(context, return_inverse=True)
-    rows = np.empty((len(seen) + 256, 256), np.float32)
-    rows[len(seen) :] = _bits(one)
-    for lo in range(0, len(seen), 1024):
-        part = seen[lo : lo + 1024]
-        mine = (own >= lo) & (own < lo + 1024)
-        counts = np.zeros((len(part), 256))
-        np.add.at(counts, (own[mine] - lo, byte[mine]), n[mine])
-        rows[lo : lo + len(part)] = _bits(_longer(counts, one[part & 255]))
-    at = len(seen) + (np.arange(1 << 16, dtype=np.int32) & 255)
-    at[seen] = np.arange(len(seen))
-    return at.astype(np.int32), rows.reshape(-1)
-
-
 class Model:
-    """Frozen statistics: for each language the code length of each of the 256 byte values in context."""
-
-    def __init__(self, counts: list[tuple[str, int, int]]):
-        self.langs = sorted({r[0] for r in counts})
-        at = {x: i for i, x in enumerate(self.langs)}
-        rows = np.array([(at[lang], g, n) for lang, g, n in counts], np.int64).reshape(-1, 3)
-        self.trees = [_sparse_tree(*rows[rows[:, 0] == k, 1:].T) for k in range(len(self.langs))]
+    """Frozen statistics: for each order a row of code lengths, one a language, for each node that any language has."""
+
+    def __init__(self, langs: list[str], nodes: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]], order: int = ORDER):
+        self.langs, self.order = langs, order
+        none = (np.empty(0, np.int64), np.empty(0, np.int64))
+        trees = [_Tree(order, [nodes.get((x, k), none) for k in range(order + 1)]) for x in langs]
+        self.seen, self.escapes = [], []
+        for k in range(order + 1):
+            gram = np.unique(np.concatenate([np.empty(0, np.int64), *(t.seen[k][0].keys for t in trees)]))
+            context = np.unique(gram >> 8)
+            self.seen.append((_Index(gram), _bits(np.array([t.probability(k, gram) for t in trees]).reshape(len(langs), len(gram)).T)))
+            self.escapes.append((_Index(context), _bits(np.array([t.escape(k, context) for t in trees]).reshape(len(langs), len(context)).T)))
 
     def code_lengths(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         """[language, text]: the bits that each language's tree needs for each text."""
-        g = _grams(raw, off)
-        context, byte = g >> 8, g & 255
-        start = off[:-1]
-        out = np.empty((len(self.langs), len(start)))
-        for k, (row, table) in enumerate(self.trees):
-            bits = table[row[context] << 8 | byte].astype(np.float64)
-            bits[off[1:] - 1] = 0.0  # separators
-            out[k] = np.add.reduceat(bits, start)
+        out = np.zeros((len(self.langs), len(off) - 1))
+        grams = _grams(raw, off, self.order)
+        for lo in range(0, len(grams), PLACES):
+            gram = grams[lo : lo + PLACES]
+            bits = np.zeros((len(gram), len(self.langs)), np.float32)
+            left = np.arange(len(gram))
+            for k in range(self.order, -1, -1):
+                at = self.seen[k][0].find(gram)
+                hit = at >= 0
+                bits[left[hit]] += self.seen[k][1][at[hit]]
+                left, gram = left[~hit], gram[~hit]
+                at = self.escapes[k][0].find(gram >> 8)
+                hit = at >= 0
+                bits[left[hit]] += self.escapes[k][1][at[hit]]
+                gram = gram & ((1 << 8 * k) - 1)
+            bits[left] += np.float32(8)
+            first, last = np.searchsorted(off, [lo, lo + len(bits) - 1], side="right") - 1
+            ends = off[first + 1 : last + 2] - 1 - lo  # separators
+            bits[ends[ends < len(bits)]] = 0
+            start = np.maximum(off[first : last + 1] - lo, 0)
+            out[:, first : last + 1] += np.add.reduceat(bits.astype(np.float64), start, axis=0).T
         return out
 
 
@@ -113,19 +170,36 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, order: int = ORDER, cells: int = CELLS) -> Model:
     """Trees from labelled documents that aren't held out: about train_docs of each language, all where there are fewer.
 
-    What reaches the driver is one count for each language and trigram of bytes.
+    What reaches the driver is a count for each node of a tree. Of each order a language keeps its most frequent nodes, so
+    many that the model has about `cells` code lengths at most; shorter contexts stand in for the others, by escapes.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     n = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    share = {lang: min(1.0, train_docs / rows) for lang, rows in sorted(n.items())}
+    if not n:
+        return Model([], {}, order)
     unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("train")), 11).cast("double") * F.lit(2.0**-53)
-    take = F.lit(False)
-    for lang, rows in sorted(n.items()):
-        take = take | ((F.col("lang") == lang) & (unit < min(1.0, train_docs / rows)))
-    grams = labelled.where(take).select("lang", "text").mapInArrow(_counts, "lang string, gram int, n long")
-    return Model([(r.lang, r.gram, r.n) for r in grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()])
+    shares = docs.sparkSession.createDataFrame(list(share.items()), "of string, share double")
+    taken = labelled.select("lang", "text", unit.alias("unit")).join(F.broadcast(shares), F.col("lang") == F.col("of")).where("unit < share")
+    grams = taken.select("lang", "text").mapInArrow(_counts(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(order))).alias("k")
+    nodes = grams.select("lang", "n", "gram", each).groupBy("lang", "k", F.expr("gram & (shiftleft(1L, 8 * (k + 1)) - 1L)").alias("gram")).agg(F.sum("n").alias("n"))
+    kept = max(256, cells // ((order + 1) * len(n) ** 2))
+    place = F.row_number().over(Window.partitionBy("lang", "k").orderBy(F.desc("n"), "gram"))
+    t = nodes.withColumn("place", place).where(F.col("place") <= kept).select("lang", "k", "gram", "n").toArrow()
+    found: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+    number = {x: i for i, x in enumerate(sorted(n))}
+    lang = np.array([number[x] for x in t["lang"].to_pylist()], np.int64)
+    k, gram, count = (t[c].to_numpy() for c in ("k", "gram", "n"))
+    for x, i in number.items():
+        for j in range(order + 1):
+            own = (lang == i) & (k == j)
+            by = np.argsort(gram[own])
+            found[x, j] = gram[own][by], count[own][by]
+    return Model(sorted(n), found, order)
 
 
 def _has_letter(text: bytes) -> bool:
@@ -175,13 +249,13 @@ def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """docs, all columns, without those whose language is judged `und`."""
+    """docs, all columns, without those judged `und` and those whose shortest code takes PLAIN bits a byte or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            keep = [best < len(m.langs) for _, _, best, _, _ in _judge(m, batch.column("text"))]
+            keep = [(best < len(m.langs)) & (rate < PLAIN) for _, _, best, _, rate in _judge(m, batch.column("text"))]
             yield batch.filter(pa.array(np.concatenate([*keep, np.empty(0, bool)]), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
