@@ -24,7 +24,7 @@ BLOCK_TOKENS = 1 << 18
 LOW = 1 << 31
 MAGIC = b"RANSIDS1"
 #: Words whose ids a worker remembers, at most.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 _U = np.uint64
 
 
