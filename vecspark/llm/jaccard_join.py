@@ -302,12 +302,27 @@ def _sets_in_order(docs: DataFrame, twins: np.ndarray, percent: int) -> DataFram
 # ---------------------------------------------------------------- leaders
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        tokens = [np.sort(np.frombuffer(x, np.int64))[:KEYS] for x in batch.column("tokens").to_pylist()]
-        row = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
-        at = pa.array(row)
-        yield pa.record_batch({"key": np.concatenate([np.empty(0, np.int64), *tokens]), **{c: batch.column(c).take(at) for c in ("s", "n", "bits")}})
+_KEYED = "key long, s long, n int, bits binary"
+
+
+def _keyed(leaders: int | None = None) -> Callable:
+    """A row for each of the KEYS least shingles of a set; of each key in a batch only the first `leaders` sets, if given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [np.sort(np.frombuffer(x, np.int64))[:KEYS] for x in batch.column("tokens").to_pylist()]
+            row = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
+            key = np.concatenate([np.empty(0, np.int64), *tokens])
+            if leaders and len(key):
+                order = np.lexsort((batch.column("s").to_numpy()[row], key))
+                row, key = row[order], key[order]
+                start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                first = np.arange(len(key)) - np.repeat(start, np.diff(np.append(start, len(key)))) < leaders
+                row, key = row[first], key[first]
+            at = pa.array(row)
+            yield pa.record_batch({"key": key, **{c: batch.column(c).take(at) for c in ("s", "n", "bits")}})
+
+    return run
 
 
 def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,9 +372,8 @@ def _best(percent: int) -> Callable:
 
 def _with_leaders(sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of a set and its nearest leaders. A key's leaders are its least sets, chosen in each task first; all its sets then meet them in a plain join."""
-    row = "key long, s long, n int, bits binary"
-    keyed = sets.mapInArrow(_keyed, row)
-    some = keyed.sortWithinPartitions("key", "s").mapInArrow(_first, row)
+    keyed = sets.mapInArrow(_keyed(), _KEYED)
+    some = sets.mapInArrow(_keyed(LEADERS), _KEYED)
     leaders = some.repartition("key").sortWithinPartitions("key", "s").mapInArrow(_packed, "key long, ls binary, ln binary, lbits binary")
     near = keyed.join(leaders, "key").mapInArrow(_best(percent), "a long, b long, differ long")
     few = near.groupBy("b").agg(F.slice(F.sort_array(F.collect_set(F.struct("differ", "a"))), 1, BEST).alias("few"))
@@ -533,40 +547,36 @@ def _involved(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return nodes.join(classes.select("s", "rep"), "s").select(F.col("rep").alias("doc_id"))
 
 
-def _texts(docs: DataFrame, involved: DataFrame) -> DataFrame:
-    """The involved documents' texts: marked by broadcast bits while these are few, so that others aren't shuffled, else joined."""
+def _sets(docs: DataFrame, involved: DataFrame, twins: np.ndarray) -> DataFrame:
+    """(s, items): the involved documents' sets, ascending shingles of 8 bytes each, most significant first.
+
+    The documents are marked by broadcast bits while they are few, so that others aren't shuffled, else joined.
+    """
     rows = docs.where("doc_id is not null").select("doc_id", "text")
     bits = 1 << max(10, (16 * involved.count()).bit_length())
+    shared, h = None, F.pmod(F.xxhash64("doc_id"), F.lit(bits))
     if bits > INVOLVED_BITS:
-        return rows.join(involved, "doc_id", "left_semi").select("text")
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    words = involved.select(F.shiftright(h, 6).alias("w"), (h % 64).cast("int").alias("k")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, k))").alias("m"))
-    marks = np.zeros(bits // 64, np.int64)
-    t = words.toArrow()  # bits / 64 rows at most
-    marks[t["w"].to_numpy()] = t["m"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(marks)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column("h").to_numpy()
-            yield batch.filter(pa.array((shared.value[x >> 6] >> (x & 63) & 1).astype(bool))).select(["text"])
-
-    return rows.select(h.alias("h"), "text").mapInArrow(run, "text string")
-
-
-def _sets(texts: DataFrame, twins: np.ndarray) -> DataFrame:
-    """(s, items): sets' ascending shingles, 8 bytes each, most significant first."""
+        rows = rows.join(involved, "doc_id", "left_semi")
+    else:
+        words = involved.select(F.shiftright(h, 6).alias("w"), (h % 64).cast("int").alias("k")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, k))").alias("m"))
+        marks = np.zeros(bits // 64, np.int64)
+        t = words.toArrow()  # bits / 64 rows at most
+        marks[t["w"].to_numpy()] = t["m"].to_numpy()
+        shared = docs.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
         for batch in batches:
+            if shared is not None:
+                x = batch.column("h").to_numpy()
+                batch = batch.filter(pa.array((shared.value[x >> 6] >> (x & 63) & 1).astype(bool)))
             for _, _, g, at in shingle_sets(batch.column("text")):
                 s = _names(g, at, twins)
                 keep = [i for i, x in enumerate(s.tolist()) if at[i + 1] > at[i] and not seen(x)]
                 big = g.astype(">u8")
                 yield pa.record_batch({"s": pa.array(s[keep], pa.int64()), "items": pa.array([big[at[i] : at[i + 1]].tobytes() for i in keep], pa.binary())})
 
-    return texts.mapInArrow(run, "s long, items binary").groupBy("s").agg(F.first("items").alias("items"))
+    return rows.select(h.alias("h"), "text").mapInArrow(run, "s long, items binary").groupBy("s").agg(F.first("items").alias("items"))
 
 
 class _Probe:
@@ -615,7 +625,7 @@ def _traverse(percent: int) -> Callable:
 def settle(docs: DataFrame, classes: DataFrame, pairs: DataFrame, twins: np.ndarray, percent: int = PERCENT) -> DataFrame:
     """Those of the pairs (a, b) of sets that are similar. The partners of one set are split over tasks PARTNERS at a time."""
     pairs = durable(pairs.distinct())
-    sets = durable(_sets(_texts(docs, durable(_involved(pairs, classes))), twins))
+    sets = durable(_sets(docs, durable(_involved(pairs, classes)), twins))
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
     probes = parts.join(sets, F.col("a") == F.col("s")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "items")
     partners = pairs.join(parts, "a").join(sets, F.col("b") == F.col("s")).select("a", F.pmod(F.xxhash64("b"), F.col("parts").cast("long")).cast("int").alias("salt"), "b", "items")
