@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecspark.operators import hnsw, ivf, kmeans, nf4, pq, quality, rq, scalar, search
+from vecspark.operators import hnsw, ivf, nf4, pq, quality, rq, scalar, search
 from vecspark.schema import EMBEDDING, dimension, from_arrays, stats, toy_dataset, validate_dims
 
 
@@ -130,9 +130,13 @@ def kmeans_reference(x, first, iterations, spherical, spare):
     return c
 
 
-@pytest.mark.parametrize("local", [0, 1 << 21])
-def test_pq_training_follows_lloyd(spark, monkeypatch, local):
-    monkeypatch.setattr(kmeans, "LOCAL_VALUES", local)
+def test_pq_training_does_not_depend_on_the_partitioning(spark):
+    df = from_arrays(spark, units(200, 8, 6))
+    books = [pq.train(df.repartition(k), 2, 16, 8).books for k in (1, 5)]
+    assert np.array_equal(books[0], books[1])
+
+
+def test_pq_training_follows_lloyd(spark):
     v = units(150, 8, 4)
     model = pq.train(from_arrays(spark, v).repartition(4), 2, 6, 12)
     v = np.array([np.float32(x) for x in v], np.float64)

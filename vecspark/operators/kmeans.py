@@ -13,8 +13,6 @@ from . import search
 
 #: Sums travel as whole numbers of this fraction of the largest possible sum, so that their order cannot change them.
 FIXED = 1 << 61
-#: Tables of so many values at most (16 MB) are trained on the driver; a Spark job a step would cost more than the step.
-LOCAL_VALUES = 1 << 21
 
 
 def split(m: np.ndarray, subspaces: int) -> np.ndarray:
@@ -33,27 +31,29 @@ def assign(parts: np.ndarray, books: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sums(parts: np.ndarray, books: np.ndarray, was: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of some rows: the sum and number of each centroid's, how many changed their centroid in each subspace, and the centroids."""
+def _sums(parts: np.ndarray, books: np.ndarray, was: np.ndarray | None, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some rows: the sum (in whole numbers of 1 / scale) and number of each centroid's, and how many changed their centroid in each subspace."""
     m, k, w = books.shape
     now = assign(parts, books)
     was = np.zeros_like(now) if was is None else was
     n = np.stack([np.bincount(now[s], minlength=k) for s in range(m)])
-    total = np.stack([np.stack([np.bincount(now[s], weights=parts[s, :, d], minlength=k) for d in range(w)], axis=1) for s in range(m)])
-    return total, n, (now != was).sum(axis=1), now
+    whole = np.rint(parts * scale).astype(np.int64)
+    high, low = whole >> 26, whole & (1 << 26) - 1  # either half adds up exactly in floating point
+    add = lambda x: np.stack([np.stack([np.bincount(now[s], weights=x[s, :, d], minlength=k) for d in range(w)], axis=1) for s in range(m)]).astype(np.int64)
+    return (add(high) << 26) + add(low), n, (now != was).sum(axis=1)
 
 
 def _partial(prepare: Callable, books: np.ndarray, before: np.ndarray | None, scale: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, k, w = books.shape
-        total, n, moved = np.zeros((m, k, w)), np.zeros((m, k), np.int64), np.zeros(m, np.int64)
+        total, n, moved = np.zeros((m, k, w), np.int64), np.zeros((m, k), np.int64), np.zeros(m, np.int64)
         for batch in batches:
             if batch.num_rows:
                 parts = split(prepare(batch), m)
-                t, c, x, _ = _sums(parts, books, assign(parts, before) if before is not None else None)
+                t, c, x = _sums(parts, books, assign(parts, before) if before is not None else None, scale)
                 total, n, moved = total + t, n + c, moved + x
         s, c, d = (x.ravel() for x in np.indices((m, k, w)))
-        yield pa.record_batch({"s": pa.array(s, pa.int32()), "c": pa.array(c, pa.int32()), "d": pa.array(d, pa.int32()), "total": pa.array(np.rint(total.ravel() * scale).astype(np.int64)), "n": pa.array(np.repeat(n.ravel(), w)), "moved": pa.array(np.repeat(moved, k * w))})
+        yield pa.record_batch({"s": pa.array(s, pa.int32()), "c": pa.array(c, pa.int32()), "d": pa.array(d, pa.int32()), "total": pa.array(total.ravel()), "n": pa.array(np.repeat(n.ravel(), w)), "moved": pa.array(np.repeat(moved, k * w))})
 
     return run
 
@@ -76,23 +76,15 @@ def lloyd(rows: DataFrame, prepare: Callable, first: np.ndarray, iterations: int
     prepare turns a batch of rows into a matrix. spherical: centroids are normalised means (raw where the norm is tiny), all
     rows start in cluster 0 and a first step that moves none ends the run at the initial centroids; a dead centroid becomes
     its row of spare. Otherwise the first step always updates and a dead centroid stays. Each step is one pass with sums
-    for each centroid from each task; a row for each centroid element reaches the driver. Small tables (LOCAL_VALUES) take the same steps there.
+    for each centroid from each task, whatever the table's size; a row for each centroid element reaches the driver.
     """
     books = first.copy()
     before = None
-    m, k, w = books.shape
-    n_rows = rows.count()
-    here, codes, scale = None, None, 1.0
-    if n_rows * m * w <= LOCAL_VALUES:
-        here = np.concatenate([split(prepare(b), m) for b in rows.toArrow().to_batches() if b.num_rows], axis=1)
-    else:
-        scale = FIXED / max(n_rows * float(_largest(rows, prepare)), 1e-300)
+    m = len(books)
+    scale = FIXED / max(rows.count() * float(_largest(rows, prepare)), 1e-300)
     active = np.ones(m, bool)
     for step in range(iterations):
-        if here is not None:
-            total, n, moved, codes = _sums(here, books, codes)
-        else:
-            total, n, moved = _gathered(rows, prepare, books, before, scale)
+        total, n, moved = _gathered(rows, prepare, books, before, scale)
         active &= (moved > 0) if spherical or step else True
         if not active.any():
             break
