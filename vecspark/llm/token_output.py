@@ -23,8 +23,8 @@ CHECKPOINT_STEPS = 128
 BLOCK_TOKENS = 1 << 18
 LOW = 1 << 31
 MAGIC = b"RANSIDS1"
-#: Words whose ids a worker remembers, at most.
-REMEMBERED = 300_000
+#: Words, and parts of words, whose ids a worker remembers, at most, in each of two generations.
+REMEMBERED = 150_000
 _U = np.uint64
 
 
@@ -112,6 +112,8 @@ def decode(table: Table, block: bytes, first: int = 0, last: int | None = None)
 
 #: Words of Latin-1 letters, perhaps with closing marks: their normal form is lower case, their pre-tokens are the letters and the marks.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=?@\[-`{}~]*)")
+#: The closing marks of _PLAIN.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if re.fullmatch(r"[!-&(-/:;=?@\[-`{}~]", c))
 
 
 class Words:
@@ -133,6 +135,8 @@ class Words:
         self.bytes = {ord(x): level.pre_tokenize_str(x)[0][0] for x in letters}
         self.known: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
+        self.known_before: dict[str, bytes] = {}
+        self.cores_before: dict[str, bytes] = {}
         trial = ["the", "Straße", "ÀÉÎõü", "naïve.", "end?!", "Sch\u00f6nhausen,", "xqzj)", "ÿ;", "WORD...", "ab***", "ab_-&"]
         self.plain = all(self._plain(w) == self._whole([w])[0] for w in trial)
         self.known.clear()
@@ -153,11 +157,19 @@ class Words:
     def _core(self, piece: str) -> bytes:
         found = self.cores.get(piece)
         if found is None:
-            found = self._pack([t.id for t in self.tok.model.tokenize(piece)])
+            found = self.cores_before.get(piece)
+            if found is None:
+                found = self._pack([t.id for t in self.tok.model.tokenize(piece)])
+            if len(self.cores) >= REMEMBERED:
+                self.cores, self.cores_before = {}, self.cores
             self.cores[piece] = found
         return found
 
     def _plain(self, word: str) -> bytes | None:
+        letters = word.rstrip(_MARKS)
+        if letters.isascii() and letters.isalpha():
+            out = self._core(letters.lower())
+            return out + self._core(word[len(letters) :]) if len(letters) < len(word) else out
         m = _PLAIN.fullmatch(word)
         if not m:
             return None
@@ -166,11 +178,13 @@ class Words:
         return out + self._core(m[2]) if m[2] else out
 
     def learn(self, words: set[str]) -> None:
+        """Has the ids of words in `known`. What was asked for since the last generation began stays; the generation before is looked up."""
         new = words.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            self.cores.clear()
-            new = words
+            self.known, self.known_before, new = {}, self.known, words
+        again = new & self.known_before.keys()
+        self.known.update((w, self.known_before[w]) for w in again)
+        new = new - again
         rest = []
         for w in new:
             found = self._plain(w) if self.plain else None
