@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from vecspark.llm import chat, decontamination, fingerprints, jaccard_join, language_id, line_dedup, mixing, pii, queries, sharding, token_output
@@ -285,6 +286,45 @@ def test_scores_count_distinct_instances_however_often_copied(spark):
     assert got[2000].spans == f"phone:{a}:{a + 12}" and got[6000].spans == ""
 
 
+def test_sketches_count_distinct_hashes():
+    for n in (0, 1, 2, 7, 40, 1_000, 30_000):
+        parts = [bytearray(4096) for _ in range(3)]
+        for i in range(n):
+            for part in (parts[i % 3], parts[i * 7 % 3]):
+                pii.sketched(part, xxhash.xxh64_intdigest(str(i)))
+        bits = sum(bin(a | b | c).count("1") for a, b, c in zip(*parts, strict=True))
+        assert abs(float(pii.distinct_of(np.array([bits]))[0]) - n) <= n * 0.1, n
+
+
+def test_scores_equal_brute_force(spark):
+    def close(graph, rounds=pii.ROUNDS):
+        score = {i: float(seed) for p in graph.values() for i, seed in p.items()}
+        fixed = {i for p in graph.values() for i, seed in p.items() if seed}
+        for r in range(rounds + 1):
+            ps = {p: sum(score.get(i, 0.0) for i in e) / len(e) for p, e in graph.items()}
+            if r < rounds:
+                for i in score:
+                    before = [ps[p] for p, e in graph.items() if i in e]
+                    if i not in fixed and not i.startswith("x"):
+                        score[i] = sum(before) / len(before)
+        return ps
+
+    rng = random.Random(5)
+    words = ["alpha beta ", "gamma delta ", "omega sigma "]
+    graph = {w: {} for w in words}
+    rows = []
+    for d in range(120):
+        w = words[rng.randrange(3)]
+        kind = rng.randrange(4)
+        v = f"u{d % 9}@host.org" if kind < 2 else f"v{d % 5}(at)host" if kind == 2 else f"x{d % 11}"
+        graph[w][v] = kind < 2
+        rows.append((d, f"{w}{v} end"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.pattern: r.score for r in pii.scored_patterns(docs).collect()}
+    want = close(graph)
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
 def test_lower_casing_keeps_places_whatever_stands_around():
     every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     one = [pii.lower(c) for c in every]
