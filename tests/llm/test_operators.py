@@ -358,6 +358,16 @@ def test_line_dedup_with_full_filters(docs):
     assert {d: (r.n_lines, r.n_dropped, r.kept_sha256) for d, r in got.items()} == edge.lines(texts())
 
 
+def test_line_dedup_with_hot_lines(docs, spark):
+    got = by(line_dedup.dedup_lines(docs, with_text=False, hot=2))
+    assert {d: (r.n_lines, r.n_dropped, r.kept_sha256) for d, r in got.items()} == edge.lines(texts())
+    seen = spark.createDataFrame([(k, -k, d) for k, n in ((1, 500), (2, 60), (3, 3)) for d in range(n)], "h1 long, h2 long, doc_id long")
+    repeated = seen.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep"))
+    want = sorted((k, d) for k, n in ((1, 500), (2, 60), (3, 3)) for d in range(n - 1))
+    for broadcast in (10, 1, -1):
+        assert sorted((r.h1, r.doc_id) for r in line_dedup.kept_elsewhere(seen, repeated, 10, broadcast).collect()) == want
+
+
 # ---------------------------------------------------------------- 5 mixing
 
 

@@ -11,10 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import ASCII_SPACE, LOWER, Hasher, U, chunks, mix
+from ._common import ASCII_SPACE, LOWER, Hasher, U, chunks, durable, mix
 
 #: Bits of each Bloom filter (8 MB) and places of a line in it. A fuller filter suspects more lines; results stay exact.
 BITS = 1 << 26
+#: Lines in more documents than HOT are spread over tasks: broadcast (24 bytes each) up to BROADCAST_KEYS of them, else salted.
+HOT = 4_096
+BROADCAST_KEYS = 200_000
+SALTS = 64
 PLACES = 3
 BLOCK = 1 << 14
 _one, _two = Hasher(21), Hasher(22)
@@ -142,7 +146,24 @@ def _drop(shortest: int) -> Callable:
     return run
 
 
-def dedup_lines(docs: DataFrame, shortest: int = 20, least_docs: int = 3, with_text: bool = True, bits: int = BITS) -> DataFrame:
+def kept_elsewhere(seen: DataFrame, repeated: DataFrame, hot: int = HOT, broadcast: int = BROADCAST_KEYS) -> DataFrame:
+    """Rows (h1, h2, doc_id) of `seen` whose line another document keeps.
+
+    A line in more than `hot` documents never meets in one task: such lines' digests are broadcast where there are at most
+    `broadcast` of them, else repeated for SALTS parts of their rows. All others are joined by digest.
+    """
+    common = repeated.where(F.col("n") > hot).select("h1", "h2", F.col("keep").alias("top"))
+    if common.count() <= broadcast:
+        marked = seen.join(F.broadcast(common), ["h1", "h2"], "left")
+    else:
+        salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+        marked = seen.withColumn("salt", salt).join(salted, ["h1", "h2", "salt"], "left").drop("salt")
+    rare = marked.where("top is null").drop("top").join(repeated.where(F.col("n") <= hot).select("h1", "h2", "keep"), ["h1", "h2"])
+    return rare.where("doc_id <> keep").drop("keep").unionByName(marked.where("doc_id <> top").drop("top"))
+
+
+def dedup_lines(docs: DataFrame, shortest: int = 20, least_docs: int = 3, with_text: bool = True, bits: int = BITS, hot: int = HOT) -> DataFrame:
     """A row for each document: doc_id, n_lines, n_dropped, kept_sha256 and (with_text) the kept text.
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Keys of at least `shortest` code points
@@ -150,9 +171,9 @@ def dedup_lines(docs: DataFrame, shortest: int = 20, least_docs: int = 3, with_t
     keeps all its own. A null or empty text is one empty line; rows with a null doc_id neither count nor lose lines; rows of
     one doc_id are one document. An empty table gives no rows; further columns are ignored.
     """
-    seen = suspects(docs, shortest, bits).distinct()
-    repeated = seen.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= least_docs).drop("n")
-    out = seen.join(repeated, ["h1", "h2"]).where("doc_id <> keep").groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("drops"))
+    seen = durable(suspects(docs, shortest, bits).distinct())
+    repeated = durable(seen.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= least_docs))
+    out = kept_elsewhere(seen, repeated, hot).groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("drops"))
     rows = docs.select("doc_id", "text").join(out.hint("shuffle_hash"), "doc_id", "left")
     schema = "doc_id long, n_lines long, n_dropped long, kept string, kept_sha256 string"
     done = rows.mapInArrow(_drop(shortest), schema)
