@@ -268,3 +268,9 @@ def test_quality_report(spark):
     r = quality.quality_report(df, scalar.encode(df, ranges), ranges, 50).first()
     assert r.samples_analyzed == 50 and r.quality_grade == "A+" and r.compression_ratio == 4.0 and r.memory_savings_percent == 75.0 and r.recommendation.startswith("Excellent")
     assert spark.range(1).select(quality.change_percent(F.lit(3.0), F.lit(2.0)).alias("a"), quality.change_percent(F.lit(3.0), F.lit(0.0)).alias("b")).first() == (50.0, None)
+
+
+def test_graph_shards_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", 100)
+    df = from_arrays(spark, units(250, 8))
+    assert len(list(hnsw.graphs(hnsw.build(df)))) == 3 and len(list(hnsw.graphs(hnsw.build(df, 1)))) == 1

@@ -48,7 +48,7 @@ def parser() -> argparse.ArgumentParser:
     b = sub.add_parser("index-build")
     b.add_argument("dataset")
     b.add_argument("output")
-    b.add_argument("--shards", type=int, default=1)
+    b.add_argument("--shards", type=int)
     b.add_argument("--m", type=int, default=16)
     b.add_argument("--ef-construction", type=int, default=200)
     i = sub.add_parser("index-search")

@@ -111,8 +111,12 @@ class Graph:
         return self.beam(q, at, max(ef, k), 0)[:k]
 
 
-def build(df: DataFrame, shards: int = 1, m: int = 16, ef_construction: int = 200) -> DataFrame:
-    """The index table: a row for each vector. Rows are dealt by a hash of ord; a shard should hold a few thousand.
+#: Rows of a shard where the caller names no number of shards.
+SHARD_ROWS = 2048
+
+
+def build(df: DataFrame, shards: int | None = None, m: int = 16, ef_construction: int = 200) -> DataFrame:
+    """The index table: a row for each vector. Rows are dealt by a hash of ord; a shard holds about SHARD_ROWS unless told.
 
     One shard has the insertion order and layers of a single graph over the whole table.
     """
@@ -122,6 +126,7 @@ def build(df: DataFrame, shards: int = 1, m: int = 16, ef_construction: int = 20
         g = Graph(m, ef_construction).build(_matrix(pdf["vector"]))
         return pd.DataFrame({"shard": key[0], "node": range(len(pdf)), "ord": pdf["ord"], "id": pdf["id"], "vector": list(g.vectors.astype(np.float32)), "edges": g.edges, "entry": g.entry}).astype({"shard": "int32", "node": "int32", "entry": "int32"})
 
+    shards = shards or max(1, -(-df.count() // SHARD_ROWS))
     dealt = df.select(F.pmod(F.xxhash64("ord"), F.lit(shards)).cast("int").alias("shard"), "ord", "id", "vector")
     return dealt.groupBy("shard").applyInPandas(run, INDEX)
 

@@ -447,11 +447,6 @@ def recall_pq_i0(spark, sf):
     return _recall_rows(spark, sf, model.batch_top_k(codes, asked(df), 10), df)
 
 
-def _shards(df: DataFrame) -> int:
-    """A few thousand rows a shard."""
-    return max(1, -(-df.count() // 2048))
-
-
 def _reached(mean: float) -> str:
     return f"SELECT count(*) AS queries, {mean}::DOUBLE AS least, true AS reached FROM embeddings WHERE vec_id % 50 = 0"
 
@@ -464,13 +459,13 @@ def _held(recall: DataFrame, mean: float) -> DataFrame:
 @query()
 def hnsw_topk(spark, sf):
     df = corpus(spark, sf)
-    return shown(hnsw.batch_top_k(hnsw.build(df, _shards(df)), asked(df), 10))
+    return shown(hnsw.batch_top_k(hnsw.build(df), asked(df), 10))
 
 
 @query()
 def recall_hnsw(spark, sf):
     df = corpus(spark, sf)
-    return _recall_rows(spark, sf, hnsw.batch_top_k(hnsw.build(df, _shards(df)), asked(df), 10), df)
+    return _recall_rows(spark, sf, hnsw.batch_top_k(hnsw.build(df), asked(df), 10), df)
 
 
 @query(_reached(0.95))
@@ -625,7 +620,7 @@ def pipeline_json(spark, sf):
 
     df = corpus(spark, sf)
     decoded = compress(df, "nf4").decoded
-    return search_lines(hnsw.build(decoded, _shards(df)), asked(df), 10)
+    return search_lines(hnsw.build(decoded), asked(df), 10)
 
 
 @query("SELECT i AS ord, printf('emb_%06d', i) AS id, 1.0::DOUBLE AS norm FROM range(200) t(i)")

@@ -47,7 +47,7 @@ def handler(session: VectorSession) -> type[BaseHTTPRequestHandler]:
                 if self.path == "/api/search":
                     return session.search(body["query"], int(body.get("k", 10)))
                 if self.path == "/api/index/build":
-                    return session.build_index(int(body.get("shards", 1)), int(body.get("m", 16)), int(body.get("ef_construction", 200)))
+                    return session.build_index(int(body.get("shards", 0)) or None, int(body.get("m", 16)), int(body.get("ef_construction", 200)))
                 return session.index_search(body["query"], int(body.get("k", 10)), int(body.get("ef", 50)))
 
             if self.path in ("/api/upload", "/api/search", "/api/index/build", "/api/index/search"):

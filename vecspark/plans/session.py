@@ -64,7 +64,7 @@ class VectorSession:
         began = time.time()
         return self._rows(search.batch_top_k(self.data, self._query(query), k, dim=self.dim), began)
 
-    def build_index(self, shards: int = 1, m: int = 16, ef_construction: int = 200) -> dict:
+    def build_index(self, shards: int | None = None, m: int = 16, ef_construction: int = 200) -> dict:
         if not self.count:
             raise BadRequest("no data is loaded")
         began = time.time()

@@ -67,7 +67,7 @@ def search_lines(index: DataFrame, queries: DataFrame, k: int, ef_search: int =
     return lists.select(F.to_json(F.struct(F.col("qid").alias("query_id"), results.alias("results"))).alias("line"))
 
 
-def run(df: DataFrame, out: str, format: str = "stream", shards: int = 1, m: int = 16, ef_construction: int = 200, ef_search: int = 50, queries: DataFrame | None = None, k: int = 10) -> DataFrame | None:
+def run(df: DataFrame, out: str, format: str = "stream", shards: int | None = None, m: int = 16, ef_construction: int = 200, ef_search: int = 50, queries: DataFrame | None = None, k: int = 10) -> DataFrame | None:
     """Compresses df, builds the graph index on the decoded rows, keeps both under out, and answers the queries, if any."""
     done = compress(df, format)
     done.write_table(f"{out}/compressed")
