@@ -150,7 +150,7 @@ class _Finder:
 
 
 #: A sketch of distinct hashes: a bit for each (rank, bucket), so sketches of parts are merged by OR. Its 4,096 bytes are
-#: what Spark's bitmap_or_agg takes; the count is exact to about 3 %, and all but exact below a hundred.
+#: what Spark's bitmap_or_agg takes; the count has a standard error of 2 to 3 %.
 BUCKETS, RANKS = 512, 64
 
 
