@@ -712,7 +712,7 @@ def test_sketches_merge(spark):
 
 def test_all_queries_run(spark):
     got = queries.queries()
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in got) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in got) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))

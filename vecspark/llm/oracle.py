@@ -35,3 +35,18 @@ p AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(rang
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)""",
 }
+
+#: The crc32 of a short ASCII string x, a bit at a time: each byte enters, then eight halvings (-1) follow.
+_CRC32 = "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(x, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"
+ORACLE["op13_prefix_trie"] = rf"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS d, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, count(*) AS n, c - c % 20 AS b, (SELECT {_CRC32} FROM (SELECT c::VARCHAR AS x)) % 4 AS h FROM t GROUP BY c),
+k AS (SELECT n.*, least(n.h, coalesce(m.n, 0)) AS k FROM n LEFT JOIN n m ON m.c = n.b),
+y AS (SELECT k.c, d, r, x FROM k JOIN t ON t.c = k.b AND d <= k.k UNION ALL SELECT k.c, d - h + k, r, x FROM k JOIN t ON t.c = k.c AND d > h),
+e AS (SELECT k.c, coalesce(list({{'r': r, 'x': x}} ORDER BY d) FILTER (d IS NOT NULL), []) AS p FROM k LEFT JOIN y USING (c) GROUP BY k.c),
+m AS (SELECT c, unnest(range(len(p) + 1)) AS d, p FROM e),
+s AS (SELECT p[:d] AS p, d, min(c) AS c, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(p) = d), '') AS ends FROM m GROUP BY ALL),
+z AS (SELECT s.*, CASE WHEN d > 0 THEN (n_convs - 1) * len(regexp_extract_all(p[d].x, '[^\x20\x09-\x0D]+')) ELSE 0 END AS saved, (SELECT count(*) FROM s q WHERE q.d = s.d + 1 AND q.p[:s.d] = s.p) AS n_children FROM s),
+u AS (SELECT p[:i] AS p, i AS d, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(d + 1)) AS i FROM z) GROUP BY ALL)
+SELECT z.c AS conv_id, z.d AS depth, o.c AS parent_conv_id, z.n_convs, z.n_children, n_leaves, saved_tokens, sha256(z.ends) AS ends_sha256
+FROM z JOIN u ON u.p = z.p AND u.d = z.d LEFT JOIN z o ON o.d = z.d - 1 AND o.p = z.p[:z.d - 1]"""

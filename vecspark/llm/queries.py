@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .oracle import ORACLE
 
-__all__ = ["ORACLE", "queries", "tokenizer_path"]
+__all__ = ["ORACLE", "pieces_path", "queries", "tokenizer_path"]
 
-#: The tokenizer file's place; another may be given to the operator.
+#: The tokenizer files' places; others may be given to the operators.
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def tokenizer_path() -> str:
@@ -18,6 +19,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def pieces_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(PIECES)
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -84,5 +91,23 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(_read(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import digests, periodic_runs, with_planted_runs
+
+    return digests(periodic_runs(with_planted_runs(_read(spark, sf_dir, "documents"))))
+
+
+def op12_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_tokens import digests, encode
+
+    return digests(encode(_read(spark, sf_dir, "documents"), pieces_path(), with_decoded=True))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import numbered, trie, with_end_digests, with_shared_starts
+
+    return with_end_digests(*trie(with_shared_starts(numbered(_read(spark, sf_dir, "conversations")))))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_ngram_jaccard_join, op3_pii, op4_line_dedup, op5_source_mixing, op6_token_output, op7_language_id, op8_chat_formatting, op9_decontamination, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_sharding, op2_ngram_jaccard_join, op3_pii, op4_line_dedup, op5_source_mixing, op6_token_output, op7_language_id, op8_chat_formatting, op9_decontamination, op10_fingerprints, op11_periodic_runs, op12_piece_tokens, op13_prefix_trie)}
