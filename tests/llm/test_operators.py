@@ -619,13 +619,31 @@ def test_code_lengths_equal_a_plain_coder(spark, order):
         assert got[k] == pytest.approx([bits(t) for t in asked], rel=1e-5)
 
 
-def test_bounded_trees_are_proper_codes_too(spark):
-    rows = [(d, t, "en") for d, t in enumerate(TRAINING["en"] * 9) if edge.crc(str(d).encode()) % 4 != 2]
-    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), cells=1)
+def test_trees_are_proper_codes():
     tree = language_id._Tree(2, [(np.array([97, 98]), np.array([3, 1])), (np.array([97 << 8 | 97, 97 << 8 | 98]), np.array([2, 1])), (np.array([(97 << 8 | 97) << 8 | 98]), np.array([1]))])
     for context in (0, 97, 98, 97 << 8 | 97):
         assert tree.probability(2, (context << 8) + np.arange(256)).sum() == pytest.approx(1)
-    assert len(model.seen[4][0].keys) <= 256
+
+
+def test_code_lengths_do_not_depend_on_other_languages(spark, monkeypatch):
+    rng = random.Random(9)
+    ids = (d for d in range(10**6) if edge.crc(str(d).encode()) % 4 != 2)
+    rows = [(next(ids), t, lang) for lang, ts in TRAINING.items() for t in ts]
+    more = [(next(ids), " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(300)), f"other{i}") for i in range(56)]
+    few, many = (language_id.fit(spark.createDataFrame(x, "doc_id long, text string, lang string")) for x in (rows, rows + more))
+    asked = ["der Fluss und the water", "", *TRAINING["zh"], "ABC " * 200]
+    bits = lambda m: np.concatenate([m.code_lengths(raw, off) for _, _, raw, off in chunks(pa.array(asked))], axis=1)
+    whole, own = bits(many), bits(few)
+    assert len(many.langs) == 60 and (whole[[many.langs.index(x) for x in few.langs]] == own).all()
+    monkeypatch.setattr(language_id, "PLACES", 7)  # in pieces that end inside texts
+    assert bits(few) == pytest.approx(own)
+
+
+def test_the_sample_of_labelled_rows_is_bounded(spark):
+    rows = [(d, f"word{d} " * 50, "en") for d in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    n = lambda m: m.trees[0].contexts[0][1].size and int(m.trees[0].seen[4][0].keys.size)
+    assert n(language_id.fit(docs, train_bytes=4000)) < n(language_id.fit(docs, train_docs=60)) < n(language_id.fit(docs))
 
 
 def test_numbers_are_found_in_an_index():

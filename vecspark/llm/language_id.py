@@ -5,22 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, chunks
+from ._common import LOWER, chunks, durable
 
 #: Labelled documents a language that the trees are fitted on, at most about; which ones follows from a hash of doc_id.
 TRAIN_DOCS = 5000
 #: Bytes of context at most.
 ORDER = 4
-#: Code lengths in the model at most (16 MB), which bounds the nodes of an order that each language keeps, the most frequent ones.
-CELLS = 1 << 22
+#: Bytes of their texts, at most about.
+TRAIN_BYTES = 1 << 21
 #: Bits a byte from which on a text is of no learned language: its shortest code is no shorter than its bytes.
 PLAIN = 8.0
 #: Bytes that are looked up in one go.
-PLACES = 1 << 17
+PLACES = 1 << 20
 
 
 def _grams(raw: np.ndarray, off: np.ndarray, order: int) -> np.ndarray:
@@ -51,41 +52,17 @@ def _counts(order: int) -> Callable:
 
 
 class _Index:
-    """Places of distinct numbers in an array, by open addressing."""
+    """Places of numbers in an ascending array."""
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
-        self.shift = np.uint64(64 - max(4, int(4 * len(keys)).bit_length()))
-        self.slots = np.full((1 << 64 - int(self.shift)) + 64, -1, np.int32)
-        left, slot = np.arange(len(keys)), self._first(keys)
-        while len(left):
-            if int(slot.max()) >= len(self.slots):
-                self.slots = np.concatenate([self.slots, np.full(64, -1, np.int32)])
-            free = self.slots[slot] < 0
-            _, one = np.unique(slot[free], return_index=True)
-            taken = np.flatnonzero(free)[one]
-            self.slots[slot[taken]] = left[taken]
-            rest = np.ones(len(left), bool)
-            rest[taken] = False
-            left, slot = left[rest], slot[rest] + 1
-        self.slots = np.append(self.slots, np.int32(-1))
-
-    def _first(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The place of each number, -1 where it isn't there."""
-        out = np.full(len(keys), -1, np.int32)
         if not len(self.keys):
-            return out
-        slot, left = self._first(keys), np.arange(len(keys))
-        while len(left):
-            at = self.slots[slot]
-            same = (at >= 0) & (self.keys[at] == keys[left])
-            out[left[same]] = at[same]
-            go = (at >= 0) & ~same
-            left, slot = left[go], slot[go] + 1
-        return out
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
 
 
 class _Tree:
@@ -121,47 +98,33 @@ class _Tree:
         return np.where(at >= 0, self.contexts[k][1][at], 1.0) if len(self.contexts[k][1]) else np.ones(len(context))
 
 
-def _bits(p: np.ndarray) -> np.ndarray:
-    return (-np.log2(np.maximum(p, 2.0**-60))).astype(np.float32)
-
-
 class Model:
-    """Frozen statistics: for each order a row of code lengths, one a language, for each node that any language has."""
+    """Frozen statistics: a tree for each language, made of that language's documents alone."""
 
     def __init__(self, langs: list[str], nodes: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]], order: int = ORDER):
         self.langs, self.order = langs, order
         none = (np.empty(0, np.int64), np.empty(0, np.int64))
-        trees = [_Tree(order, [nodes.get((x, k), none) for k in range(order + 1)]) for x in langs]
-        self.seen, self.escapes = [], []
-        for k in range(order + 1):
-            gram = np.unique(np.concatenate([np.empty(0, np.int64), *(t.seen[k][0].keys for t in trees)]))
-            context = np.unique(gram >> 8)
-            self.seen.append((_Index(gram), _bits(np.array([t.probability(k, gram) for t in trees]).reshape(len(langs), len(gram)).T)))
-            self.escapes.append((_Index(context), _bits(np.array([t.escape(k, context) for t in trees]).reshape(len(langs), len(context)).T)))
+        self.trees = [_Tree(order, [nodes.get((x, k), none) for k in range(order + 1)]) for x in langs]
 
     def code_lengths(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """[language, text]: the bits that each language's tree needs for each text."""
+        """[language, text]: the bits that each language's tree needs for each text. No language's depend on the others.
+
+        Each different byte with its context is looked up once in PLACES bytes, tree by tree.
+        """
         out = np.zeros((len(self.langs), len(off) - 1))
-        grams = _grams(raw, off, self.order)
-        for lo in range(0, len(grams), PLACES):
-            gram = grams[lo : lo + PLACES]
-            bits = np.zeros((len(gram), len(self.langs)), np.float32)
-            left = np.arange(len(gram))
-            for k in range(self.order, -1, -1):
-                at = self.seen[k][0].find(gram)
-                hit = at >= 0
-                bits[left[hit]] += self.seen[k][1][at[hit]]
-                left, gram = left[~hit], gram[~hit]
-                at = self.escapes[k][0].find(gram >> 8)
-                hit = at >= 0
-                bits[left[hit]] += self.escapes[k][1][at[hit]]
-                gram = gram & ((1 << 8 * k) - 1)
-            bits[left] += np.float32(8)
-            first, last = np.searchsorted(off, [lo, lo + len(bits) - 1], side="right") - 1
-            ends = off[first + 1 : last + 2] - 1 - lo  # separators
-            bits[ends[ends < len(bits)]] = 0
-            start = np.maximum(off[first : last + 1] - lo, 0)
-            out[:, first : last + 1] += np.add.reduceat(bits.astype(np.float64), start, axis=0).T
+        for lo in range(0, len(raw), PLACES):
+            start = max(lo - self.order, 0)
+            hi = min(lo + PLACES, len(raw))
+            before, first, last = np.searchsorted(off, [start, lo, hi - 1], side="right") - 1
+            gram = _grams(raw[start:hi], np.clip(off[before : last + 2] - start, 0, hi - start), self.order)[lo - start :]
+            which, kinds = pd.factorize(gram)
+            inside = np.ones(hi - lo, bool)
+            ends = off[first + 1 : last + 2] - 1 - lo  # separators are no text
+            inside[ends[ends < hi - lo]] = False
+            begin = np.maximum(off[first : last + 1] - lo, 0)
+            for x, tree in enumerate(self.trees):
+                bits = -np.log2(np.maximum(tree.probability(self.order, kinds), 2.0**-60))
+                out[x, first : last + 1] += np.add.reduceat(np.where(inside, bits[which], 0.0), begin)
         return out
 
 
@@ -170,15 +133,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, order: int = ORDER, cells: int = CELLS) -> Model:
-    """Trees from labelled documents that aren't held out: about train_docs of each language, all where there are fewer.
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, order: int = ORDER, train_bytes: int = TRAIN_BYTES) -> Model:
+    """Trees from labelled documents that aren't held out: whole ones by a hash of doc_id, about train_docs of each language and train_bytes of their texts, all where there are fewer.
 
-    What reaches the driver is a count for each node of a tree. Of each order a language keeps its most frequent nodes, so
-    many that the model has about `cells` code lengths at most; shorter contexts stand in for the others, by escapes.
+    That sample bounds each language's tree, which keeps every node of it, and no language's depends on the others. What
+    reaches the driver is a count for each node, language by language; a node takes 16 bytes there and in each worker, about
+    10 MB a language for prose.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    n = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = {lang: min(1.0, train_docs / rows) for lang, rows in sorted(n.items())}
+    n = {r.lang: r for r in labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()}
+    share = {lang: min(1.0, train_docs / r.n, train_bytes / max(r.size, 1)) for lang, r in sorted(n.items())}
     if not n:
         return Model([], {}, order)
     unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("train")), 11).cast("double") * F.lit(2.0**-53)
@@ -187,18 +151,14 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, order: int = ORDER, cells
     grams = taken.select("lang", "text").mapInArrow(_counts(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     each = F.explode(F.sequence(F.lit(0), F.lit(order))).alias("k")
     nodes = grams.select("lang", "n", "gram", each).groupBy("lang", "k", F.expr("gram & (shiftleft(1L, 8 * (k + 1)) - 1L)").alias("gram")).agg(F.sum("n").alias("n"))
-    kept = max(256, cells // ((order + 1) * len(n) ** 2))
-    place = F.row_number().over(Window.partitionBy("lang", "k").orderBy(F.desc("n"), "gram"))
-    t = nodes.withColumn("place", place).where(F.col("place") <= kept).select("lang", "k", "gram", "n").toArrow()
+    nodes = durable(nodes)
     found: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
-    number = {x: i for i, x in enumerate(sorted(n))}
-    lang = np.array([number[x] for x in t["lang"].to_pylist()], np.int64)
-    k, gram, count = (t[c].to_numpy() for c in ("k", "gram", "n"))
-    for x, i in number.items():
+    for lang in sorted(n):
+        t = nodes.where(F.col("lang") == lang).select("k", "gram", "n").toArrow()
+        k, gram, count = (t[c].to_numpy() for c in ("k", "gram", "n"))
         for j in range(order + 1):
-            own = (lang == i) & (k == j)
-            by = np.argsort(gram[own])
-            found[x, j] = gram[own][by], count[own][by]
+            by = np.argsort(gram[k == j])
+            found[lang, j] = gram[k == j][by], count[k == j][by]
     return Model(sorted(n), found, order)
 
 
