@@ -49,5 +49,35 @@ def test_pipeline_stage_by_stage(spark):
         at += len(ids)
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, `c``d` map<string,int>, same string, place int, one array<map<int,string>>, further_0 binary"
+
+
+def odd_rows():
+    rows = [(d, t, lang, s, len(t or ""), f"dot{d}", {"k": d or 0}, "same", d, [{1: "x"}], b"\x00") for d, t, lang, s in edge.TEXTS]
+    prose = "the river is wide and the forest is still while the water near the old mill stays cold in every month of the year "
+    rows += [(200 + i, prose + f"and person {i} says so " * 8, "en", "bcd"[i % 3], 1, None, None, None, None, None, None) for i in range(30)]
+    rows += [(300, "benchmark words of ten or more that stand in both tables at once today", "en", "b", 1, None, {}, None, None, [], None)]
+    return [*rows, rows[0], rows[0], (None, rows[0][1], "en", "a", 1, None, None, None, None, None, None)]
+
+
+def test_run_keeps_columns_of_any_name_and_type(spark, tmp_path):
+    rows = odd_rows()
+    spark.createDataFrame(rows, ODD).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, rows[-4][1]), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    whole = {str(r) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [f.name for f in spark.read.parquet(f"{tmp_path}/documents.parquet").schema] and {str(r) for r in docs.collect()} <= whole, name
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert out and 300 not in {r.doc_id for r in out} and sorted(r.start for r in out) == [sum(x.n_tokens for x in sorted(out, key=lambda r: r.start)[:i]) for i in range(len(out))]
+
+
+def test_run_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], ODD).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0

@@ -38,15 +38,14 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def free_names(columns: list[str], *wanted: str) -> list[str]:
-    """Names like the wanted ones that no column has, in any case."""
-    taken, out = {c.lower() for c in columns}, []
-    for name in wanted:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
+def plainly_named(docs: DataFrame, *needed: str) -> DataFrame:
+    """docs with every column but the needed ones under a name without dots, quotes or clashes; toDF(*docs.columns) brings them back."""
+    return docs.toDF(*(c if c in needed else f"further_{i}" for i, c in enumerate(docs.columns)))
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row, of whatever type (maps can't be hashed as such)."""
+    return F.xxhash64(F.to_json(F.struct(*(F.col(c) for c in docs.columns))))
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, WORD, Hasher, U, chunks, durable, grams, words
+from ._common import LOWER, WORD, Hasher, U, chunks, durable, grams, words, plainly_named
 
 WINDOW = 10
 GRAM = 5
@@ -190,9 +190,10 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs, all columns, without documents that hold a window of the benchmark; each block of it is one step over the rows, no shuffle."""
     sc = docs.sparkSession.sparkContext
+    rows = plainly_named(docs, "text")
     for block in _blocks(benchmark):
-        docs = docs.mapInArrow(_keep(sc.broadcast(Benchmark(block))), docs.schema)
-    return docs
+        rows = rows.mapInArrow(_keep(sc.broadcast(Benchmark(block))), rows.schema)
+    return rows.toDF(*docs.columns)
 
 
 def _keep(shared) -> Callable:

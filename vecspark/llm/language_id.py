@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, chunks, durable
+from ._common import LOWER, chunks, durable, plainly_named
 
 #: Labelled documents a language that the trees are fitted on, at most about; which ones follows from a hash of doc_id.
 TRAIN_DOCS = 5000
@@ -218,4 +218,5 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
             keep = [(best < len(m.langs)) & (rate < PLAIN) for _, _, best, _, rate in _judge(m, batch.column("text"))]
             yield batch.filter(pa.array(np.concatenate([*keep, np.empty(0, bool)]), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = plainly_named(docs, "text")
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import durable, free_names
+from ._common import durable, plainly_named, row_hash
 
 #: Words between ASCII white space.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -140,11 +140,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 
 def resample(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """docs, all columns, each row as often as `mix` takes it; of rows alike in doc_id, text and source the first by a hash of all columns are taken first."""
-    same, d, s, h, copies, n, i = free_names(docs.columns, "same", "d", "s", "h", "copies", "n", "i")
-    rows = docs.withColumn(same, F.xxhash64("doc_id", "text"))
-    taken = mix(docs, weights, share, most, keep_key=True).groupBy("doc_id", "source", "same").agg(F.sort_array(F.collect_list("copies"), asc=False).alias(copies))
-    taken = taken.select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("same").alias(h), copies)
-    on = F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (F.col(same) == F.col(h))
-    w = Window.partitionBy("doc_id", "source", same).orderBy(F.xxhash64(*docs.columns))
-    joined = rows.join(taken.hint("shuffle_hash"), on).withColumn(n, F.get(copies, F.row_number().over(w) - 1).cast("int"))
-    return joined.where(F.col(n) > 0).withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
+    rows = plainly_named(docs, "doc_id", "text", "source")
+    columns = rows.columns
+    rows = rows.withColumn("same", F.xxhash64("doc_id", "text")).withColumn("place", row_hash(rows))
+    taken = mix(docs.select("doc_id", "text", "source"), weights, share, most, keep_key=True).groupBy("doc_id", "source", "same").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies"))
+    taken = taken.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("same").alias("h"), "copies")
+    on = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("same") == F.col("h"))
+    w = Window.partitionBy("doc_id", "source", "same").orderBy("place")
+    joined = rows.join(taken.hint("shuffle_hash"), on).withColumn("n", F.get("copies", F.row_number().over(w) - 1).cast("int"))
+    return joined.where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n")))).select(*columns).toDF(*docs.columns)
