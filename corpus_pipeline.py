@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecspark.llm import decontamination, jaccard_join, language_id, mixing, token_output
-from vecspark.llm._common import free_names, fresh_path
+from vecspark.llm._common import fresh_path, plainly_named, row_hash
 from vecspark.llm.queries import tokenizer_path
 
 
@@ -26,13 +26,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are told apart by doc_id and text, so different texts of one doc_id stay unless they are near duplicates. Rows without
     a doc_id or without words stay.
     """
-    same, one = free_names(docs.columns, "same", "one")
-    first = jaccard_join.linked(docs).where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "same")).alias("first"))
-    first = first.select(F.col("first.doc_id"), F.col("first.same").alias(same))
-    rows = docs.withColumn(same, F.xxhash64("text")).join(first.hint("shuffle_hash"), ["doc_id", same], "left_semi")
-    rows = rows.withColumn(one, F.row_number().over(Window.partitionBy("doc_id", same).orderBy(F.xxhash64(*docs.columns)))).where(F.col(one) == 1)
+    first = jaccard_join.linked(docs.select("doc_id", "text")).where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "same")).alias("first"))
+    first = first.select("first.doc_id", "first.same")
+    rows = plainly_named(docs, "doc_id", "text")
+    columns = rows.columns
     alone = F.col("doc_id").isNull() | F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    return rows.select(*docs.columns).unionByName(docs.where(alone))
+    kept = rows.withColumn("same", F.xxhash64("text")).withColumn("place", row_hash(rows)).join(first.hint("shuffle_hash"), ["doc_id", "same"], "left_semi")
+    kept = kept.withColumn("one", F.row_number().over(Window.partitionBy("doc_id", "same").orderBy("place"))).where("one = 1")
+    return kept.select(*columns).unionByName(rows.where(alone)).toDF(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
