@@ -5,7 +5,7 @@ import pytest
 
 from vecspark.operators import hnsw, nf4, pq, rq, scalar
 from vecspark.schema import from_arrays
-from vecspark.sources import formats, generators, graph_file, ingest
+from vecspark.sources import formats, generators, graph_file, ingest, vecstream
 from vecspark.streaming import encode as stream
 
 
@@ -48,11 +48,14 @@ def test_stream_file(spark, tmp_path):
     v = vectors()
     df = from_arrays(spark, v)
     path = str(tmp_path / "a.stream")
-    assert formats.write_file(df, path) == 20
-    formats.register(spark)
-    for n in (3, 1000):
-        rows = spark.read.format("vecstream").option("path", path).option("rowsPerPartition", n).load().orderBy("ord").collect()
-        assert [r.id for r in rows] == [f"vec_{i}" for i in range(20)] and np.allclose([r.vector for r in rows], v)
+    assert vecstream.write_file(df, path) == 20
+    for every, parts in ((None, 1), (90, 10), (1 << 20, 1)):
+        if every:
+            assert [(r.rows, r.ranges) for r in vecstream.index(spark, path, every).collect()] == [(20, parts)]
+        df = vecstream.read(spark, path)
+        rows = df.orderBy("ord").collect()
+        assert df.rdd.getNumPartitions() == parts
+        assert [r.id for r in rows] == [f"vec_{i}" for i in range(20)] and np.allclose([r.vector for r in rows], v) and [r.ord for r in rows] == list(range(20))
     assert np.allclose([r.vector for r in formats.read(spark, path).orderBy("place").collect()], v)
     with pytest.raises(Exception, match="is no scalar file"):
         spark.read.format("vecstream").option("path", path).option("kind", "scalar").load().collect()
@@ -90,17 +93,80 @@ def test_codec_files(spark, tmp_path):
     }
     for kind, (stored, model, decoded) in cases.items():
         path = str(tmp_path / kind)
-        assert formats.write_file(stored, path, kind, model, 8) == 40
+        assert vecstream.write_file(stored, path, kind, model, 8) == 40
         back = formats.read(spark, path).orderBy("place").collect()
         assert np.allclose([b.vector for b in back], [d.vector for d in decoded.orderBy("ord").collect()], atol=1e-5), kind
-    assert formats.write_file(df.limit(0), str(tmp_path / "none")) == 0 and not (tmp_path / "none").exists()
+    assert vecstream.write_file(df.limit(0), str(tmp_path / "none")) == 0 and not (tmp_path / "none").exists()
 
 
-def test_writer(spark, tmp_path):
-    formats.register(spark)
-    df = from_arrays(spark, vectors()).repartition(3)
-    df.write.format("vecstream").option("path", str(tmp_path / "out")).mode("append").save()
-    assert sorted(r.id for r in formats.read(spark, str(tmp_path / "out")).collect()) == sorted(f"vec_{i}" for i in range(20))
+def test_folders_of_all_kinds(spark, tmp_path):
+    v = vectors(300, 8)
+    df = from_arrays(spark, v).repartition(5)
+    ranges = scalar.fit_arrays(df)
+    p, r = pq.train(df, 2, 4, 2), rq.train(df, 2, 2, 4, 2)
+    cases = {"stream": (df, None, df), "scalar": (scalar.encode_bytes(df, ranges), np.stack(ranges, axis=1), scalar.decode(scalar.encode(df, ranges), ranges)), "nf4": (nf4.encode_packed(df), None, nf4.decode(nf4.encode(df))), "pq": (p.encode(df), p, p.decode(p.encode(df))), "rq": (r.encode(df), r, r.decode(r.encode(df)))}
+    for kind, (stored, model, decoded) in cases.items():
+        path = str(tmp_path / kind)
+        vecstream.write(stored, path, kind, model, 8, file_bytes=1000)
+        back = vecstream.read(spark, path, kind)
+        rows = back.orderBy("ord").collect()
+        assert back.rdd.getNumPartitions() == len(list((tmp_path / kind).glob("part-*"))) > 4
+        assert [(x.ord, x.id) for x in rows] == [(i, f"vec_{i}") for i in range(300)]
+        assert np.allclose([x.vector for x in rows], [d.vector for d in decoded.orderBy("ord").collect()], atol=1e-5), kind
+        assert formats.read(spark, path).count() == 300  # each file stands by itself
+    with pytest.raises(Exception, match="is no scalar file"):
+        vecstream.read(spark, str(tmp_path / "pq"), "scalar").collect()
+
+
+def test_commits(spark, tmp_path):
+    df = from_arrays(spark, vectors())
+    path = tmp_path / "out"
+    vecstream.write(df, str(path))
+    (path / "part-99999-left-over.stream1").write_bytes(b"a lost task's")  # no manifest names it
+    assert vecstream.read(spark, str(path)).count() == 20
+    vecstream.write(df.limit(5), str(path))
+    rows = vecstream.read(spark, str(path)).orderBy("ord").collect()
+    assert [r.ord for r in rows] == list(range(25)) and [r.id for r in rows[20:]] == [f"vec_{i}" for i in range(5)]
+    vecstream.write(df.limit(0), str(path))
+    assert vecstream.read(spark, str(path)).count() == 25
+    vecstream.write(df.limit(3), str(path), mode="overwrite")
+    assert [r.ord for r in vecstream.read(spark, str(path)).orderBy("ord").collect()] == [0, 1, 2]
+    vecstream.write(df.limit(0), str(tmp_path / "none"))
+    assert vecstream.read(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_folders_from_elsewhere(spark, tmp_path):
+    for f in ("b", "a"):
+        vecstream.write_file(from_arrays(spark, vectors(), ids=[f"{f}{i}" for i in range(20)]), str(tmp_path / f))
+    with pytest.raises(Exception, match="index it first"):
+        vecstream.read(spark, str(tmp_path)).collect()
+    vecstream.index(spark, str(tmp_path), 150)
+    rows = vecstream.read(spark, str(tmp_path)).orderBy("ord").collect()
+    assert [(r.ord, r.id) for r in rows] == [(i, f"{'ab'[i // 20]}{i % 20}") for i in range(40)]
+    (tmp_path / "a").write_bytes((tmp_path / "a").read_bytes()[:-3])
+    with pytest.raises(Exception, match="ends early"):
+        vecstream.index(spark, str(tmp_path))
+
+
+def test_long_headers(spark, tmp_path):
+    model = pq.ProductQuantizer(np.random.default_rng(2).standard_normal((4, 256, 40)), 160)
+    codes = spark.createDataFrame([(i, f"v{i}", bytes([i, 0, 255, 7])) for i in range(9)], "ord long, id string, code binary")
+    vecstream.write(codes, str(tmp_path / "pq"), "pq", model)
+    rows = vecstream.read(spark, str(tmp_path / "pq")).orderBy("ord").collect()
+    assert np.allclose(rows[5].vector, model.books[np.arange(4), [5, 0, 255, 7]].ravel(), atol=1e-5)
+
+
+def test_a_stream_that_restarts_reads_each_row_once(spark, tmp_path):
+    vecstream.register(spark)
+    df = spark.createDataFrame([(i, "same", [1.0]) for i in range(10)], "ord long, id string, vector array<float>")  # rows alike but for ord
+    path, got, marks = str(tmp_path / "in"), str(tmp_path / "got"), str(tmp_path / "marks")
+    for n, rows in ((10, df), (10, None), (14, df.limit(4)), (24, df)):
+        if rows is not None:
+            vecstream.write(rows, path)
+        q = spark.readStream.format("vecstream").option("path", path).load().writeStream.format("parquet").option("path", got).option("checkpointLocation", marks).trigger(availableNow=True).start()
+        assert q.awaitTermination(120) and q.exception() is None
+        assert sorted(r.ord for r in spark.read.parquet(got).collect()) == list(range(n))
+        vecstream.write(df.limit(0), path)
 
 
 def test_generators(spark):

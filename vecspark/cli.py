@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .operators import hnsw, quality, search
 from .plans import workflow
 from .schema import toy_dataset
-from .sources import formats, generators, ingest
+from .sources import generators, ingest, vecstream
 
 
 def load(spark: SparkSession, path: str | None) -> DataFrame:
@@ -26,8 +26,7 @@ def load(spark: SparkSession, path: str | None) -> DataFrame:
         return spark.read.parquet(path)
     if path.endswith((".jsonl", ".csv", ".json", ".txt")):
         return ingest.read_lines(spark, path)
-    formats.register(spark)
-    return spark.read.format("vecstream").option("path", path).load()
+    return vecstream.read(spark, path)
 
 
 def parser() -> argparse.ArgumentParser:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import hnsw, ivf, nf4, pq, quality, rq, scalar, search
 from ..schema import embeddings, stats
-from ..sources import formats, generators, ingest
+from ..sources import generators, ingest, store, vecstream
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -575,11 +574,9 @@ def ingest_queries(spark, sf):
 
 
 def _round_trip(spark, rows: DataFrame, kind: str, model=None, dim: int = 0) -> DataFrame:
-    path = f"{tempfile.mkdtemp(prefix='vecspark-')}/data.bin"
-    formats.write_file(rows, path, kind, model, dim)
-    with open(path, "rb") as f:
-        back = [(name, [float(x) for x in v]) for name, v in formats.decode_file(f.read())]
-    return _exploded(_values(spark, back, "id string, vector array<float>"))
+    """Written as a folder of several files in the shared store, and read back from it."""
+    vecstream.write(rows, path := store.scratch(spark, kind), kind, model, dim, file_bytes=1 << 14)
+    return _exploded(vecstream.read(spark, path, kind))
 
 
 @query(SAME)

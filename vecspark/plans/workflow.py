@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import hnsw, nf4, pq, quality, rq, scalar
 from ..schema import dimension
-from ..sources import formats
+from ..sources import vecstream
 
 FORMATS = ("stream", "scalar", "nf4", "pq", "rq")
 
@@ -27,7 +27,7 @@ class Compressed:
 
     def write_file(self, path: str) -> int:
         model = np.stack(self.model, axis=1) if self.format == "scalar" else self.model
-        return formats.write_file(self.stored, path, self.format, model, self.dim)
+        return vecstream.write_file(self.stored, path, self.format, model, self.dim)
 
     def write_table(self, path: str) -> None:
         """The stored rows as Parquet: the form for large data."""

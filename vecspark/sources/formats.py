@@ -6,7 +6,6 @@ strings and lists are a 64-bit length and their elements. Readers take any vendo
 
 from __future__ import annotations
 
-import io
 import re
 import struct
 from collections.abc import Iterator
@@ -15,13 +14,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from ..functions.exprs import NF4_LEVELS
 from ..operators.pq import ProductQuantizer
 from ..operators.rq import ResidualQuantizer
 
 VENDOR = "VECSPARK"
 _MAGIC = re.compile(rb"[A-Z0-9_-]{1,32}\+(STREAM1|QSTREAM1|NF4STREAM1|RQSTREAM1|PQSTREAM1)\n")
+LEVELS = np.array(NF4_LEVELS, np.float32)
 KINDS = {"stream": "STREAM1", "scalar": "QSTREAM1", "nf4": "NF4STREAM1", "rq": "RQSTREAM1", "pq": "PQSTREAM1"}
 
 
@@ -140,39 +140,41 @@ def offsets(data: bytes, start: int) -> Iterator[int]:
 
 def decode_file(data: bytes) -> Iterator[tuple[str, np.ndarray]]:
     """(id, vector) of each record; codes are decoded."""
-    from ..functions.exprs import NF4_LEVELS
-
     h = read_header(data)
     if h.kind == "dataset":
         c = Cursor(data)
         for _ in range(c.take("Q")):
             yield c.blob().decode(), c.floats()
         return
-    levels = np.array(NF4_LEVELS, np.float32)
     for at in offsets(data, h.start):
-        c = Cursor(data, at)
-        name = c.blob().decode()
-        if h.kind == "STREAM1":
-            yield name, c.floats()
-        elif h.kind == "QSTREAM1":
-            q = np.frombuffer(c.blob(), np.uint8).astype(np.float64)
-            mn, mx = h.model[: len(q), 0], h.model[: len(q), 1]
-            yield name, np.where(mx > mn, mn + q / 255 * (mx - mn), mn).astype(np.float32)
-        elif h.kind == "NF4STREAM1":
-            packed = np.frombuffer(c.blob(), np.uint8)
-            codes = np.stack([packed & 15, packed >> 4], axis=1).ravel()[: h.dim]
-            yield name, levels[codes] * np.float32(c.take("f"))
-        elif h.kind == "PQSTREAM1":
-            code = np.frombuffer(c.blob(), np.uint8).astype(np.int64)
-            yield name, h.model.books[np.arange(h.model.m), code].ravel().astype(np.float32)
-        else:
-            out = np.zeros(h.model.dim)
-            for p in range(c.take("Q")):
-                code = np.frombuffer(c.blob(), np.uint8).astype(np.int64)
-                b = h.model.books[p]
-                there = code < b.shape[1]
-                out += (b[np.arange(len(b)), np.where(there, code, 0)] * there[:, None]).ravel()
-            yield name, out.astype(np.float32)
+        (n,) = struct.unpack_from("<I", data, at - 4)
+        yield decode_record(h, data[at : at + n])
+
+
+def decode_record(h: Header, payload: bytes) -> tuple[str, np.ndarray]:
+    """(id, vector) of one record of a file with this header."""
+    c = Cursor(payload)
+    name = c.blob().decode()
+    if h.kind == "STREAM1":
+        return name, c.floats()
+    if h.kind == "QSTREAM1":
+        q = np.frombuffer(c.blob(), np.uint8).astype(np.float64)
+        mn, mx = h.model[: len(q), 0], h.model[: len(q), 1]
+        return name, np.where(mx > mn, mn + q / 255 * (mx - mn), mn).astype(np.float32)
+    if h.kind == "NF4STREAM1":
+        packed = np.frombuffer(c.blob(), np.uint8)
+        codes = np.stack([packed & 15, packed >> 4], axis=1).ravel()[: h.dim]
+        return name, LEVELS[codes] * np.float32(c.take("f"))
+    if h.kind == "PQSTREAM1":
+        code = np.frombuffer(c.blob(), np.uint8).astype(np.int64)
+        return name, h.model.books[np.arange(h.model.m), code].ravel().astype(np.float32)
+    out = np.zeros(h.model.dim)
+    for p in range(c.take("Q")):
+        code = np.frombuffer(c.blob(), np.uint8).astype(np.int64)
+        b = h.model.books[p]
+        there = code < b.shape[1]
+        out += (b[np.arange(len(b)), np.where(there, code, 0)] * there[:, None]).ravel()
+    return name, out.astype(np.float32)
 
 
 def magic(kind: str, vendor: str = VENDOR) -> bytes:
@@ -236,126 +238,3 @@ def _rows(path: str, n: int, ids: list, vectors: list) -> pa.RecordBatch:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """path, place, id, vector of the files in any store that Spark reads; a task for each file."""
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_decode_batches, "path string, place long, id string, vector array<float>")
-
-
-@dataclass
-class _Range(InputPartition):
-    path: str
-    start: int
-    end: int
-    first: int
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.path, self.rows = options["path"], int(options.get("rowsPerPartition", 100_000))
-        self.only = options.get("kind")
-
-    def partitions(self) -> list[InputPartition]:
-        """Record ranges, found by walking the length prefixes only."""
-        with open(self.path, "rb") as f:
-            head = read_header(f.read(1 << 16)) if self.only != "dataset" else Header("dataset", 0)
-            if self.only and head.kind != KINDS[self.only]:
-                raise ValueError(f"{self.path} is no {self.only} file")
-            if head.kind == "dataset":
-                return [_Range(self.path, 0, -1, 0)]
-            out, n, at = [], 0, head.start
-            begin = at
-            while True:
-                f.seek(at)
-                size = f.read(4)
-                if len(size) < 4:
-                    break
-                at += 4 + struct.unpack("<I", size)[0]
-                n += 1
-                if n % self.rows == 0:
-                    out.append(_Range(self.path, begin, at, n - self.rows))
-                    begin = at
-            return [*out, _Range(self.path, begin, at, n - n % self.rows)] or [_Range(self.path, at, at, 0)]
-
-    def read(self, part: _Range) -> Iterator[tuple]:
-        with open(part.path, "rb") as f:
-            if part.end < 0:
-                data = f.read()
-            else:
-                head = f.read(1 << 16)
-                start = read_header(head).start
-                f.seek(part.start)
-                data = head[:start] + f.read(part.end - part.start)
-        for i, (name, v) in enumerate(decode_file(data)):
-            yield part.first + i, name, [float(x) for x in v]
-
-
-@dataclass
-class _Written(WriterCommitMessage):
-    path: str
-    rows: int
-
-
-class _Writer(DataSourceWriter):
-    """A file for each task, each with a magic line."""
-
-    def __init__(self, options: dict):
-        self.path, self.vendor = options["path"], options.get("vendor", VENDOR)
-
-    def write(self, rows: Iterator) -> _Written:
-        import os
-        import uuid
-
-        os.makedirs(self.path, exist_ok=True)
-        at, n = f"{self.path}/part-{uuid.uuid4().hex}.stream1", 0
-        with open(at + ".tmp", "wb") as f:
-            f.write(magic("stream", self.vendor))
-            for r in rows:
-                f.write(encode_record("stream", (r["id"], r["vector"])))
-                n += 1
-        return _Written(at, n)
-
-    def commit(self, messages: list) -> None:
-        import os
-
-        for m in messages:
-            if m:
-                os.rename(m.path + ".tmp", m.path)
-
-    def abort(self, messages: list) -> None:
-        import os
-
-        for m in messages:
-            if m:
-                os.remove(m.path + ".tmp")
-
-
-class VectorStream(DataSource):
-    """`vecstream`: one local or mounted file of vectors or codes, split by records; writes plain streams."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "vecstream"
-
-    def schema(self) -> str:
-        return "ord long, id string, vector array<float>"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
-
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options)
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(VectorStream)
-
-
-def write_file(rows: DataFrame, path: str, kind: str = "stream", model=None, dim: int = 0, vendor: str = VENDOR) -> int:
-    """One file of a table that has the columns of the kind, row by row through the driver; returns the number of rows. No rows, no file."""
-    columns = {"stream": ["id", "vector"], "scalar": ["id", "qvec"], "nf4": ["id", "packed", "scale"], "rq": ["id", "codes"], "pq": ["id", "code"]}[kind]
-    n = 0
-    body = io.BytesIO()
-    for r in rows.orderBy("ord").select(*columns).toLocalIterator():
-        body.write(encode_record(kind, tuple(bytes(x) if isinstance(x, bytearray) else [bytes(y) for y in x] if kind == "rq" and isinstance(x, list) else x for x in r)))
-        n += 1
-    if n:
-        with open(path, "wb") as f:
-            f.write(encode_header(kind, model, dim, n, vendor) + body.getvalue())
-    return n
