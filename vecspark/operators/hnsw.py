@@ -1,4 +1,4 @@
-"""A sharded graph index: each shard is a navigable small-world graph over its rows, kept as a table."""
+"""A sharded graph index: each shard is a navigable small-world graph over its rows, kept as one packed row of a table."""
 
 import heapq
 import math
@@ -6,16 +6,23 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import durable
 from . import search
 
 # The generator's seed and shifts.
 SEED, SHIFTS = 0xDEADBEEFCAFE1234, (13, 7, 17)
 _MASK = (1 << 64) - 1
 
-INDEX = "shard int, node int, ord long, id string, vector array<float>, edges array<array<int>>, entry int"
+#: A shard: its nodes' ords and ids, their unit vectors (32-bit floats, row by row), and their neighbours in compressed rows:
+#: the lists of node i are those from layers[i] up to layers[i + 1], one a layer, and list j is edges[lists[j]] up to edges[lists[j + 1]]
+#: (all 32-bit integers). Integers and floats are little-endian.
+INDEX = "shard int, n int, dim int, entry int, ord array<long>, id array<string>, vectors binary, layers binary, lists binary, edges binary"
+#: Rows that are scored against all before them at once, when a shard is built.
+BLOCK = 1024
 
 
 def xorshift(state: int, shifts: tuple[int, int, int] = SHIFTS) -> int:
@@ -42,21 +49,32 @@ class Graph:
         self.state = xorshift(self.state)
         return int(-math.log(max((self.state >> 11) / float(1 << 53), 1e-15)) * self.scale)
 
+    def size(self) -> int:
+        return len(self.edges)
+
+    def height(self, node: int) -> int:
+        """The number of a node's layers."""
+        return len(self.edges[node])
+
+    def near(self, node: int, layer: int) -> np.ndarray:
+        return np.array(self.edges[node][layer] if layer < len(self.edges[node]) else [], np.int64)
+
     def beam(self, q: np.ndarray, start: int, ef: int, layer: int) -> list[tuple[float, int]]:
         """Up to ef nodes near q, best first; neighbours of a node are scored together."""
         first = float(self.vectors[start] @ q)
-        seen = np.zeros(len(self.edges), bool)
+        seen = np.zeros(self.size(), bool)
         seen[start] = True
         ahead, kept = [(-first, start)], [(first, start)]
         while ahead:
             near, node = heapq.heappop(ahead)
             if len(kept) >= ef and -near < kept[0][0]:
                 break
-            next_ = [x for x in (self.edges[node][layer] if layer < len(self.edges[node]) else []) if not seen[x]]
-            if not next_:
+            next_ = self.near(node, layer)
+            next_ = next_[~seen[next_]]
+            if not len(next_):
                 continue
             seen[next_] = True
-            for s, x in zip((self.vectors[next_] @ q).tolist(), next_, strict=True):
+            for s, x in zip((self.vectors[next_] @ q).tolist(), next_.tolist(), strict=True):
                 if len(kept) < ef:
                     heapq.heappush(kept, (s, x))
                 elif s > kept[0][0]:
@@ -95,9 +113,20 @@ class Graph:
             self.entry = node
 
     def build(self, vectors: np.ndarray) -> "Graph":
+        """The graph of all rows, as if each were inserted in order and found its nearest earlier ones exactly.
+
+        Those come from matrix products of a block of rows with all before it, layer by layer. A node's neighbours are the
+        nearest of those that it chose and those that chose it, as pruning after each insertion leaves them. The time grows with the
+        square of the rows, which shards bound; `insert` adds to a finished graph through a beam of ef_construction.
+        """
         self.vectors = search.unit(vectors, on_zero="keep")
-        for i in range(len(vectors)):
-            self.insert(i)
+        levels = np.array([self._draw() for _ in range(len(vectors))], np.int64)
+        self.edges = [[[] for _ in range(x + 1)] for x in levels.tolist()]
+        self.entry = int(levels.argmax()) if len(levels) else -1
+        for layer in range(int(levels.max(initial=-1)) + 1):
+            own = np.flatnonzero(levels >= layer)
+            for node, near in zip(own.tolist(), linked(self.vectors[own], self.m if layer else self.m0), strict=True):
+                self.edges[node][layer] = own[near].tolist()
         return self
 
     def search(self, q: np.ndarray, k: int, ef: int) -> list[tuple[float, int]]:
@@ -107,28 +136,88 @@ class Graph:
         q = q / np.sqrt((q * q).sum())
         w = self.vectors.shape[1]
         q = np.concatenate([q, np.zeros(max(0, w - len(q)))])[:w]
-        at = self.descend(q, self.entry, len(self.edges[self.entry]) - 1, 0)
+        at = self.descend(q, self.entry, self.height(self.entry) - 1, 0)
         return self.beam(q, at, max(ef, k), 0)[:k]
 
 
+def linked(v: np.ndarray, most: int) -> list[np.ndarray]:
+    """Of each row the `most` nearest among the rows that it chose, its `most` nearest earlier ones, and those that chose it."""
+    n = len(v)
+    one, other, near = [], [], []
+    for lo in range(0, n, BLOCK):
+        hi = min(lo + BLOCK, n)
+        s = v[lo:hi] @ v[:hi].T
+        s[np.arange(hi) >= np.arange(lo, hi)[:, None]] = -np.inf
+        k = min(most, hi)
+        top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        best = np.take_along_axis(s, top, axis=1)
+        row, place = np.nonzero(np.isfinite(best))
+        one.append(row + lo)
+        other.append(top[row, place])
+        near.append(best[row, place])
+    if not n:
+        return []
+    a, b, s = (np.concatenate(x) for x in (one, other, near))
+    a, b, s = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([s, s])
+    by = np.lexsort((b, -s, a))
+    a, b = a[by], b[by]
+    first = np.searchsorted(a, np.arange(n + 1))
+    return [b[x : min(x + most, y)] for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+class Packed(Graph):
+    """A graph over the arrays of a packed shard, for searching only."""
+
+    def __init__(self, dim: int, entry: int, vectors: bytes, layers: bytes, lists: bytes, edges: bytes):
+        super().__init__()
+        self.vectors = np.frombuffer(vectors, "<f4").reshape(-1, dim).astype(np.float64)
+        self.layers, self.lists, self.flat = (np.frombuffer(x, "<i4") for x in (layers, lists, edges))
+        self.entry = entry
+
+    def height(self, node: int) -> int:
+        return int(self.layers[node + 1] - self.layers[node])
+
+    def size(self) -> int:
+        return len(self.layers) - 1
+
+    def near(self, node: int, layer: int) -> np.ndarray:
+        at = self.layers[node] + layer
+        return self.flat[self.lists[at] : self.lists[at + 1]] if layer < self.height(node) else self.flat[:0]
+
+
+def packed(shard: int, ords, ids, g: Graph) -> pd.DataFrame:
+    """A graph as a row of the index."""
+    layers = np.cumsum([0, *(len(e) for e in g.edges)])
+    lists = np.cumsum([0, *(len(x) for e in g.edges for x in e)])
+    edges = np.array([y for e in g.edges for x in e for y in x], np.int64)
+    bits = [x.astype("<i4").tobytes() for x in (layers, lists, edges)]
+    return pd.DataFrame({"shard": [shard], "n": [len(g.edges)], "dim": [g.vectors.shape[1]], "entry": [g.entry], "ord": [list(ords)], "id": [list(ids)], "vectors": [g.vectors.astype("<f4").tobytes()], "layers": bits[:1], "lists": bits[1:2], "edges": bits[2:]})
+
+
+def nodes(row) -> Iterator[tuple[int, str, np.ndarray, list[list[int]]]]:
+    """(ord, id, unit vector, neighbours layer by layer) of each node of a row of the index."""
+    g = Packed(row.dim, row.entry, row.vectors, row.layers, row.lists, row.edges)
+    for i, (o, name) in enumerate(zip(row.ord, row.id, strict=True)):
+        yield o, name, g.vectors[i].astype(np.float32), [g.near(i, layer).tolist() for layer in range(g.height(i))]
+
+
 #: Rows of a shard where the caller names no number of shards.
 SHARD_ROWS = 2048
 
 
 def build(df: DataFrame, shards: int | None = None, m: int = 16, ef_construction: int = 200) -> DataFrame:
-    """The index table: a row for each vector. Rows are dealt by a hash of ord; a shard holds about SHARD_ROWS unless told.
+    """The index table, computed once and kept in the shared folder: a row for each shard. Rows are dealt by a hash of ord; a shard holds about SHARD_ROWS unless told.
 
     One shard has the insertion order and layers of a single graph over the whole table.
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord", kind="stable").reset_index(drop=True)
-        g = Graph(m, ef_construction).build(_matrix(pdf["vector"]))
-        return pd.DataFrame({"shard": key[0], "node": range(len(pdf)), "ord": pdf["ord"], "id": pdf["id"], "vector": list(g.vectors.astype(np.float32)), "edges": g.edges, "entry": g.entry}).astype({"shard": "int32", "node": "int32", "entry": "int32"})
+        return packed(key[0], pdf["ord"], pdf["id"], Graph(m, ef_construction).build(_matrix(pdf["vector"])))
 
     shards = shards or max(1, -(-df.count() // SHARD_ROWS))
     dealt = df.select(F.pmod(F.xxhash64("ord"), F.lit(shards)).cast("int").alias("shard"), "ord", "id", "vector")
-    return dealt.groupBy("shard").applyInPandas(run, INDEX)
+    return durable(dealt.groupBy("shard").applyInPandas(run, INDEX))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -141,31 +230,31 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def batch_top_k(index: DataFrame, queries: DataFrame, k: int, ef_search: int = 50) -> DataFrame:
-    """Each query's k best over all shards; each shard is searched by itself."""
+    """Each query's k best over all shards. A shard is searched where its row lies: only results are shuffled."""
     spark = index.sparkSession
     found = spark.createDataFrame([], search.RESULT)
     for qids, vectors in search.query_blocks(queries):
         run = _searcher(spark.sparkContext.broadcast((qids, vectors)), k, ef_search)
-        found = found.unionByName(index.groupBy("shard").applyInPandas(run, search.RESULT))
+        found = found.unionByName(index.mapInArrow(run, search.RESULT))
     return search.ranked(found, k)
 
 
 def _searcher(shared, k: int, ef_search: int) -> Callable:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node").reset_index(drop=True)
-        g = Graph()
-        g.vectors = _matrix(pdf["vector"])
-        g.edges = [[list(layer) for layer in e] for e in pdf["edges"]]
-        g.entry = int(pdf["entry"].iloc[0])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, vectors = shared.value
-        rows = [(q, int(pdf["ord"][i]), pdf["id"][i], s) for q, v in zip(names, vectors, strict=True) for s, i in g.search(v, k, ef_search)]
-        return pd.DataFrame(rows, columns=["qid", "ord", "id", "score"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("dim", "entry", "vectors", "layers", "lists", "edges")}
+                g, ords, ids = Packed(**row), batch.column("ord")[i].values, batch.column("id")[i].values
+                found = [(q, s, x) for q, v in zip(names, vectors, strict=True) for s, x in g.search(v, k, ef_search)]
+                at = pa.array([x for _, _, x in found], pa.int64())
+                yield pa.record_batch({"qid": pa.array([q for q, _, _ in found], pa.string()), "ord": ords.take(at), "id": ids.take(at), "score": pa.array([s for _, s, _ in found], pa.float64())})
 
     return run
 
 
 def save(index: DataFrame, path: str) -> None:
-    index.write.mode("overwrite").partitionBy("shard").parquet(path)
+    index.write.mode("overwrite").parquet(path)
 
 
 def load(spark, path: str) -> DataFrame:
@@ -180,4 +269,4 @@ def append(index: DataFrame, more: DataFrame, shard: int, m: int = 16, ef_constr
 
 def graphs(index: DataFrame) -> Iterator[int]:
     """The sizes of the shards."""
-    return (r.n for r in index.groupBy("shard").agg(F.count("*").alias("n")).toLocalIterator())
+    return (r.n for r in index.select("n").toLocalIterator())

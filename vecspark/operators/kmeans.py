@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import ingest
 from . import search
 
 #: Sums travel as whole numbers of this fraction of the largest possible sum, so that their order cannot change them.
@@ -31,43 +32,55 @@ def assign(parts: np.ndarray, books: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sums(parts: np.ndarray, books: np.ndarray, was: np.ndarray | None, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of some rows: the sum (in whole numbers of 1 / scale) and number of each centroid's, and how many changed their centroid in each subspace."""
+def _sums(parts: np.ndarray, books: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of some rows: the sum (in whole numbers of 1 / scale) and number of each centroid's."""
     m, k, w = books.shape
     now = assign(parts, books)
-    was = np.zeros_like(now) if was is None else was
     n = np.stack([np.bincount(now[s], minlength=k) for s in range(m)])
     whole = np.rint(parts * scale).astype(np.int64)
     high, low = whole >> 26, whole & (1 << 26) - 1  # either half adds up exactly in floating point
     add = lambda x: np.stack([np.stack([np.bincount(now[s], weights=x[s, :, d], minlength=k) for d in range(w)], axis=1) for s in range(m)]).astype(np.int64)
-    return (add(high) << 26) + add(low), n, (now != was).sum(axis=1)
+    return (add(high) << 26) + add(low), n
 
 
-def _partial(prepare: Callable, books: np.ndarray, before: np.ndarray | None, scale: float) -> Callable:
+_PARTIAL = "s int, total binary, n binary"
+
+
+def _packed(s: list[int], total: list[np.ndarray], n: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.record_batch({"s": pa.array(s, pa.int32()), "total": pa.array([x.tobytes() for x in total], pa.binary()), "n": pa.array([x.tobytes() for x in n], pa.binary())})
+
+
+def _partial(prepare: Callable, books: np.ndarray, scale: float) -> Callable:
+    """A row for each subspace: all centroids' sums and numbers over a task's rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, k, w = books.shape
-        total, n, moved = np.zeros((m, k, w), np.int64), np.zeros((m, k), np.int64), np.zeros(m, np.int64)
+        total, n = np.zeros((m, k, w), np.int64), np.zeros((m, k), np.int64)
         for batch in batches:
             if batch.num_rows:
-                parts = split(prepare(batch), m)
-                t, c, x = _sums(parts, books, assign(parts, before) if before is not None else None, scale)
-                total, n, moved = total + t, n + c, moved + x
-        s, c, d = (x.ravel() for x in np.indices((m, k, w)))
-        yield pa.record_batch({"s": pa.array(s, pa.int32()), "c": pa.array(c, pa.int32()), "d": pa.array(d, pa.int32()), "total": pa.array(total.ravel()), "n": pa.array(np.repeat(n.ravel(), w)), "moved": pa.array(np.repeat(moved, k * w))})
+                t, c = _sums(split(prepare(batch), m), books, scale)
+                total, n = total + t, n + c
+        yield _packed(list(range(m)), list(total), list(n))
 
     return run
 
 
-def _gathered(rows: DataFrame, prepare: Callable, books: np.ndarray, before: np.ndarray | None, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One subspace's sums over all tasks."""
+    total = n = None
+    for batch in batches:
+        for t, c in zip(batch.column("total").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            t, c = np.frombuffer(t, np.int64), np.frombuffer(c, np.int64)
+            total, n = (t, c) if total is None else (total + t, n + c)
+    yield _packed([key[0].as_py()], [total], [n])
+
+
+def _gathered(rows: DataFrame, prepare: Callable, books: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
     m, k, w = books.shape
-    sums = rows.mapInArrow(_partial(prepare, books, before, scale), "s int, c int, d int, total long, n long, moved long")
-    got = sums.groupBy("s", "c", "d").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.sum("moved").alias("moved")).toArrow()
-    total, n, moved = np.zeros((m, k, w)), np.zeros((m, k)), np.zeros(m)
-    s, c, d = (got[x].to_numpy() for x in "scd")
-    total[s, c, d] = got["total"].to_numpy() / scale
-    n[s, c] = got["n"].to_numpy()
-    moved[s] = got["moved"].to_numpy()
-    return total, n, moved
+    total, n = np.zeros((m, k, w), np.int64), np.zeros((m, k), np.int64)
+    for r in rows.mapInArrow(_partial(prepare, books, scale), _PARTIAL).groupBy("s").applyInArrow(_added, _PARTIAL).collect():
+        total[r.s], n[r.s] = np.frombuffer(r.total, np.int64).reshape(k, w), np.frombuffer(r.n, np.int64)
+    return total, n
 
 
 def lloyd(rows: DataFrame, prepare: Callable, first: np.ndarray, iterations: int, spherical: bool, spare: np.ndarray | None = None) -> np.ndarray:
@@ -75,20 +88,33 @@ def lloyd(rows: DataFrame, prepare: Callable, first: np.ndarray, iterations: int
 
     prepare turns a batch of rows into a matrix. spherical: centroids are normalised means (raw where the norm is tiny), all
     rows start in cluster 0 and a first step that moves none ends the run at the initial centroids; a dead centroid becomes
-    its row of spare. Otherwise the first step always updates and a dead centroid stays. Each step is one pass with sums
-    for each centroid from each task, whatever the table's size; a row for each centroid element reaches the driver.
+    its row of spare. Otherwise the first step always updates and a dead centroid stays. A subspace ends when a step changes no
+    centroid's sum and number. Each step is one pass over the rows, which are kept for the time of the run, with sums for each
+    centroid from each task, whatever the table's size; a row for each subspace reaches the driver.
     """
-    books = first.copy()
-    before = None
+    rows = rows.persist()
+    try:
+        return _lloyd(rows, prepare, first.copy(), iterations, spherical, spare)
+    finally:
+        rows.unpersist()
+
+
+def _lloyd(rows: DataFrame, prepare: Callable, books: np.ndarray, iterations: int, spherical: bool, spare: np.ndarray | None) -> np.ndarray:
     m = len(books)
-    scale = FIXED / max(rows.count() * float(_largest(rows, prepare)), 1e-300)
+    count, largest = _measured(rows, prepare)
+    scale = FIXED / max(count * largest, 1e-300)
     active = np.ones(m, bool)
+    sums = counts = None
     for step in range(iterations):
-        total, n, moved = _gathered(rows, prepare, books, before, scale)
-        active &= (moved > 0) if spherical or step else True
+        whole, n = _gathered(rows, prepare, books, scale)
+        if sums is not None:
+            active &= (whole != sums).any(axis=(1, 2)) | (n != counts).any(axis=1)
+        elif spherical:
+            active &= n[:, 1:].sum(axis=1) > 0
         if not active.any():
             break
-        before = books.copy()
+        sums, counts = whole, n
+        total = whole / scale
         mean = total / np.maximum(n, 1)[:, :, None]
         if spherical:
             norm = np.sqrt((mean * mean).sum(axis=2, keepdims=True))
@@ -99,15 +125,18 @@ def lloyd(rows: DataFrame, prepare: Callable, first: np.ndarray, iterations: int
     return books
 
 
-def _largest(rows: DataFrame, prepare: Callable) -> float:
+def _measured(rows: DataFrame, prepare: Callable) -> tuple[int, float]:
+    """The number of rows and their largest absolute element."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = 0.0
+        n, top = 0, 0.0
         for batch in batches:
             if batch.num_rows:
-                top = max(top, float(np.abs(prepare(batch)).max(initial=0.0)))
-        yield pa.record_batch({"x": pa.array([top])})
+                n, top = n + batch.num_rows, max(top, float(np.abs(prepare(batch)).max(initial=0.0)))
+        yield pa.record_batch({"n": pa.array([n], pa.int64()), "x": pa.array([top])})
 
-    return rows.mapInArrow(run, "x double").agg(F.max("x").alias("x")).first().x or 1.0
+    row = rows.mapInArrow(run, "n long, x double").agg(F.sum("n").alias("n"), F.max("x").alias("x")).first()
+    return row.n or 0, row.x or 1.0
 
 
 def prepared(column: str = "vector", dim: int | None = None, unit: bool = False) -> Callable:
@@ -131,6 +160,6 @@ def rows_at(df: DataFrame, places: list[int], column: str = "vector") -> list[np
     if span.lo == 0 and span.hi == span.n - 1:
         rows = {r.ord: r.v for r in df.where(F.col("ord").isin(wanted)).select("ord", F.col(column).alias("v")).collect()}
     else:
-        numbered = df.select("ord", F.col(column).alias("v")).orderBy("ord").rdd.zipWithIndex().filter(lambda x, w=frozenset(wanted): x[1] in w)
-        rows = {i: r.v for r, i in numbered.collect()}
+        numbered = ingest.numbered(df.select("ord", F.col(column).alias("v")).orderBy("ord"), "place", kept=True)
+        rows = {r.place: r.v for r in numbered.where(F.col("place").isin(wanted)).collect()}
     return [np.array(rows[p], np.float64) for p in places]

@@ -80,6 +80,11 @@ class ProductQuantizer:
         return search.over_blocks(codes.select("ord", "id", "code"), queries, k, scorer)
 
 
+def rerank_top_k(model: ProductQuantizer, codes: DataFrame, df: DataFrame, queries: DataFrame, k: int, more: int = 20) -> DataFrame:
+    """Top-k by exact cosine of the `more` * k rows that table lookup puts first."""
+    return search.rerank(model.batch_top_k(codes, queries, k * more), df, queries, k)
+
+
 def code_matrix(column: pa.Array, m: int) -> np.ndarray:
     rows = column.to_pylist()
     if any(len(x) != m for x in rows):

@@ -472,6 +472,25 @@ def recall_hnsw_reached(spark, sf):
     return _held(recall_hnsw(spark, sf), 0.95)
 
 
+@query(_reached(0.95))
+def recall_hnsw_shards_reached(spark, sf):
+    """Over several shards, each searched by itself."""
+    df = corpus(spark, sf)
+    return _held(_recall_rows(spark, sf, hnsw.batch_top_k(hnsw.build(df, 4), asked(df), 10), df), 0.95)
+
+
+@query()
+def recall_pq_reranked(spark, sf):
+    """Table lookup, then exact cosine of its 200 best rows."""
+    df, model, codes = _pq(spark, sf, 25, 256)
+    return _recall_rows(spark, sf, pq.rerank_top_k(model, codes, df, asked(df), 10), df)
+
+
+@query(_reached(0.9))
+def recall_pq_reranked_reached(spark, sf):
+    return _held(recall_pq_reranked(spark, sf), 0.9)
+
+
 @query()
 def recall_ivf(spark, sf):
     df = corpus(spark, sf)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import durable
+
 #: What counts as a number: no type suffixes, no white space inside.
 NUMBER = r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])$"
 
@@ -26,9 +28,26 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_ord(df: DataFrame) -> DataFrame:
-    """df with ord 0, 1, 2 and so on in the order of its rows; partition sizes are counted in one pass."""
-    schema = df.schema.add("ord", "long")
-    return df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
+    """df, as read from files, with ord 0, 1, 2 and so on in the order of its rows."""
+    return numbered(df, "ord")
+
+
+def numbered(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
+    """df with its rows' places in their order: a place in a partition and the rows of the partitions before, counted in one pass.
+
+    The count for each partition reaches the driver. Both passes must see the same partitions: scans of files do; kept
+    writes rows of any other origin to the shared folder first.
+    """
+    part, place, before = (f"{name}_{x}" for x in ("part", "place", "before"))
+    rows = df.withColumn(part, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = durable(rows) if kept else rows
+    counts = sorted((r[part], r.n) for r in rows.groupBy(part).agg(F.count("*").alias("n")).collect())
+    starts, total = [], 0
+    for p, n in counts:
+        starts.append((p, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(starts, f"{part} int, {before} long")
+    return rows.join(F.broadcast(offsets), part).withColumn(name, F.col(before) + F.col(place)).drop(part, place, before)
 
 
 def parse_lines(rows: DataFrame, keep_empty: bool = False) -> DataFrame:

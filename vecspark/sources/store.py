@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
@@ -17,12 +17,25 @@ def located(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), path
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that the cluster names in spark.checkpoint.dir; where it is unset and all runs on one machine (tests), in one of our own."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset and all runs on one machine (tests), one of our own."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
         if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="vecspark-")
-    return f"{at.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(at)
+    return at
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder, so that a lost executor loses nothing."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
