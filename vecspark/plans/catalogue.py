@@ -102,21 +102,29 @@ def topk_single_exact(spark, sf):
     return search.top_k(df, q, 10).select(F.col("ord").alias("id"), F.round("score", 6).alias("score"))
 
 
-NAIVE_ROWS = [(0, "a", [1.0, 0.0]), (1, "zero", [0.0, 0.0]), (2, "long", [1.0, 2.0, 3.0]), (3, "b", [0.6, 0.8]), (4, "a2", [2.0, 0.0])]
+def odd_vectors(df: DataFrame) -> DataFrame:
+    """Of five vectors one is zero and one is cut to its first half."""
+    zero = F.transform("vector", lambda x: F.lit(0.0).cast("float"))
+    half = F.slice("vector", F.lit(1), (F.size("vector") / 2).cast("int"))
+    return df.withColumn("vector", F.when(F.col("ord") % 5 == 0, zero).when(F.col("ord") % 5 == 1, half).otherwise(F.col("vector")))
 
 
-@query("SELECT * FROM (VALUES (1, 'a', 1.0::DOUBLE), (2, 'a2', 1.0), (3, 'b', 0.6), (4, 'zero', -1.0), (5, 'long', -1.0)) t(rn, id, score)")
+@query(_with(BASE, "g AS (SELECT * FROM e WHERE vec_id % 5 > 1)", "b AS (SELECT q.vec_id AS qid, max(list_cosine_similarity(g.v, q.v)) AS best FROM g, e q WHERE q.vec_id % 50 = 0 GROUP BY ALL)") + "SELECT qid, round(best, 6) AS best, (SELECT count(*) FROM e) AS n, (SELECT count(*) FROM e WHERE vec_id % 5 < 2) AS least FROM b")
 def topk_naive_edges(spark, sf):
-    df = _values(spark, NAIVE_ROWS, "ord long, id string, vector array<float>")
-    got = search.batch_top_k(df, _values(spark, [("q", [1.0, 0.0])], "qid string, vector array<float>"), 10, naive=True)
-    return got.select("rn", "id", F.round("score", 6).alias("score"))
+    """Every row has a score, -1 where the norm is 0 or the length another."""
+    df = corpus(spark, sf)
+    got = search.batch_top_k(odd_vectors(df), asked(df), df.count(), naive=True)
+    return got.groupBy(F.col("qid").cast("long").alias("qid")).agg(F.round(F.max("score"), 6).alias("best"), F.count("*").alias("n"), F.count_if(F.col("score") == -1).alias("least"))
 
 
-@query("SELECT * FROM (VALUES ('ok', 4::BIGINT)) t(qid, n)")
+@query("SELECT vec_id AS qid, least(10, (SELECT count(*) FROM embeddings)) AS n FROM embeddings WHERE vec_id % 50 = 0")
 def topk_index_edges(spark, sf):
-    df = _values(spark, [r for r in NAIVE_ROWS if len(r[2]) == 2], "ord long, id string, vector array<float>")
-    q = _values(spark, [("ok", [0.5, 0.5]), ("zero", [0.0, 0.0]), ("long", [1.0, 2.0, 3.0])], "qid string, vector array<float>")
-    return search.batch_top_k(df, q, 10).groupBy("qid").agg(F.count("*").alias("n"))
+    """Over a normalised index, zero queries and those of another length have no results; the others, of even numbers, do."""
+    df = corpus(spark, sf)
+    zero = asked(odd_vectors(df)).select((F.col("qid").cast("long") + 1).cast("string").alias("qid"), "vector")
+    long = asked(df).select((F.col("qid").cast("long") + 3).cast("string").alias("qid"), F.concat("vector", F.array(F.lit(1.0).cast("float"))).alias("vector"))
+    got = search.batch_top_k(df, asked(df).unionByName(zero).unionByName(long), 10)
+    return got.groupBy(F.col("qid").cast("long").alias("qid")).agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- expressions
@@ -149,18 +157,24 @@ def normalize_exploded(spark, sf):
     return corpus(spark, sf).select(F.col("ord").alias("id"), F.posexplode(X.normalize("vector")).alias("d", "x")).withColumn("x", F.round("x", 6))
 
 
-EDGES = [(0, [1.0, 0.0], [0.0, 0.0]), (1, [1.0, 0.0], [1.0]), (2, [0.0, 0.0], [0.0, 0.0]), (3, [3.0, 4.0], [3.0, 4.0]), (4, [1.0, 0.0], [-2.0, 0.0])]
+def odd_pairs(df: DataFrame) -> DataFrame:
+    """Pairs by id % 5: one vector zero, of another length, both zero, equal, opposite."""
+    zero = lambda c: F.transform(c, lambda x: F.lit(0.0).cast("float"))
+    case, p = F.col("ord") % 5, pairs(df)
+    b = F.when(case.isin(0, 2), zero("b")).when(case == 1, F.slice("b", 1, 3)).when(case == 3, F.col("a")).otherwise(F.transform("a", lambda x: (x * -2).cast("float")))
+    return p.select(F.col("ord").alias("id"), F.when(case == 2, zero("a")).otherwise(F.col("a")).alias("a"), b.alias("b"))
 
 
-@query("SELECT * FROM (VALUES (0, -1.0::DOUBLE), (1, -1.0), (2, -1.0), (3, 1.0), (4, -1.0)) t(id, cosine)")
+@query(PAIRS + "SELECT id, CASE WHEN id % 5 = 3 THEN 1.0 ELSE -1.0 END::DOUBLE AS cosine FROM p")
 def cosine_edge_cases(spark, sf):
-    return _values(spark, EDGES, "id int, a array<float>, b array<float>").select("id", F.round(X.cosine("a", "b"), 6).alias("cosine"))
+    return odd_pairs(corpus(spark, sf)).select("id", F.round(X.cosine("a", "b"), 6).alias("cosine"))
 
 
-@query("SELECT * FROM (VALUES (0, 0.0::DOUBLE), (2, 0.0), (3, 1.0), (4, -1.0)) t(id, cosine)")
+@query(PAIRS + "SELECT id, CASE id % 5 WHEN 3 THEN 1.0 WHEN 4 THEN -1.0 ELSE 0.0 END::DOUBLE AS cosine FROM p WHERE id % 5 <> 1")
 def cosine_wasm_variant(spark, sf):
-    rows = [r for r in EDGES if len(r[1]) == len(r[2])]
-    return _values(spark, rows, "id int, a array<float>, b array<float>").select("id", F.round(X.cosine("a", "b", on_zero="zero", on_mismatch="error", clamp=True), 6).alias("cosine"))
+    """Vectors of different lengths are an error there."""
+    same = odd_pairs(corpus(spark, sf)).where(F.size("a") == F.size("b"))
+    return same.select("id", F.round(X.cosine("a", "b", on_zero="zero", on_mismatch="error", clamp=True), 6).alias("cosine"))
 
 
 @query(PAIRS + "SELECT id, round(list_cosine_similarity(a, b), 6) AS cosine, round(list_inner_product(a, b), 6) AS dot FROM p")
@@ -404,9 +418,11 @@ def kurtosis_route(spark, sf):
     return k.select(F.round("kurtosis", 6).alias("kurtosis"), F.when(F.col("kurtosis") > 4, "pq").otherwise("nf4").alias("first_choice"))
 
 
-@query("SELECT d, round(4.0 * d / (ceil(d / 2) + 4), 6)::DOUBLE AS nf4, round(4.0 * d / 8, 6)::DOUBLE AS pq, round(4.0 * (ceil(d / 8) * 8) / 16, 6)::DOUBLE AS rq, 4.0::DOUBLE AS scalar FROM (VALUES (64), (127), (128), (512), (768)) t(d)")
+@query("SELECT d::INT AS d, round(4.0 * d / (ceil(d / 2) + 4), 6)::DOUBLE AS nf4, round(4.0 * d / 8, 6)::DOUBLE AS pq, round(4.0 * (ceil(d / 8) * 8) / 16, 6)::DOUBLE AS rq, 4.0::DOUBLE AS scalar FROM (SELECT DISTINCT len(embedding) * (label + 1) + label AS d FROM embeddings)")
 def compression_ratios(spark, sf):
-    rows = [(d, round(nf4.compression_ratio(d), 6), round(pq.ProductQuantizer(np.zeros((8, 1, 1)), d).compression_ratio(), 6), round(rq.ResidualQuantizer([np.zeros((8, 1, 1))] * 2, 8, -(-d // 8) * 8, d).compression_ratio(), 6), scalar.COMPRESSION_RATIO) for d in (64, 127, 128, 512, 768)]
+    """For as many copies of the table's vectors in a row as labels say, filled up to odd lengths."""
+    dims = spark.read.parquet(f"{sf}/embeddings.parquet").select((F.size("embedding") * (F.col("label") + 1) + F.col("label")).cast("int").alias("d")).distinct().collect()
+    rows = [(d, round(nf4.compression_ratio(d), 6), round(pq.ProductQuantizer(np.zeros((8, 1, 1)), d).compression_ratio(), 6), round(rq.ResidualQuantizer([np.zeros((8, 1, 1))] * 2, 8, -(-d // 8) * 8, d).compression_ratio(), 6), scalar.COMPRESSION_RATIO) for d in (r.d for r in dims)]
     return _values(spark, rows, "d int, nf4 double, pq double, rq double, scalar double")
 
 
@@ -522,11 +538,13 @@ def dim_validation(spark, sf):
     return stats(corpus(spark, sf)).select((F.col("min_dim") == F.col("max_dim")).alias("uniform"), F.col("max_dim").alias("dim"))
 
 
-@query("SELECT * FROM (VALUES ('q', 0.6::DOUBLE)) t(qid, recall)")
+@query("SELECT vec_id AS qid, 0.6::DOUBLE AS recall FROM embeddings WHERE vec_id % 50 = 0")
 def recall_fixture(spark, sf):
-    exact = _values(spark, [("q", i, c) for i, c in enumerate("abcde", 1)], "qid string, rn int, id string")
-    approx = _values(spark, [("q", i, c) for i, c in enumerate("acefg", 1)], "qid string, rn int, id string")
-    return quality.recall_at_k(exact, approx, 5)
+    """Five results of which the second and fourth are others."""
+    df = corpus(spark, sf)
+    exact = search.batch_top_k(df, asked(df), 5)
+    approx = exact.withColumn("id", F.when(F.col("rn") % 2 == 0, F.concat(F.lit("other "), "id")).otherwise(F.col("id")))
+    return quality.recall_at_k(exact, approx, 5).select(F.col("qid").cast("long").alias("qid"), "recall")
 
 
 @query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
@@ -564,32 +582,48 @@ def ingest_words(spark, sf):
     return _exploded(ingest.parse_words(_lines(corpus(spark, sf), lambda i, v: F.concat_ws(" ", i, F.array_join(v, " ")))))
 
 
-MALFORMED = ['{"id":"one","vector":[1.0,"x",2]}', "", "invalid json line", "two,3.0,bad,4.0", "three,none", '{"id":7,"vector":[1]}', '{"id":"four","vector":[]}', "  five,5.5  "]
+def _malformed(df: DataFrame) -> DataFrame:
+    """Lines in eight forms by id: numbers that are none, blank, no line at all, without numbers, an id that is no string, an empty vector, blanks around."""
+    x, y = (F.get("vector", F.lit(i)).cast("string") for i in (0, 1))
+    forms = [
+        F.concat(F.lit('{"id":"'), "id", F.lit('","vector":['), x, F.lit(',"x",'), y, F.lit("]}")), F.lit(" "), F.lit("invalid json line"), F.concat_ws(",", "id", x, F.lit("bad"), y), F.concat(F.col("id"), F.lit(",none")),
+        F.concat(F.lit('{"id":'), "id", F.lit(',"vector":['), x, F.lit("]}")), F.concat(F.lit('{"id":"'), "id", F.lit('","vector":[]}')), F.concat(F.lit("  "), "id", F.lit(","), x, F.lit("  ")),
+    ]
+    return df.select("ord", F.get(F.array(*forms), (F.col("ord") % 8).cast("int")).alias("line"))
+
+
+def _totals(parsed: DataFrame, name: str = "id") -> DataFrame:
+    return parsed.select(name, F.size("vector").alias("n"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("total"))
+
+
+_MALFORMED = _with(BASE) + "SELECT vec_id::VARCHAR AS id, CASE WHEN vec_id % 8 IN (0, 3) THEN 2 WHEN vec_id % 8 = 7 THEN 1 ELSE 0 END AS n, round(CASE WHEN vec_id % 8 IN (0, 3) THEN v[1] + v[2] WHEN vec_id % 8 = 7 THEN v[1] ELSE 0 END, 5) + 0.0 AS total FROM e WHERE vec_id % 8 IN "
 
 
-@query("SELECT * FROM (VALUES ('one', 2, 3.0::DOUBLE), ('two', 2, 7.0), ('four', 0, 0.0), ('five', 1, 5.5)) t(id, n, total)")
+@query(_MALFORMED + "(0, 3, 6, 7)")
 def ingest_malformed(spark, sf):
-    rows = _values(spark, list(enumerate(MALFORMED)), "ord long, line string")
-    return ingest.parse_lines(rows).select("id", F.size("vector").alias("n"), F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")).alias("total"))
+    return _totals(ingest.parse_lines(_malformed(corpus(spark, sf)))).withColumn("total", F.col("total") + 0.0)
 
 
-@query("SELECT * FROM (VALUES ('one', 2, 3.0::DOUBLE), ('two', 2, 7.0), ('three', 0, 0.0), ('four', 0, 0.0), ('five', 1, 5.5)) t(id, n, total)")
+@query(_MALFORMED + "(0, 3, 4, 6, 7)")
 def ingest_keep_empty(spark, sf):
-    rows = _values(spark, list(enumerate(MALFORMED)), "ord long, line string")
-    return ingest.parse_lines(rows, keep_empty=True).select("id", F.size("vector").alias("n"), F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")).alias("total"))
+    return _totals(ingest.parse_lines(_malformed(corpus(spark, sf)), keep_empty=True)).withColumn("total", F.col("total") + 0.0)
 
 
-@query("SELECT * FROM (VALUES ('', 0, 0.0::DOUBLE), ('1.0', 1, 1.0), ('1.0, 2.0 , 3.0', 3, 6.0), ('1.0,invalid,3.0', 2, 4.0), ('-1.5,0.0,2.5', 3, 1.0)) t(q, n, total)")
+@query(_with(BASE) + "SELECT vec_id AS id, CASE vec_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE 3 END AS n, round(CASE vec_id % 5 WHEN 0 THEN 0 WHEN 1 THEN v[1] WHEN 2 THEN v[1] + v[2] + v[3] WHEN 3 THEN v[1] + v[3] ELSE v[1] + 1 END, 5) + 0.0 AS total FROM e")
 def parse_query_string(spark, sf):
-    rows = _values(spark, [("",), ("1.0",), ("1.0, 2.0 , 3.0",), ("1.0,invalid,3.0",), ("-1.5,0.0,2.5",)], "q string")
-    v = ingest.parse_query(F.col("q"))
-    return rows.select("q", F.size(v).alias("n"), F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double")).alias("total"))
+    """Queries as typed: none, one number, blanks, something else between, signs."""
+    x, y, z = (F.get("vector", F.lit(i)).cast("string") for i in range(3))
+    text = F.array(F.lit(""), x, F.concat(x, F.lit(", "), y, F.lit(" , "), z), F.concat(x, F.lit(",invalid,"), z), F.concat(F.lit("-1.5,"), x, F.lit(",2.5")))
+    rows = corpus(spark, sf).select(F.col("ord").alias("id"), ingest.parse_query(F.get(text, (F.col("ord") % 5).cast("int"))).alias("vector"))
+    return _totals(rows).withColumn("total", F.col("total") + 0.0)
 
 
-@query("SELECT * FROM (VALUES ('a', 2, 3.0::DOUBLE), ('?', 3, 1.5)) t(qid, n, total)")
+@query(_with(BASE) + "SELECT CASE WHEN vec_id % 3 = 0 THEN vec_id::VARCHAR ELSE '?' END AS qid, CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 3 END AS n, round(CASE WHEN vec_id % 3 = 0 THEN v[1] + v[2] ELSE v[1] END, 5) + 0.0 AS total FROM e WHERE vec_id % 3 <> 1")
 def ingest_queries(spark, sf):
-    rows = _values(spark, [(0, '{"id":"a","vector":[1,2]}'), (1, ""), (2, '{"vector":[1.5,"x",null]}')], "ord long, line string")
-    return ingest.parse_queries(rows).select("qid", F.size("vector").alias("n"), F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")).alias("total"))
+    x, y = (F.get("vector", F.lit(i)).cast("string") for i in (0, 1))
+    forms = F.array(F.concat(F.lit('{"id":"'), "id", F.lit('","vector":['), x, F.lit(","), y, F.lit("]}")), F.lit(""), F.concat(F.lit('{"vector":['), x, F.lit(',"x",null]}')))
+    rows = corpus(spark, sf).select("ord", F.get(forms, (F.col("ord") % 3).cast("int")).alias("line"))
+    return _totals(ingest.parse_queries(rows), "qid").withColumn("total", F.col("total") + 0.0)
 
 
 def _round_trip(spark, rows: DataFrame, kind: str, model=None, dim: int = 0) -> DataFrame:
@@ -639,22 +673,24 @@ def pipeline_json(spark, sf):
     return search_lines(hnsw.build(decoded), asked(df), 10)
 
 
-@query("SELECT i AS ord, printf('emb_%06d', i) AS id, 1.0::DOUBLE AS norm FROM range(200) t(i)")
+@query("SELECT i AS ord, printf('emb_%06d', i) AS id, 1.0::DOUBLE AS norm FROM range((SELECT count(*) FROM embeddings)) t(i)")
 def generator_random(spark, sf):
-    return generators.random_unit(spark, 200, 32).select("ord", "id", F.round(X.l2_norm("vector"), 5).alias("norm"))
+    """As many as the table has."""
+    return generators.random_unit(spark, corpus(spark, sf).count(), 32).select("ord", "id", F.round(X.l2_norm("vector"), 5).alias("norm"))
 
 
-#: Three themes of six categories of 20; products also have one of six names.
+#: Three themes of six categories of as many; products also have one of six names.
 THEMED = (
     "c AS (SELECT * FROM (VALUES "
-    + ", ".join(f"({20 * (6 * t + j)}, '{prefix}{name}', {list(generators.PRODUCTS[name]) if theme == 'products' else '[]::VARCHAR[]'})" for t, (theme, (prefix, names, _)) in enumerate(generators.THEMES.items()) for j, name in enumerate(names))
-    + ") t(lo, name, goods))"
+    + ", ".join(f"({6 * t + j}, '{prefix}{name}', {list(generators.PRODUCTS[name]) if theme == 'products' else '[]::VARCHAR[]'})" for t, (theme, (prefix, names, _)) in enumerate(generators.THEMES.items()) for j, name in enumerate(names))
+    + ") t(k, name, goods))"
 )
 
 
-@query(_with(THEMED) + "SELECT lo + i AS ord, name || CASE WHEN len(goods) > 0 THEN '_' || goods[i % 6 + 1] ELSE '' END || printf('__%04d', i) AS id, 1.0::DOUBLE AS norm FROM c, range(20) t(i)")
+@query(_with(THEMED, "t AS (SELECT count(*) // 18 AS each FROM embeddings)") + "SELECT k * each + i AS ord, name || CASE WHEN len(goods) > 0 THEN '_' || goods[i % 6 + 1] ELSE '' END || printf('__%04d', i) AS id, 1.0::DOUBLE AS norm FROM c, t, range((SELECT each FROM t)) r(i)")
 def generator_themed(spark, sf):
-    return generators.themed(spark, "mixed", 360, 32).select("ord", "id", F.round(X.l2_norm("vector"), 5).alias("norm"))
+    """As many as the table has, in 18 categories of equal size."""
+    return generators.themed(spark, "mixed", corpus(spark, sf).count() // 18 * 18, 32).select("ord", "id", F.round(X.l2_norm("vector"), 5).alias("norm"))
 
 
 _A, _B, _C = (f"{1 << n}::UHUGEINT" for n in hnsw.SHIFTS)
@@ -662,11 +698,12 @@ _WRAP = f"{1 << 64}::UHUGEINT"
 
 
 @query(
-    f"WITH RECURSIVE x(k, s) AS (SELECT -1, {generators.XORSHIFT_SEED}::UHUGEINT UNION ALL SELECT k + 1, xor(s, s * {_C} % {_WRAP}) FROM (SELECT k, xor(s, s // {_B}) AS s FROM (SELECT k, xor(s, s * {_A} % {_WRAP}) AS s FROM x WHERE k < 1599))) "
+    f"WITH RECURSIVE x(k, s) AS (SELECT -1, {generators.XORSHIFT_SEED}::UHUGEINT UNION ALL SELECT k + 1, xor(s, s * {_C} % {_WRAP}) FROM (SELECT k, xor(s, s // {_B}) AS s FROM (SELECT k, xor(s, s * {_A} % {_WRAP}) AS s FROM x WHERE k < (SELECT count(*) // 5 * 16 - 1 FROM embeddings)))) "
     "SELECT (k // 16)::BIGINT AS ord, 'v' || k // 16 AS id, (k % 16)::INT AS d, round(((s // 2048)::DOUBLE / 9007199254740992)::FLOAT::DOUBLE, 6) AS x FROM x WHERE k >= 0"
 )
 def generator_xorshift(spark, sf):
-    rows = generators.xorshift_cube(spark, 100, 16).select("ord", "id", F.posexplode("vector").alias("d", "x"))
+    """A vector for every fifth row of the table."""
+    rows = generators.xorshift_cube(spark, corpus(spark, sf).count() // 5, 16).select("ord", "id", F.posexplode("vector").alias("d", "x"))
     return rows.withColumn("x", F.round(F.col("x").cast("double"), 6))
 
 

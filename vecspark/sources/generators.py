@@ -1,4 +1,4 @@
-"""Synthetic vectors, made on the executors but where a sequence of draws is the definition."""
+"""Synthetic vectors, made on the executors."""
 
 from __future__ import annotations
 
@@ -16,16 +16,52 @@ from ..schema import EMBEDDING
 XORSHIFT_SEED = 0xDEADBEEFCAFEBABE
 
 
+#: A linear map of 64 bits: what each bit alone becomes.
+Bits = list[int]
+
+
+def _mapped(m: Bits, x: int) -> int:
+    out = 0
+    while x:
+        low = x & -x
+        out ^= m[low.bit_length() - 1]
+        x ^= low
+    return out
+
+
+def jump(state: int, draws: int) -> int:
+    """The state after so many draws: a draw is linear in the state's bits, so powers of its map are squared ones."""
+    m: Bits = [xorshift(1 << i) for i in range(64)]
+    while draws:
+        if draws & 1:
+            state = _mapped(m, state)
+        draws >>= 1
+        if draws:
+            m = [_mapped(m, x) for x in m]
+    return state
+
+
+def _draws(dim: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, next_ = seed, 0
+        for batch in batches:
+            ords = batch.column("id").to_pylist()
+            out = []
+            for i in ords:
+                state = state if i == next_ else jump(seed, i * dim)
+                next_, v = i + 1, []
+                for _ in range(dim):
+                    state = xorshift(state)
+                    v.append((state >> 11) / float(1 << 53))
+                out.append(v)
+            yield pa.record_batch({"ord": pa.array(ords, pa.int64()), "id": pa.array([f"v{i}" for i in ords], pa.string()), "vector": pa.array(out, pa.list_(pa.float32()))})
+
+    return run
+
+
 def xorshift_cube(spark: SparkSession, n: int, dim: int, seed: int = XORSHIFT_SEED) -> DataFrame:
-    """n vectors of [0, 1) from one sequence of draws, row by row; ids v0, v1 and so on."""
-    state, rows = seed, []
-    for i in range(n):
-        v = []
-        for _ in range(dim):
-            state = xorshift(state)
-            v.append((state >> 11) / float(1 << 53))
-        rows.append((i, f"v{i}", v))
-    return spark.createDataFrame(rows, EMBEDDING)
+    """n vectors of [0, 1) from one sequence of draws, row by row; ids v0, v1 and so on. Each task starts at its own place in the sequence."""
+    return spark.range(n).mapInArrow(_draws(dim, seed), EMBEDDING)
 
 
 def _normal(dim: int, seed: int, prefix: str):
