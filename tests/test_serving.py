@@ -85,6 +85,11 @@ def test_api(spark, tmp_path):
         assert a.tolist() == [0, 1] and b.tolist() == []
     assert index.compression_ratio() == 4.0 and index.memory_usage_bytes() == 4 + 16
     assert api.generate_quality_report(index)["quality_grade"] == "A+"
+    plain = np.array([[1.0, 0.0], [0.0, 1.0], [3.0, 4.0]], np.float32)
+    found = api.analyze_compression_quality(plain, index, 2)
+    assert found["samples_analyzed"] == 2 and found["average_similarity"] > 0.99 and found["compression_ratio"] == 4.0 and set(found) == {"average_similarity", "max_similarity", "min_similarity", "compression_ratio", "memory_savings_percent", "samples_analyzed"}
+    assert api.generate_quality_report(plain, index)["original_size_estimate_mb"] == 24 / 1048576
+    assert api.create_quantized_index(plain, config=api.IndexConfig(quantization_bits=16)).dim == 2
     api.save_index(index, str(tmp_path / "i"))
     assert api.load_index(str(tmp_path / "i"), spark=spark).dim == 2
     with pytest.raises(ValueError):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -153,11 +154,21 @@ def load_embeddings_from_array(vectors, ids=None, spark: SparkSession | None = N
     return from_arrays(spark or _spark(), vectors, ids)
 
 
-def create_index(vectors, ids=None) -> SearchIndex:
+@dataclass
+class IndexConfig:
+    """Settings that the constructors accept. They choose nothing here: Spark's own configuration sets parallelism and memory."""
+
+    compression_method: str = "quantized"
+    quantization_bits: int = 8
+    search_threads: int | None = None
+    memory_map: bool = True
+
+
+def create_index(vectors, ids=None, config: IndexConfig | None = None) -> SearchIndex:
     return SearchIndex(load_embeddings_from_array(vectors, ids))
 
 
-def create_quantized_index(vectors, ids=None) -> QuantizedIndex:
+def create_quantized_index(vectors, ids=None, config: IndexConfig | None = None) -> QuantizedIndex:
     return QuantizedIndex(load_embeddings_from_array(vectors, ids))
 
 
@@ -174,8 +185,22 @@ def batch_search(index: _Index, queries, k: int = 10) -> list[tuple[np.ndarray,
     return index.batch_search(queries, k)
 
 
-def generate_quality_report(index: QuantizedIndex, num_samples: int = 1000) -> dict:
-    return quality.quality_report(index.df, index.codes, index.ranges, num_samples).first().asDict()
+#: What `analyze_compression_quality` returns; the report has more.
+_ANALYSIS = ("average_similarity", "max_similarity", "min_similarity", "compression_ratio", "memory_savings_percent", "samples_analyzed")
+
+
+def analyze_compression_quality(vectors, index: QuantizedIndex, num_samples: int = 100) -> dict:
+    """How similar the index's best match is to each of the first num_samples original vectors, and what the index saves."""
+    report = generate_quality_report(vectors, index, num_samples)
+    return {k: report[k] for k in _ANALYSIS}
+
+
+def generate_quality_report(vectors, index: QuantizedIndex | None = None, num_samples: int = 1000) -> dict:
+    """That analysis with a grade, advice and sizes in MB. vectors: an array or a table; an index alone is judged by its own vectors."""
+    if isinstance(vectors, QuantizedIndex):
+        vectors, index = vectors.df, vectors
+    df = vectors if isinstance(vectors, DataFrame) else load_embeddings_from_array(vectors, spark=index.df.sparkSession)
+    return quality.quality_report(df, index.codes, index.ranges, num_samples).first().asDict()
 
 
 def benchmark_search_performance(index: _Index, queries, k: int = 10, runs: int = 3) -> dict:
