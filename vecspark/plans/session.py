@@ -69,7 +69,7 @@ class VectorSession:
             raise BadRequest("no data is loaded")
         began = time.time()
         self.index = hnsw.build(self.data, shards, m, ef_construction).persist()
-        return {"nodes": self.index.count(), "build_time_ms": 1000 * (time.time() - began)}
+        return {"nodes": sum(hnsw.graphs(self.index)), "build_time_ms": 1000 * (time.time() - began)}
 
     def index_search(self, query: list[float], k: int = 10, ef: int = 50) -> dict:
         if self.index is None:
