@@ -657,7 +657,9 @@ def linked(docs: DataFrame, percent: int = PERCENT, branch: int = BRANCH) -> Dat
     ids = classes.select("s", "rep").join(labels.withColumnRenamed("node", "s"), "s", "left").withColumn("label", F.coalesce("label", "s"))
     ids = ids.join(ids.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("s", "label", "component_id")
     rows = signed.select("doc_id", "same", F.col("n").cast("long").alias("n_shingles"), F.when(able, name).alias("s"))
-    return rows.join(ids, "s", "left").select("doc_id", "same", "n_shingles", "label", "component_id")
+    found = rows.where("s is not null").join(ids, "s").select("doc_id", "same", "n_shingles", "label", "component_id")
+    alone = rows.where("s is null")  # they would all meet in one task of the join
+    return found.unionByName(alone.select("doc_id", "same", "n_shingles", *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("label", "component_id"))))
 
 
 def _name(twins: np.ndarray) -> Column:
