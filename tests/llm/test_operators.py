@@ -6,7 +6,6 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from vecspark.llm import chat, decontamination, fingerprints, jaccard_join, language_id, line_dedup, mixing, pii, queries, sharding, token_output
