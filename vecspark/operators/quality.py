@@ -67,8 +67,8 @@ class Choice:
     params: dict
 
 
-def auto_select(df: DataFrame, target_cosine: float = 0.95, target_ratio: float = 8.0, max_sample: int | None = 1000) -> Choice:
-    """The first codec that meets both targets on the first max_sample rows by ord (all if None), heavy-tailed data trying product quantisation first.
+def auto_select(df: DataFrame, target_cosine: float = 0.95, target_ratio: float = 8.0, max_sample: int | None = None) -> Choice:
+    """The first codec that meets both targets on all rows (or, where told so, the first max_sample by ord), heavy-tailed data trying product quantisation first.
 
     Else the most similar of those that meet the ratio, else scalar. The scalar codec is judged as it is written, by
     ranges of each dimension. An empty table is `stream`.

@@ -428,7 +428,7 @@ def compression_ratios(spark, sf):
 
 @query()
 def auto_select(spark, sf):
-    c = quality.auto_select(corpus(spark, sf), max_sample=None)
+    c = quality.auto_select(corpus(spark, sf))
     return _values(spark, [(c.format, float(c.cosine), float(c.ratio), json.dumps(c.params))], "format string, cosine double, ratio double, params string")
 
 
@@ -673,6 +673,15 @@ def pipeline_json(spark, sf):
     return search_lines(hnsw.build(decoded), asked(df), 10)
 
 
+@query(_reached(0.9))
+def pipeline_json_reached(spark, sf):
+    """The chain's JSON lines, from the packed codec through the graph, against exact search of the plain vectors."""
+    df = corpus(spark, sf)
+    lines = pipeline_json(spark, sf).select(F.from_json("line", "query_id string, results array<struct<id:string,score:double>>").alias("line"))
+    found = lines.select(F.col("line.query_id").alias("qid"), F.posexplode("line.results").alias("at", "result"))
+    return _held(_recall_rows(spark, sf, found.select("qid", (F.col("at") + 1).alias("rn"), "result.id"), df), 0.9)
+
+
 @query("SELECT i AS ord, printf('emb_%06d', i) AS id, 1.0::DOUBLE AS norm FROM range((SELECT count(*) FROM embeddings)) t(i)")
 def generator_random(spark, sf):
     """As many as the table has."""

@@ -35,7 +35,7 @@ class Compressed:
 
 
 def compress(df: DataFrame, format: str = "stream", m: int = 8, k: int = 256, passes: int = 2, pq_iterations: int = 25, rq_iterations: int = 15) -> Compressed:
-    """df in a format; an unknown one is `stream`, `auto` is chosen on a sample and trained on all rows with the parameters that were judged."""
+    """df in a format; an unknown one is `stream`, `auto` is chosen on all rows and trained with the parameters that were judged."""
     if format == "auto":
         choice = quality.auto_select(df)
         p = choice.params
