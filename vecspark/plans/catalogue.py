@@ -428,7 +428,7 @@ def compression_ratios(spark, sf):
 
 @query()
 def auto_select(spark, sf):
-    c = quality.auto_select(corpus(spark, sf))
+    c = quality.auto_select(corpus(spark, sf), max_sample=None)
     return _values(spark, [(c.format, float(c.cosine), float(c.ratio), json.dumps(c.params))], "format string, cosine double, ratio double, params string")
 
 
@@ -439,8 +439,8 @@ def _recall(approx: str) -> str:
     return f", {EXACT}, approx AS ({approx}) SELECT qid, round(count(a.id) / 10.0, 6)::DOUBLE AS recall FROM exact LEFT JOIN approx a USING (qid, id) GROUP BY qid"
 
 
-def _recall_rows(spark, sf, approx: DataFrame, df: DataFrame) -> DataFrame:
-    exact = search.batch_top_k(df, asked(df), 10)
+def _recall_rows(spark, sf, approx: DataFrame, df: DataFrame, against: DataFrame | None = None) -> DataFrame:
+    exact = search.batch_top_k(df if against is None else against, asked(df), 10)
     return quality.recall_at_k(exact, approx, 10).select(F.col("qid").cast("long").alias("qid"), F.round("recall", 6).alias("recall"))
 
 
@@ -673,13 +673,14 @@ def pipeline_json(spark, sf):
     return search_lines(hnsw.build(decoded), asked(df), 10)
 
 
-@query(_reached(0.9))
+@query(_reached(0.95))
 def pipeline_json_reached(spark, sf):
-    """The chain's JSON lines, from the packed codec through the graph, against exact search of the plain vectors."""
+    """The chain's JSON lines against exact search of the same decoded vectors; what the codec itself loses is in recall_nf4."""
     df = corpus(spark, sf)
+    decoded = nf4.decode(nf4.unpack(nf4.encode_packed(df)))
     lines = pipeline_json(spark, sf).select(F.from_json("line", "query_id string, results array<struct<id:string,score:double>>").alias("line"))
     found = lines.select(F.col("line.query_id").alias("qid"), F.posexplode("line.results").alias("at", "result"))
-    return _held(_recall_rows(spark, sf, found.select("qid", (F.col("at") + 1).alias("rn"), "result.id"), df), 0.9)
+    return _held(_recall_rows(spark, sf, found.select("qid", (F.col("at") + 1).alias("rn"), "result.id"), df, decoded), 0.95)
 
 
 @query("SELECT i AS ord, printf('emb_%06d', i) AS id, 1.0::DOUBLE AS norm FROM range((SELECT count(*) FROM embeddings)) t(i)")

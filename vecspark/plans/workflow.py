@@ -37,7 +37,7 @@ class Compressed:
 def compress(df: DataFrame, format: str = "stream", m: int = 8, k: int = 256, passes: int = 2, pq_iterations: int = 25, rq_iterations: int = 15) -> Compressed:
     """df in a format; an unknown one is `stream`, `auto` is chosen on all rows and trained with the parameters that were judged."""
     if format == "auto":
-        choice = quality.auto_select(df)
+        choice = quality.auto_select(df, max_sample=None)
         p = choice.params
         return compress(df, choice.format, p.get("m", m), p.get("k", k), p.get("passes", passes), p.get("iterations", pq_iterations), p.get("iterations", rq_iterations))
     dim = dimension(df)
