@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecspark.operators import hnsw, ivf, nf4, pq, quality, rq, scalar, search
+from vecspark.operators import grid, hnsw, ivf, nf4, pq, quality, rq, scalar, search
 from vecspark.schema import EMBEDDING, dimension, from_arrays, stats, toy_dataset, validate_dims
 
 
@@ -66,13 +66,57 @@ def test_edges(spark):
     assert [r.id for r in search.top_k(df, [1.0, 0.0], 1).collect()] == ["x"]
 
 
-def test_query_blocks_change_nothing(spark, monkeypatch):
-    df = from_arrays(spark, units(60, 8))
-    q = ask(spark, *units(9, 8, 1).tolist())
+@pytest.mark.parametrize("block, column", [(2, 1), (2, 2), (4, 8), (100, 1)])
+def test_blocks_and_columns_change_nothing(spark, block, column):
+    df = from_arrays(spark, units(60, 8)).repartition(5)
+    q = ask(spark, *units(9, 8, 1).tolist(), [0.0] * 8, [1.0]).repartition(3)
     whole = got(search.batch_top_k(df, q, 3))
-    monkeypatch.setattr(search, "QUERY_BLOCK", 2)
-    monkeypatch.setattr(search.query_blocks, "__defaults__", (2,))
-    assert got(search.batch_top_k(df, q, 3)) == whole
+    assert len(whole) == 9 and got(search.batch_top_k(df, q, 3, block=block, column=column)) == whole
+
+
+def test_a_column_scans_the_corpus_once(spark):
+    """Blocks have at most their size, hold every query once, and a column's plan reads the corpus in one scan without a shuffle of it."""
+    q = ask(spark, *units(50, 4).tolist()).repartition(7)
+    columns = grid.deal(q, 4, 5)
+    blocks = [grid.block_of(f) for files in columns for f in files]
+    assert all(len(files) <= 5 for files in columns) and all(len(names) <= 4 for names, _ in blocks)
+    assert sorted(n for names, _ in blocks for n in names) == sorted(f"q{i}" for i in range(50))
+    df = from_arrays(spark, units(60, 4))
+    plan = search.batch_top_k(df, q, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Union" not in plan
+
+
+def test_heaps_against_a_full_sort():
+    """Batches in any order, ties, rows without a score and fewer rows than k."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    for k in (1, 3, 50):
+        scores = rng.integers(0, 6, (40, 5)) / 4
+        scores[rng.random((40, 5)) < 0.2] = np.nan
+        ords = rng.permutation(40)
+        heaps = grid.Heaps([f"q{i}" for i in range(5)], k)
+        for lo in range(0, 40, 7):
+            heaps.add(ords[lo : lo + 7], pa.array([f"r{o}" for o in ords[lo : lo + 7]]), scores[lo : lo + 7])
+        want = [(f"q{j}", o, s) for j in range(5) for s, o in sorted(((s, o) for s, o in zip(scores[:, j], ords) if not np.isnan(s)), key=lambda x: (-x[0], x[1]))[:k]]
+        rows = heaps.rows(0).to_pylist()
+        assert [(r["qid"], r["ord"], r["score"]) for r in rows] == want and all(r["id"] == f"r{r['ord']}" for r in rows)
+
+
+def test_repeated_null_and_no_queries(spark):
+    df = from_arrays(spark, units(30, 4)).repartition(3)
+    v = [float(x) for x in units(1, 4, 3)[0]]
+    q = spark.createDataFrame([("a", v), ("a", v), ("b", None), (None, v)], "qid string, vector array<float>")
+    rows = search.batch_top_k(df, q, 2).collect()
+    assert {r.qid for r in rows} == {"a", None} and search.batch_top_k(df, q.limit(0), 2).count() == 0
+    assert got(search.batch_top_k(df.limit(0), q, 2, dim=4)) == {}
+
+
+def test_the_relational_form_refuses_many_queries(spark, monkeypatch):
+    df = from_arrays(spark, units(10, 4))
+    monkeypatch.setattr(search, "RELATIONAL", 9)
+    with pytest.raises(ValueError, match="more than 9"):
+        search.batch_top_k_sql(df, df.select(F.col("id").alias("qid"), "vector"), 2)
 
 
 def test_scalar_codec(spark):

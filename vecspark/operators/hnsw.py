@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import durable
-from . import search
+from . import grid, search
 
 # The generator's seed and shifts.
 SEED, SHIFTS = 0xDEADBEEFCAFE1234, (13, 7, 17)
@@ -231,24 +232,21 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 def batch_top_k(index: DataFrame, queries: DataFrame, k: int, ef_search: int = 50) -> DataFrame:
     """Each query's k best over all shards. A shard is searched where its row lies: only results are shuffled."""
-    spark = index.sparkSession
-    found = spark.createDataFrame([], search.RESULT)
-    for qids, vectors in search.query_blocks(queries):
-        run = _searcher(spark.sparkContext.broadcast((qids, vectors)), k, ef_search)
-        found = found.unionByName(index.mapInArrow(run, search.RESULT))
-    return search.ranked(found, k)
+    return grid.over_columns(index.sparkSession, queries, k, lambda files: index.mapInArrow(_searcher(files, k, ef_search), grid.RESULT))
 
 
-def _searcher(shared, k: int, ef_search: int) -> Callable:
+def _searcher(files: list[str], k: int, ef_search: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, vectors = shared.value
+        blocks = None
         for batch in batches:
+            blocks = blocks or [grid.block_of(f) for f in files]
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in ("dim", "entry", "vectors", "layers", "lists", "edges")}
                 g, ords, ids = Packed(**row), batch.column("ord")[i].values, batch.column("id")[i].values
-                found = [(q, s, x) for q, v in zip(names, vectors, strict=True) for s, x in g.search(v, k, ef_search)]
-                at = pa.array([x for _, _, x in found], pa.int64())
-                yield pa.record_batch({"qid": pa.array([q for q, _, _ in found], pa.string()), "ord": ords.take(at), "id": ids.take(at), "score": pa.array([s for _, s, _ in found], pa.float64())})
+                for names, vectors in blocks:
+                    found = [(q, s, x) for q, v in zip(names, vectors, strict=True) for s, x in g.search(v, k, ef_search)]
+                    at = pa.array([x for _, _, x in found], pa.int64())
+                    yield grid.result([q for q, _, _ in found], TaskContext.get().partitionId(), ords.take(at), ids.take(at), [s for _, s, _ in found])
 
     return run
 

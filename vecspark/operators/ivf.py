@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import kmeans, search
+from . import grid, kmeans, search
 
 SAMPLE = 100_000
 
@@ -27,25 +27,33 @@ class CellIndex:
         self.rows.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(self.centroids)], "cell int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
 
     def batch_top_k(self, queries: DataFrame, k: int, probes: int = 8) -> DataFrame:
-        """Each query's k best in its `probes` nearest cells; cells that no query of a block probes are not read."""
-        dim = self.centroids.shape[1]
-        found = self.rows.sparkSession.createDataFrame([], search.RESULT)
-        for qids, vectors in search.query_blocks(queries):
-            able = [i for i, v in enumerate(vectors) if len(v) == dim and (v * v).sum() > 0]
-            if not able:
-                continue
-            q = search.unit(np.array([vectors[i] for i in able]))
-            near = np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, :probes]
-            asked = np.zeros((len(self.centroids), len(able)), bool)
+        """Each query's k best in its `probes` nearest cells; cells that no query of a column probes are not read."""
+        centroids, spark = self.centroids, self.rows.sparkSession
+
+        def probed(vectors: list[np.ndarray]) -> tuple[list[int], np.ndarray, np.ndarray]:
+            """The queries that can have results, their unit vectors and nearest cells."""
+            able = [i for i, v in enumerate(vectors) if len(v) == centroids.shape[1] and (v * v).sum() > 0]
+            q = search.unit(np.array([vectors[i] for i in able]).reshape(len(able), centroids.shape[1]))
+            return able, q, np.argsort(-(q @ centroids.T), axis=1, kind="stable")[:, :probes]
+
+        def scorer(vectors: list[np.ndarray]):
+            able, q, near = probed(vectors)
+            asked = np.zeros((len(centroids), len(able)), bool)
             asked[near, np.arange(len(able))[:, None]] = True
+            return able, lambda batch: np.where(asked[batch.column("cell").to_numpy(zero_copy_only=False)], search.unit(search.matrix(batch.column("vector"))) @ q.T, np.nan)
 
-            def score(batch: pa.RecordBatch, q=q, asked=asked) -> np.ndarray:
-                cell = batch.column("cell").to_numpy(zero_copy_only=False)
-                return np.where(asked[cell], search.unit(search.matrix(batch.column("vector"))) @ q.T, np.nan)
+        def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = np.zeros(len(centroids), bool)
+            for batch in batches:
+                seen[probed([np.array(v or [], np.float64) for v in batch.column("vector").to_pylist()])[2]] = True
+            yield pa.record_batch({"cell": pa.array(np.nonzero(seen)[0], pa.int32())})
 
-            part = self.rows.where(F.col("cell").isin(sorted({int(x) for x in near.ravel()})))
-            found = found.unionByName(part.select("cell", "ord", "id", "vector").mapInArrow(search.local_top_k([qids[i] for i in able], k, score), search.RESULT))
-        return search.ranked(found, k)
+        def found_by(files: list[str]) -> DataFrame:
+            wanted = [r.cell for r in spark.read.parquet(*files).select("vector").mapInArrow(cells, "cell int").distinct().collect()]
+            part = self.rows.where(F.col("cell").isin(wanted)).select("cell", "ord", "id", "vector")
+            return part.mapInArrow(grid.task_top_k(files, k, scorer), grid.RESULT)
+
+        return grid.over_columns(spark, queries, k, found_by)
 
 
 def load(spark, path: str) -> CellIndex:

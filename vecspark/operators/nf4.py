@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from . import search
+from . import grid, search
 
 _LEVELS = np.array(X.NF4_LEVELS)
 
@@ -73,7 +73,7 @@ def batch_top_k(encoded: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
         return able, score
 
-    return search.over_blocks(encoded.select("ord", "id", "codes"), queries, k, scorer)
+    return grid.top_k(encoded.select("ord", "id", "codes"), queries, k, scorer)
 
 
 def mean_cosine(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import kmeans, search
+from . import grid, kmeans, search
 
 
 @dataclass
@@ -77,7 +77,7 @@ class ProductQuantizer:
 
             return able, score
 
-        return search.over_blocks(codes.select("ord", "id", "code"), queries, k, scorer)
+        return grid.top_k(codes.select("ord", "id", "code"), queries, k, scorer)
 
 
 def rerank_top_k(model: ProductQuantizer, codes: DataFrame, df: DataFrame, queries: DataFrame, k: int, more: int = 20) -> DataFrame:

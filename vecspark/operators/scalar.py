@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from . import search
+from . import grid, search
 
 
 def fit(df: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def batch_top_k(codes: DataFrame, ranges: tuple[np.ndarray, np.ndarray], queries
 
         return able, score
 
-    return search.over_blocks(codes.select("ord", "id", "codes"), queries, k, scorer)
+    return grid.top_k(codes.select("ord", "id", "codes"), queries, k, scorer)
 
 
 def byte_batch(data: list[float], dim: int) -> list[int]:

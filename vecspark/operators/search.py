@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from . import grid
 
-#: Queries that one pass over the corpus scores (their matrix goes to every executor).
-QUERY_BLOCK = 2048
-RESULT = "qid string, ord long, id string, score double"
+#: Queries that the relational form takes.
+RELATIONAL = 2048
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -45,86 +43,12 @@ def unit(m: np.ndarray, on_zero: str = "zeros", tiny: float = 0.0) -> np.ndarray
     return np.where(small, 0.0, out) if on_zero == "zeros" else out
 
 
-def best(ids: np.ndarray, ords: np.ndarray, scores: np.ndarray, k: int) -> list[np.ndarray]:
-    """Of a [row, query] score matrix each query's k best by score, then ord: query numbers, rows."""
-    n, q = scores.shape
-    if n > k:
-        kth = np.partition(scores, n - k, axis=0)[n - k]
-        rows, qs = np.nonzero(scores >= kth)
-    else:
-        rows, qs = (x.ravel() for x in np.indices((n, q)))
-    order = np.lexsort((ords[rows], -scores[rows, qs], qs))
-    rows, qs = rows[order], qs[order]
-    first = np.searchsorted(qs, np.arange(q))
-    keep = np.arange(len(qs)) - first[qs] < k
-    return [qs[keep], rows[keep]]
-
-
-def local_top_k(qids: list[str], k: int, score: Callable[[pa.RecordBatch], np.ndarray]) -> Callable:
-    """A mapInArrow function that leaves each task's k best rows of each query; score gives [row, query], NaN where a pair has none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            s = score(batch)
-            s = np.where(np.isnan(s), -np.inf, s)
-            ords = batch.column("ord").to_numpy(zero_copy_only=False)
-            qs, rows = best(None, ords, s, k)
-            new = (qs, ords[rows], np.array(batch.column("id").to_pylist(), object)[rows], s[rows, qs])
-            if held is not None:
-                new = tuple(np.concatenate(x) for x in zip(held, new, strict=True))
-                order = np.lexsort((new[1], -new[3], new[0]))
-                new = tuple(x[order] for x in new)
-                first = np.searchsorted(new[0], np.arange(len(qids)))
-                keep = np.arange(len(new[0])) - first[new[0]] < k
-                new = tuple(x[keep] for x in new)
-            held = new
-        if held is not None:
-            q, o, i, s = held
-            there = np.isfinite(s)
-            yield pa.record_batch({"qid": pa.array([qids[x] for x in q[there]], pa.string()), "ord": pa.array(o[there], pa.int64()), "id": pa.array(i[there].tolist(), pa.string()), "score": pa.array(s[there], pa.float64())})
-
-    return run
-
-
-def ranked(rows: DataFrame, k: int) -> DataFrame:
-    """The k best rows of each query by score, then ord: qid, rn (from 1), ord, id, score."""
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "ord")
-    return rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select("qid", "rn", "ord", "id", "score")
-
-
-def query_blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> Iterator[tuple[list[str], list[np.ndarray]]]:
-    """The queries (qid, vector), a bounded block at a time."""
-    qids, vectors = [], []
-    for r in queries.select(F.col("qid").cast("string").alias("qid"), "vector").toLocalIterator():
-        qids.append(r.qid)
-        vectors.append(np.array(r.vector or [], np.float64))
-        if len(qids) == size:
-            yield qids, vectors
-            qids, vectors = [], []
-    if qids:
-        yield qids, vectors
-
-
-def over_blocks(corpus: DataFrame, queries: DataFrame, k: int, scorer: Callable[[list[np.ndarray]], tuple[list[int], Callable]]) -> DataFrame:
-    """scorer takes a block's vectors and gives the queries that can have results and the score function for these."""
-    found = corpus.sparkSession.createDataFrame([], RESULT)
-    if k <= 0:
-        return ranked(found, 0)
-    for qids, vectors in query_blocks(queries):
-        able, score = scorer(vectors)
-        if able:
-            found = found.unionByName(corpus.mapInArrow(local_top_k([qids[i] for i in able], k, score), RESULT))
-    return ranked(found, k)
-
-
-def batch_top_k(corpus: DataFrame, queries: DataFrame, k: int, naive: bool = False, dim: int | None = None) -> DataFrame:
+def batch_top_k(corpus: DataFrame, queries: DataFrame, k: int, naive: bool = False, dim: int | None = None, block: int | None = None, column: int | None = None) -> DataFrame:
     """Each query's k most similar rows.
 
     naive: every row has a score, -1 where lengths differ or a norm is 0. Otherwise, as over a normalised index, a query of
-    another dimension than the index's first vector or of norm 0 has no results, and a row of norm 0 scores 0.
+    another dimension than the index's first vector or of norm 0 has no results, and a row of norm 0 scores 0. The corpus is
+    read once for `column` blocks of `block` queries.
     """
     if not naive and dim is None:
         from ..schema import dimension
@@ -155,14 +79,14 @@ def batch_top_k(corpus: DataFrame, queries: DataFrame, k: int, naive: bool = Fal
 
         return able, score
 
-    return over_blocks(corpus.select("ord", "id", "vector"), queries, k, scorer)
+    return grid.top_k(corpus.select("ord", "id", "vector"), queries, k, scorer, block, column)
 
 
 def rerank(candidates: DataFrame, corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Of each query's candidates (qid, ord) the k best by exact cosine; a norm of 0 scores 0. Only the candidates' vectors are read into the join."""
     asked = queries.select(F.col("qid").cast("string").alias("qid"), F.col("vector").alias("qv"))
     rows = candidates.select("qid", "ord").join(corpus.select("ord", "id", "vector"), "ord").join(asked, "qid")
-    return ranked(rows.select("qid", "ord", "id", X.cosine("vector", "qv", on_zero="zero").alias("score")), k)
+    return grid.ranked(rows.select("qid", "ord", "id", X.cosine("vector", "qv", on_zero="zero").alias("score")), k)
 
 
 def top_k(corpus: DataFrame, query: list[float], k: int, naive: bool = True) -> DataFrame:
@@ -180,7 +104,9 @@ def top_k(corpus: DataFrame, query: list[float], k: int, naive: bool = True) ->
 
 
 def batch_top_k_sql(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """batch_top_k in naive mode as one relational plan; for few queries."""
+    """batch_top_k in naive mode as one relational plan, for at most RELATIONAL queries; more are an error."""
     q = queries.select(F.col("qid").cast("string").alias("qid"), F.col("vector").alias("qv"))
-    pairs = corpus.select("ord", "id", "vector").crossJoin(q).select("qid", "ord", "id", X.cosine("vector", "qv").alias("score"))
-    return ranked(pairs, k)
+    if q.limit(RELATIONAL + 1).count() > RELATIONAL:
+        raise ValueError(f"more than {RELATIONAL} queries; batch_top_k takes any number")
+    pairs = corpus.select("ord", "id", "vector").crossJoin(F.broadcast(q)).select("qid", "ord", "id", X.cosine("vector", "qv").alias("score"))
+    return grid.ranked(pairs, k)

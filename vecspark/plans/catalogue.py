@@ -95,6 +95,13 @@ def topk_batch_relational(spark, sf):
     return shown(search.batch_top_k_sql(df, asked(df), 10))
 
 
+@query(_with(BASE) + _top("e", "e", 10))
+def topk_batch_columns(spark, sf):
+    """Queries in small blocks, several of which share a scan of the corpus."""
+    df = corpus(spark, sf)
+    return shown(search.batch_top_k(df, asked(df), 10, block=4, column=2))
+
+
 @query(_with(BASE) + "SELECT c.vec_id AS id, round(list_cosine_similarity(c.v, q.v), 6) AS score FROM e c, e q WHERE q.vec_id = 0 ORDER BY list_cosine_similarity(c.v, q.v) DESC, c.vec_id LIMIT 10")
 def topk_single_exact(spark, sf):
     df = corpus(spark, sf)
