@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import hnsw, ivf, nf4, pq, quality, rq, scalar, search
+from ..operators import hnsw, ivf, nf4, positions, pq, quality, rq, scalar, search
 from ..schema import embeddings, stats
 from ..sources import generators, ingest, store, vecstream
 
@@ -295,6 +295,41 @@ def nf4_topk(spark, sf):
     return shown(nf4.batch_top_k(nf4.encode(df), asked(df), 10))
 
 
+# ---------------------------------------------------------------- ids
+
+
+@query(
+    _with("m AS (SELECT vec_id % 40 AS k, max(vec_id) AS place FROM embeddings GROUP BY k)", "a AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 7 ELSE vec_id % 60 END AS k FROM embeddings)")
+    + "SELECT vec_id AS id, place FROM a LEFT JOIN m USING (k)"
+)
+def positions_last_wins(spark, sf):
+    """Repeated ids, merged in two parts; a third of the rows ask for one id, others for ids that aren't there."""
+    df = corpus(spark, sf)
+    rows = df.select("ord", F.concat(F.lit("e"), F.col("ord") % 40).alias("id"))
+    table = positions.merged(positions.build(rows.where("ord % 7 < 3")), rows.where("ord % 7 > 2"))
+    asks = df.select("ord", F.concat(F.lit("e"), F.when(F.col("ord") % 3 == 0, 7).otherwise(F.col("ord") % 60)).alias("id"))
+    return positions.lookup(table, asks).select(F.col("ord").alias("id"), "place")
+
+
+# ---------------------------------------------------------------- steps of k-means
+
+
+def _steps(points: str, book: str, tag: str, steps: int, mean: str, dead: str) -> list[str]:
+    """SQL of Lloyd steps over points (vec_id, s, p) from book (s, c, centroid): {tag}k1, {tag}k2 .. and the codes by the last."""
+    parts = []
+    for i in range(steps + 1):
+        parts.append(
+            f"{tag}a{i} AS (SELECT t.vec_id, t.s, arg_min(c, (round(list_distance(t.p, centroid), 12), c)) AS code, arg_min(centroid, (round(list_distance(t.p, centroid), 12), c)) AS q, first(t.p) AS p "
+            f"FROM {points} t JOIN {book} b ON t.s = b.s GROUP BY t.vec_id, t.s)"
+        )
+        if i < steps:
+            parts.append(f"{tag}x{i} AS (SELECT s, c, d, avg(x) AS x FROM (SELECT s, code AS c, unnest(range(8)) AS d, unnest(p) AS x FROM {tag}a{i}) GROUP BY s, c, d)")
+            parts.append(f"{tag}m{i} AS (SELECT s, c, list(x ORDER BY d) AS m FROM {tag}x{i} GROUP BY s, c)")
+            parts.append(f"{tag}k{i + 1} AS (SELECT b.s, b.c, CASE WHEN m IS NULL THEN o.centroid ELSE {mean} END AS centroid FROM {book} b JOIN {dead or book} o ON o.s = b.s AND o.c = b.c LEFT JOIN {tag}m{i} m ON m.s = b.s AND m.c = b.c)")
+            book = f"{tag}k{i + 1}"
+    return parts
+
+
 # ---------------------------------------------------------------- product quantisation
 
 #: Codebooks of 16 rows in 8 subspaces: rows i * n / 16 as they are (i0), or after one step (i1).
@@ -338,6 +373,22 @@ def pq_codes_i1(spark, sf):
     return _pq_codes(_pq(spark, sf, 1)[2])
 
 
+#: Dead centroids become the rows of their numbers.
+PQ_STEPS = (*PQ_BASE, "o AS (SELECT s, vec_id AS c, p AS centroid FROM s WHERE vec_id < 16)", *_steps("s", "k0", "p", 3, "list_transform(m, lambda y: y / sqrt(list_inner_product(m, m)))", "o"))
+PQ_BACK_TRAINED = "r AS (SELECT vec_id, list_transform(range(64), lambda i: l[i // 8 + 1][i % 8 + 1]) AS v FROM (SELECT vec_id, list(q ORDER BY s) AS l FROM pa3 GROUP BY vec_id))"
+
+
+@query(_with(*PQ_STEPS) + "SELECT vec_id AS id, s::INT AS s, code::INT AS code FROM pa2")
+def pq_codes_i2(spark, sf):
+    return _pq_codes(_pq(spark, sf, 2)[2])
+
+
+@query(_with(*PQ_STEPS) + "SELECT s::INT AS s, c::INT AS c, unnest(range(8))::INT AS d, round(unnest(centroid), 6) + 0.0 AS x FROM pk3")
+def pq_codebook_i3(spark, sf):
+    _, model, _ = _pq(spark, sf, 3)
+    return model.codebook(spark).select("s", "c", F.posexplode("centroid").alias("d", "x")).withColumn("x", F.round("x", 6))
+
+
 @query(_with(*PQ_BASE, PQ_BACK) + "SELECT vec_id AS id, unnest(range(64))::INT AS d, round(unnest(v), 6) + 0.0 AS x FROM r")
 def pq_decoded_i0(spark, sf):
     _, model, codes = _pq(spark, sf, 0)
@@ -353,6 +404,12 @@ def pq_adc_topk_i0(spark, sf):
     return shown(model.batch_top_k(codes, asked(df), 10))
 
 
+@query(_with(*PQ_STEPS, PQ_BACK_TRAINED) + ADC)
+def pq_adc_topk_i3(spark, sf):
+    df, model, codes = _pq(spark, sf, 3)
+    return shown(model.batch_top_k(codes, asked(df), 10))
+
+
 @query()
 def pq_codes_full(spark, sf):
     return _pq_codes(_pq(spark, sf, 25, 256)[2])
@@ -394,6 +451,25 @@ def rq_codes_i0(spark, sf):
     return _rq_codes(_rq(spark, sf, 0)[2])
 
 
+#: Two passes of two steps each; dead centroids stay.
+RQ_STEPS = (
+    *RQ_BASE[:3], *_steps("s", "k0", "f", 2, "m", ""), "s2 AS (SELECT vec_id, s, list_transform(range(8), lambda i: p[i + 1] - q[i + 1]) AS p FROM fa2)",
+    "k2 AS (SELECT s, vec_id AS c, p AS centroid FROM s2 WHERE vec_id < 16)", *_steps("s2", "k2", "g", 2, "m", ""),
+    "r AS (SELECT vec_id, list_transform(range(64), lambda i: a[i // 8 + 1][i % 8 + 1] + b[i // 8 + 1][i % 8 + 1]) AS v FROM (SELECT fa2.vec_id, list(fa2.q ORDER BY fa2.s) AS a, list(ga2.q ORDER BY fa2.s) AS b FROM fa2 JOIN ga2 ON fa2.vec_id = ga2.vec_id AND fa2.s = ga2.s GROUP BY fa2.vec_id))",
+)
+
+
+@query(_with(*RQ_STEPS) + "SELECT vec_id AS id, 0 AS p, s::INT AS s, code::INT AS code FROM fa2 UNION ALL SELECT vec_id, 1, s::INT, code::INT FROM ga2")
+def rq_codes_i2(spark, sf):
+    return _rq_codes(_rq(spark, sf, 2)[2])
+
+
+@query(_with(*RQ_STEPS) + "SELECT round(avg(list_cosine_similarity(e.v, r.v)), 6) AS mean_cosine FROM e JOIN r USING (vec_id)")
+def rq_mean_cosine_i2(spark, sf):
+    df, model, _ = _rq(spark, sf, 2)
+    return model.mean_cosine(df).select(F.round("mean_cosine", 6).alias("mean_cosine"))
+
+
 @query(_with(*RQ_BASE) + "SELECT vec_id AS id, unnest(range(64))::INT AS d, round(unnest(v), 5) + 0.0 AS x FROM r")
 def rq_decoded_i0(spark, sf):
     _, model, codes = _rq(spark, sf, 0)
