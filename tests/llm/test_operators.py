@@ -1,7 +1,9 @@
 import collections
+import itertools
 import json
 import random
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -533,6 +535,51 @@ def test_plain_words_take_the_short_way_rightly(tokenizer):
     assert all(words.known[w] == words._whole([w])[0] for w in some)
 
 
+def test_parts_of_words_go_to_the_tokenizer_once(tokenizer):
+    words = token_output.Words(tokenizer, 2)
+    asked, fresh = [], words.parts.fresh
+    words.parts.fresh = lambda parts: asked.extend(parts.to_pylist()) or fresh(parts)
+    texts = [f"{w}{m}\n{w.upper()} {w.title()}{m}{m}" for w in ("alpha", "naïf", "été", "xqzj") for m in ("", ".", "?!", ")")]
+    for _ in range(2):
+        assert words.rows(pa.array(texts)).to_pylist() == words._whole(texts)
+    assert sorted(asked) == sorted({"alpha", "naïf", "été", "xqzj", ".", "..", "?!", "?!?!", ")", "))"})
+
+
+def test_words_cost_no_call_each(tokenizer):
+    some = [f"{''.join(w)}{m}" for w in itertools.product("abcdefgh", repeat=4) for m in ("", ".")]
+    batch = pa.record_batch({"doc_id": pa.array([0, 1], pa.int64()), "bucket": pa.array([0, 0], pa.int32()), "text": [" ".join(some), " ".join(some[::-1])]})
+    run = token_output._tokenise(tokenizer, 1)
+    list(run(iter([batch.slice(0, 0)])))
+    calls = collections.Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        list(run(iter([batch])))
+    finally:
+        sys.setprofile(None)
+    assert calls["c_call"] + calls["call"] < len(some) / 2
+
+
+@pytest.mark.parametrize("kept", [0, 3, 40, 600_000])
+def test_looked_up_ids_are_those_of_whole_texts(tokenizer, monkeypatch, kept):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_output, "REMEMBERED", kept)
+    monkeypatch.setattr(token_output, "LOOKED_UP", 300)
+    monkeypatch.setattr(token_output, "TOGETHER", 3)
+    monkeypatch.setattr(token_output.Words, "kept", {})
+    t = Tokenizer.from_file(tokenizer)
+    rng = random.Random(9)
+    some = ["The", "the,", "it's", "d'été", "DON'T", "'s", "x'll", "''s", "ab12", "¡Olé!", "Σας", "日本語", "<|endoftext|>", "<|ENDOFTEXT|>", "a\u0301", "I\u0307", "\u00a0", "…", "µm", "a\tb", "\x1c", "</w>", "w</w>", "***", "e" * 70, "Z" * 70 + "?", "日" * 80, ""]
+    texts = [None, "", " ", "\n", *(rng.choice(" \n").join(rng.choices(some, k=rng.randrange(1, 12))) for _ in range(200)), *some]
+    rows = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "bucket": pa.array([0] * len(texts), pa.int32()), "text": pa.array(texts, pa.string())})
+    out = token_output._tokenise(tokenizer, 1)(iter([*rows.to_batches(max_chunksize=37), rows.to_batches()[0].slice(0, 0)]))
+    got = {d: x for b in out for d, x in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True)}
+    assert got == {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u2").tobytes() for i, x in enumerate(texts)}
+    (words,) = token_output.Words.kept.values()
+    assert words.plain and all(len(w.encode()) <= token_output.LONGEST for r in (words.words, words.parts) for w in r.words.to_pylist())
+    assert len(words.words.words) <= kept and len(words.words.words) == len(words.words.ids) == len(words.words.asked)
+
+
 @pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 300_000])
 def test_rans_round_trip(n):
     rng = np.random.default_rng(n)

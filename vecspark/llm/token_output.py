@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +23,12 @@ CHECKPOINT_STEPS = 128
 BLOCK_TOKENS = 1 << 18
 LOW = 1 << 31
 MAGIC = b"RANSIDS1"
-#: Words, and parts of words, whose ids a worker remembers, at most, in each of two generations.
-REMEMBERED = 150_000
+#: Words whose ids a worker remembers, at most, besides those it looks up just now; bytes of such a word, at most.
+REMEMBERED = 300_000
+LONGEST = 64
+#: Bytes of text whose words are looked up together; words that go to the tokenizer's model in a string.
+LOOKED_UP = 1 << 22
+TOGETHER = 128
 _U = np.uint64
 
 
@@ -111,16 +115,57 @@ def decode(table: Table, block: bytes, first: int = 0, last: int | None = None)
 
 
 #: Words of Latin-1 letters, perhaps with closing marks: their normal form is lower case, their pre-tokens are the letters and the marks.
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=?@\[-`{}~]*)")
-#: The closing marks of _PLAIN.
-_MARKS = "".join(c for c in map(chr, range(33, 127)) if re.fullmatch(r"[!-&(-/:;=?@\[-`{}~]", c))
+_LETTER, _MARK = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]", r"[!-&(-/:;=?@\[-`{}~]"
+_PLAIN = f"^{_LETTER}+{_MARK}*$"
+
+
+def _binary(offsets: np.ndarray, data: pa.Buffer | None) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), data or pa.py_buffer(b"")])
+
+
+class Remembered:
+    """Ids of words, in Arrow arrays. `fresh` has those of words that aren't remembered."""
+
+    def __init__(self, fresh: Callable[[pa.Array], pa.Array]):
+        self.fresh = fresh
+        self.words, self.ids, self.asked = pa.array([], pa.string()), pa.array([], pa.binary()), np.zeros(0, np.uint8)
+
+    def look_up(self, words: pa.Array) -> pa.Array:
+        """Ids of different words. Too many remembered: those stay that were asked for again since the last time, or else these; long ones never do."""
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).copy()
+        new = words.filter(pa.array(at < 0))
+        at[at < 0] = len(self.words) + np.arange(len(new))
+        known, ids = pa.concat_arrays([self.words, new]), pa.concat_arrays([self.ids, self.fresh(new)])
+        asked = np.concatenate([self.asked, np.zeros(len(new), np.uint8)])
+        asked[at] = np.minimum(asked[at] + 1, 2)
+        stay = np.less_equal(pc.binary_length(known).to_numpy(), LONGEST)
+        if len(known) > REMEMBERED:
+            again = asked > 1
+            if np.count_nonzero(again) > REMEMBERED // 2:
+                again[:] = False
+                again[at[:REMEMBERED]] = True
+            stay &= again
+            asked[:] = 0
+        kept = pa.array(stay)
+        self.words, self.ids, self.asked = known.filter(kept), ids.filter(kept), asked[stay]
+        return ids.take(pa.array(at))
+
+    def rows(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text's words between spaces; each different word is looked up once."""
+        if not len(texts):
+            return pa.array([], pa.binary())
+        pieces = pc.split_pattern(texts, " ")
+        words = pieces.values.dictionary_encode()
+        flat = self.look_up(words.dictionary).take(words.indices)
+        _, at, data = flat.buffers()
+        return _binary(np.frombuffer(at, np.int32, len(flat) + 1)[pieces.offsets.to_numpy()], data)
 
 
 class Words:
     """Ids of words between spaces and line feeds, remembered by a worker from task to task.
 
-    No pre-token of the tokenizers meant here spans such a place, so a text's ids are those of its words. Plain words go
-    to the tokenizer's model at once; `plain` says whether that is right for this tokenizer, by trial. All others take the whole way.
+    No pre-token of the tokenizers meant here spans such a place, so a text's ids are those of its words. Plain words' parts
+    go to the tokenizer's model at once, many in a call; `plain` says whether that is right for this tokenizer, by trial. All others take the whole way.
     """
 
     kept: dict[tuple[str, int], Words] = {}
@@ -129,18 +174,20 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tok, self.width = Tokenizer.from_file(path), width
+        self.tok, self.type = Tokenizer.from_file(path), np.dtype(f"<u{width}")
+        self.model = Tokenizer(self.tok.model)  # for parts in their normal form, between spaces
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        letters = [chr(c) for c in range(0xDF, 0x100)]
-        self.bytes = {ord(x): level.pre_tokenize_str(x)[0][0] for x in letters}
-        self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.known_before: dict[str, bytes] = {}
-        self.cores_before: dict[str, bytes] = {}
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), level])
+        vocab, suffix = self.tok.get_vocab(), getattr(self.tok.model, "end_of_word_suffix", None)
+        self.closes = np.zeros(max(vocab.values(), default=0) + 1, bool)  # ids that end a part
+        self.closes[[i for x, i in vocab.items() if suffix and x.endswith(suffix)]] = True
+        self.words, self.parts = Remembered(self._fresh), Remembered(self._parts)
         trial = ["the", "Straße", "ÀÉÎõü", "naïve.", "end?!", "Sch\u00f6nhausen,", "xqzj)", "ÿ;", "WORD...", "ab***", "ab_-&"]
-        self.plain = all(self._plain(w) == self._whole([w])[0] for w in trial)
-        self.known.clear()
-        self.cores.clear()
+        self.plain = bool(suffix) and all(x + suffix in vocab for x in level.alphabet())  # then each part has one end
+        if self.plain:
+            self.learn(set(trial))
+            self.plain = [self.known[w] for w in trial] == self._whole(trial)
+            self.words, self.parts = Remembered(self._fresh), Remembered(self._parts)
 
     @classmethod
     def of(cls, path: str, width: int) -> Words:
@@ -148,52 +195,40 @@ class Words:
             cls.kept[path, width] = cls(path, width)
         return cls.kept[path, width]
 
-    def _pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
-
     def _whole(self, words: list[str]) -> list[bytes]:
-        return [self._pack(e.ids) for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _core(self, piece: str) -> bytes:
-        found = self.cores.get(piece)
-        if found is None:
-            found = self.cores_before.get(piece)
-            if found is None:
-                found = self._pack([t.id for t in self.tok.model.tokenize(piece)])
-            if len(self.cores) >= REMEMBERED:
-                self.cores, self.cores_before = {}, self.cores
-            self.cores[piece] = found
-        return found
-
-    def _plain(self, word: str) -> bytes | None:
-        letters = word.rstrip(_MARKS)
-        if letters.isascii() and letters.isalpha():
-            out = self._core(letters.lower())
-            return out + self._core(word[len(letters) :]) if len(letters) < len(word) else out
-        m = _PLAIN.fullmatch(word)
-        if not m:
-            return None
-        core = m[1].lower()
-        out = self._core(core if core.isascii() else core.translate(self.bytes))
-        return out + self._core(m[2]) if m[2] else out
+        return [np.array(e.ids, self.type).tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _parts(self, parts: pa.Array) -> pa.Array:
+        """Ids of letters in lower case and of marks, by themselves."""
+        lists = pa.ListArray.from_arrays(pa.array([*range(0, len(parts), TOGETHER), len(parts)], pa.int32()), parts)
+        found = [np.empty(0, self.type)]
+        for lo in range(0, len(lists), 32):  # what the tokenizer returns is large
+            some = pc.binary_join(lists.slice(lo, 32), " ").to_pylist()
+            found += [np.array(e.ids, self.type) for e in self.model.encode_batch_fast(some, add_special_tokens=False)]
+        ids = np.concatenate(found)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(parts):
+            raise ValueError("the tokenizer's parts have no ends")
+        return _binary(np.concatenate([[0], ends]) * self.type.itemsize, pa.py_buffer(ids.tobytes()))
+
+    def _fresh(self, words: pa.Array) -> pa.Array:
+        """Ids of words, plain ones by their parts."""
+        plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False) if self.plain else np.zeros(len(words), bool)
+        order = np.concatenate([np.flatnonzero(plain), rest := np.flatnonzero(~plain)])
+        low = pc.utf8_lower(words.filter(pa.array(plain)))
+        found = [self.parts.rows(pc.replace_substring_regex(low, f"({_LETTER})({_MARK})", r"\1 \2", max_replacements=1))]
+        for lo in range(0, len(rest), 4096):
+            found.append(pa.array(self._whole(words.take(pa.array(rest[lo : lo + 4096])).to_pylist()), pa.binary()))
+        return pa.concat_arrays(found).take(pa.array(np.argsort(order)))
 
     def learn(self, words: set[str]) -> None:
-        """Has the ids of words in `known`. What was asked for since the last generation began stays; the generation before is looked up."""
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, self.known_before, new = {}, self.known, words
-        again = new & self.known_before.keys()
-        self.known.update((w, self.known_before[w]) for w in again)
-        new = new - again
-        rest = []
-        for w in new:
-            found = self._plain(w) if self.plain else None
-            if found is None:
-                rest.append(w)
-            else:
-                self.known[w] = found
-        for lo in range(0, len(rest), 4096):
-            self.known.update(zip(rest[lo : lo + 4096], self._whole(rest[lo : lo + 4096]), strict=True))
+        """Has the ids of these words in `known`."""
+        these = pa.array(sorted(words), pa.string())
+        self.known = dict(zip(these.to_pylist(), self.words.look_up(these).to_pylist(), strict=True))
+
+    def rows(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text, whose words are those between spaces and line feeds."""
+        return self.words.rows(pc.replace_substring(texts.fill_null(""), "\n", " "))
 
 
 def _tokenise(path: str, end_id: int) -> Callable:
@@ -204,15 +239,15 @@ def _tokenise(path: str, end_id: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words.of(path, width)
-        end = words._pack([end_id])
+        end = pa.scalar(np.array([end_id], words.type).tobytes())
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo in range(0, len(texts), 64):
-                pieces = [(t or "").replace("\n", " ").split(" ") for t in texts[lo : lo + 64]]
-                words.learn(set().union(*pieces))
-                get = words.known.__getitem__
-                ids = [b"".join(map(get, p)) + end for p in pieces]
-                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(lo, 64), "bucket": batch.column("bucket").slice(lo, 64), "ids": pa.array(ids, pa.binary())})
+            size = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(size // LOOKED_UP)) + 1).tolist(), len(size)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo < hi:
+                    part = batch.slice(lo, hi - lo)
+                    ids = pc.binary_join_element_wise(words.rows(part.column("text")), end, pa.scalar(b""))
+                    yield pa.record_batch({"doc_id": part.column("doc_id"), "bucket": part.column("bucket"), "ids": ids})
 
     run.width = width
     return run
