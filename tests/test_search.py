@@ -119,6 +119,28 @@ def test_the_relational_form_refuses_many_queries(spark, monkeypatch):
         search.batch_top_k_sql(df, df.select(F.col("id").alias("qid"), "vector"), 2)
 
 
+def test_the_relational_query_takes_any_number(spark, monkeypatch, tmp_path):
+    from vecspark.plans import catalogue
+
+    v = units(600, 8).astype(np.float32)
+    spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    whole = sorted(catalogue.topk_batch_exact(spark, str(tmp_path)).collect())
+    monkeypatch.setattr(search, "RELATIONAL", 5)
+    assert len(whole) == 120 and sorted(catalogue.topk_batch_relational(spark, str(tmp_path)).collect()) == whole
+
+
+def test_the_relational_form_on_odd_rows(spark):
+    """Equal rows, zero, null and other lengths, NaN; queries that are so; fewer rows than k."""
+    rows = [(f"r{i}", [1.0, float(i % 2)]) for i in range(80)] + [("zero", [0.0, 0.0]), ("null", None), ("long", [1.0, 2.0, 3.0]), ("nan", [float("nan"), 1.0])]
+    df = table(spark, rows).repartition(7)
+    q = ask(spark, [1.0, 0.0], [0.0, 0.0], [1.0, 2.0, 3.0], [-1.0, -1.0], [], None)
+    for k in (3, 500):
+        want = {n: x for n, x in got(search.batch_top_k(df, q, k, naive=True)).items()}
+        assert got(search.batch_top_k_relational(df, q, k)) == want == got(search.batch_top_k_sql(df, q, k))
+    assert search.batch_top_k_relational(df, q, 0).count() == 0 and search.batch_top_k_relational(df, q.limit(0), 3).count() == 0
+    assert search.batch_top_k_relational(df.limit(0), q, 3).count() == 0
+
+
 def test_scalar_codec(spark):
     v = units(200, 16).astype(np.float32)
     df = from_arrays(spark, v)
