@@ -275,6 +275,31 @@ def test_hnsw_recall_and_edges(spark, tmp_path):
         hnsw.Graph(m=1)
 
 
+def test_graph_search_reaches_every_region():
+    """Rows in groups that few edges leave: from one start a beam ends in the wrong group."""
+    rng = np.random.default_rng(8)
+    for n, groups in ((600, 4), (2500, 12)):
+        v = np.eye(24)[np.arange(n) % groups] + 0.1 * rng.standard_normal((n, 24))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        g = hnsw.Graph().build(v)
+        assert all(g.search(x, 1, 50)[0][1] == i for i, x in enumerate(v[:240]))
+
+
+def test_the_beam_widens_with_the_shard(spark):
+    df = from_arrays(spark, units(12000, 64, 5))
+    q = ask(spark, *units(60, 64, 6).tolist())
+    recall = quality.mean_recall(search.batch_top_k(df, q, 10), hnsw.batch_top_k(hnsw.build(df, 1), q, 10), 10).first().recall
+    assert recall >= 0.93
+
+
+def test_blocks_of_a_shard_follow_its_size(monkeypatch):
+    v = units(300, 6)
+    whole = hnsw.linked(v, 8)
+    monkeypatch.setattr(hnsw, "SCORES", 500)
+    monkeypatch.setattr(hnsw, "BLOCK", 100)
+    assert [x.tolist() for x in hnsw.linked(v, 8)] == [x.tolist() for x in whole]
+
+
 def test_ivf(spark, tmp_path):
     v = units(600, 16, 2)
     df = from_arrays(spark, v).persist()

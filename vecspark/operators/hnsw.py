@@ -22,8 +22,10 @@ _MASK = (1 << 64) - 1
 #: the lists of node i are those from layers[i] up to layers[i + 1], one a layer, and list j is edges[lists[j]] up to edges[lists[j + 1]]
 #: (all 32-bit integers). Integers and floats are little-endian.
 INDEX = "shard int, n int, dim int, entry int, ord array<long>, id array<string>, vectors binary, layers binary, lists binary, edges binary"
-#: Rows that are scored against all before them at once, when a shard is built.
-BLOCK = 1024
+#: Rows that are scored against all before them at once, when a shard is built, and scores that a task holds for that.
+BLOCK, SCORES = 1024, 1 << 23
+#: Nodes of an upper layer that a search scores to find its starts.
+START = 1 << 14
 
 
 def xorshift(state: int, shifts: tuple[int, int, int] = SHIFTS) -> int:
@@ -45,6 +47,7 @@ class Graph:
         self.vectors = np.zeros((0, 0))
         self.edges: list[list[list[int]]] = []
         self.entry = -1
+        self.upper: tuple[int, np.ndarray, np.ndarray] | None = None
 
     def _draw(self) -> int:
         self.state = xorshift(self.state)
@@ -60,12 +63,15 @@ class Graph:
     def near(self, node: int, layer: int) -> np.ndarray:
         return np.array(self.edges[node][layer] if layer < len(self.edges[node]) else [], np.int64)
 
-    def beam(self, q: np.ndarray, start: int, ef: int, layer: int) -> list[tuple[float, int]]:
-        """Up to ef nodes near q, best first; neighbours of a node are scored together."""
-        first = float(self.vectors[start] @ q)
+    def beam(self, q: np.ndarray, start: int | list[int], ef: int, layer: int) -> list[tuple[float, int]]:
+        """Up to ef nodes near q, best first, from one node or up to ef of them; neighbours of a node are scored together."""
+        starts = [start] if isinstance(start, int) else start
         seen = np.zeros(self.size(), bool)
-        seen[start] = True
-        ahead, kept = [(-first, start)], [(first, start)]
+        seen[starts] = True
+        kept = list(zip((self.vectors[starts] @ q).tolist(), starts, strict=True))
+        ahead = [(-s, x) for s, x in kept]
+        heapq.heapify(kept)
+        heapq.heapify(ahead)
         while ahead:
             near, node = heapq.heappop(ahead)
             if len(kept) >= ef and -near < kept[0][0]:
@@ -137,16 +143,28 @@ class Graph:
         q = q / np.sqrt((q * q).sum())
         w = self.vectors.shape[1]
         q = np.concatenate([q, np.zeros(max(0, w - len(q)))])[:w]
-        at = self.descend(q, self.entry, self.height(self.entry) - 1, 0)
-        return self.beam(q, at, max(ef, k), 0)[:k]
+        ef = max(ef, k)
+        return self.beam(q, self.starts(q, ef), ef, 0)[:k]
+
+    def starts(self, q: np.ndarray, n: int) -> list[int]:
+        """The n nodes nearest to q of the lowest upper layer with at most START nodes, by exact scores; a descent from one node can end in a region that few edges leave."""
+        if self.upper is None or self.upper[0] != self.size():
+            heights = np.array([self.height(i) for i in range(self.size())])
+            nodes = next(own for i in range(1, int(heights.max()) + 1) if len(own := np.flatnonzero(heights > i)) <= START)
+            nodes = nodes if len(nodes) else np.array([self.entry])
+            self.upper = self.size(), nodes, self.vectors[nodes]
+        _, nodes, vectors = self.upper
+        s = vectors @ q
+        return nodes[np.argpartition(-s, n - 1)[:n] if n < len(s) else slice(None)].tolist()
 
 
 def linked(v: np.ndarray, most: int) -> list[np.ndarray]:
     """Of each row the `most` nearest among the rows that it chose, its `most` nearest earlier ones, and those that chose it."""
     n = len(v)
     one, other, near = [], [], []
-    for lo in range(0, n, BLOCK):
-        hi = min(lo + BLOCK, n)
+    hi = 0
+    while hi < n:
+        lo, hi = hi, min(hi + max(1, min(BLOCK, SCORES // (hi + BLOCK))), n)
         s = v[lo:hi] @ v[:hi].T
         s[np.arange(hi) >= np.arange(lo, hi)[:, None]] = -np.inf
         k = min(most, hi)
@@ -163,7 +181,32 @@ def linked(v: np.ndarray, most: int) -> list[np.ndarray]:
     by = np.lexsort((b, -s, a))
     a, b = a[by], b[by]
     first = np.searchsorted(a, np.arange(n + 1))
-    return [b[x : min(x + most, y)] for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    return led_to([b[x : min(x + most, y)] for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], most)
+
+
+def led_to(lists: list[np.ndarray], most: int) -> list[np.ndarray]:
+    """The lists, so changed that every row is in at least most // 4 of them where it can be: pruning leaves rows that none leads to.
+
+    A row that is in too few is put into those of its nearest rows, in place of the farthest that is in enough others.
+    """
+    least = most // 4
+    ways = np.bincount(np.concatenate(lists), minlength=len(lists))
+    for i in np.flatnonzero(ways < least).tolist():
+        for j in lists[i].tolist():
+            own = lists[j]
+            if ways[i] >= least:
+                break
+            if (own == i).any():
+                continue
+            if len(own) < most:
+                lists[j] = np.append(own, i)
+            elif len(spare := np.flatnonzero(ways[own] > least)):
+                ways[own[spare[-1]]] -= 1
+                lists[j] = np.append(np.delete(own, spare[-1]), i)
+            else:
+                continue
+            ways[i] += 1
+    return lists
 
 
 class Packed(Graph):
@@ -204,6 +247,8 @@ def nodes(row) -> Iterator[tuple[int, str, np.ndarray, list[list[int]]]]:
 
 #: Rows of a shard where the caller names no number of shards.
 SHARD_ROWS = 2048
+#: Queries by which the beam of a larger shard is judged, and the share of their nearest rows that it must find.
+JUDGES, FOUND = 64, 0.95
 
 
 def build(df: DataFrame, shards: int | None = None, m: int = 16, ef_construction: int = 200) -> DataFrame:
@@ -231,10 +276,32 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def batch_top_k(index: DataFrame, queries: DataFrame, k: int, ef_search: int = 50) -> DataFrame:
-    """Each query's k best over all shards. A shard is searched where its row lies: only results are shuffled."""
+    """Each query's k best over all shards. A shard is searched where its row lies: only results are shuffled.
+
+    The beam is ef_search wide; shards of more than SHARD_ROWS rows widen it until it finds enough (beam_width), so that
+    recall doesn't fall as they grow.
+    """
     return grid.over_columns(index.sparkSession, queries, k, lambda files: index.mapInArrow(_searcher(files, k, ef_search), grid.RESULT))
 
 
+def beam_width(g: Graph, asked: list[np.ndarray], k: int, ef: int) -> int:
+    """The least of ef, 2 ef, 4 ef and so on with which the graph finds FOUND of the k nearest rows, by exact scores, of JUDGES of the queries.
+
+    A beam that a doubled one doesn't better is taken as the widest of use.
+    """
+    n, w = g.size(), g.vectors.shape[1]
+    able = [v for v in asked if len(v) == w and (v * v).sum() > 0]
+    able = able[:: -(-len(able) // JUDGES)] if able else able
+    k = min(k, n)
+    if not able or k <= 0:
+        return ef
+    least = [np.partition(g.vectors @ (v / np.sqrt((v * v).sum())), n - k)[n - k] - 1e-9 for v in able]
+    ef, before = max(ef, k), -1
+    while before < (now := sum(s >= t for v, t in zip(able, least, strict=True) for s, _ in g.search(v, k, ef))) < FOUND * k * len(able):
+        ef, before = ef * 2, now
+    return ef
+
+
 def _searcher(files: list[str], k: int, ef_search: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = None
@@ -243,8 +310,9 @@ def _searcher(files: list[str], k: int, ef_search: int) -> Callable:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in ("dim", "entry", "vectors", "layers", "lists", "edges")}
                 g, ords, ids = Packed(**row), batch.column("ord")[i].values, batch.column("id")[i].values
+                ef = beam_width(g, [v for _, vectors in blocks for v in vectors], k, ef_search) if g.size() > SHARD_ROWS else ef_search
                 for names, vectors in blocks:
-                    found = [(q, s, x) for q, v in zip(names, vectors, strict=True) for s, x in g.search(v, k, ef_search)]
+                    found = [(q, s, x) for q, v in zip(names, vectors, strict=True) for s, x in g.search(v, k, ef)]
                     at = pa.array([x for _, _, x in found], pa.int64())
                     yield grid.result([q for q, _, _ in found], TaskContext.get().partitionId(), ords.take(at), ids.take(at), [s for _, s, _ in found])
 
