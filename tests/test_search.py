@@ -103,6 +103,43 @@ def test_heaps_against_a_full_sort():
         assert [(r["qid"], r["ord"], r["score"]) for r in rows] == want and all(r["id"] == f"r{r['ord']}" for r in rows)
 
 
+@pytest.mark.parametrize("naive", [True, False])
+def test_totals_are_those_of_all_rows_ranked(spark, naive):
+    df = table(spark, [(f"r{i}", v) for i, v in enumerate([*units(90, 6).tolist(), [0.0] * 6, [1.0] * 4, None, [float("nan")] * 6])]).repartition(5)
+    q = ask(spark, *units(9, 6, 1).tolist(), [0.0] * 6, [1.0], (-units(1, 6)[0]).tolist()).repartition(3)
+    rows = search.batch_top_k(df, q, 1000, naive=naive, dim=6)
+    want = sorted(rows.groupBy("qid").agg(F.round(F.max("score"), 9), F.count("*"), F.count_if(F.col("score") == -1)).collect())
+    for block, column in ((None, None), (4, 1)):
+        found = search.batch_totals(df, q, naive, 6, block, column).select("qid", F.round("best", 9), "n", "least")
+        assert sorted(found.collect()) == want and len(want) == (12 if naive else 10)
+    assert search.batch_totals(df, q.limit(0), naive, 6).count() == 0
+
+
+def test_full_heaps_are_handed_on(spark):
+    """The rows of a task that holds few: those of one that holds all, each once."""
+    v = units(50, 4)
+    columns = grid.deal(ask(spark, *units(3, 4, 1).tolist()))
+
+    class Few(grid.Heaps):
+        most = 0
+
+        def full(self):
+            Few.most = max(Few.most, len(self.held[0]))
+            return len(self.held[0]) > 60
+
+    import pyarrow as pa
+    import pyspark
+
+    batches = [pa.record_batch({"ord": pa.array(range(lo, lo + 10)), "id": pa.array([f"r{i}" for i in range(lo, lo + 10)]), "vector": pa.array(v[lo : lo + 10].tolist())}) for lo in range(0, 50, 10)]
+    scorer = lambda vectors: (list(range(len(vectors))), lambda b: search.matrix(b.column("vector")) @ np.array(vectors).T)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 0})()))
+        left = list(grid.task_rows(columns[0], lambda qids: Few(qids, 50), scorer)(iter(batches)))
+        whole = list(grid.task_top_k(columns[0], 50, scorer)(iter(batches)))
+    key = lambda batches: sorted((r["qid"], r["ord"], r["id"], r["score"]) for b in batches for r in b.to_pylist())
+    assert len(left) > 1 and Few.most <= 90 and key(left) == key(whole) and len(key(whole)) == 150
+
+
 def test_repeated_null_and_no_queries(spark):
     df = from_arrays(spark, units(30, 4)).repartition(3)
     v = [float(x) for x in units(1, 4, 3)[0]]
