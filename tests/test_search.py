@@ -86,6 +86,21 @@ def test_a_column_scans_the_corpus_once(spark):
     assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Union" not in plan
 
 
+def test_small_blocks_share_a_scan(spark, monkeypatch):
+    q = ask(spark, *units(50, 4).tolist()).repartition(7)
+    df = from_arrays(spark, units(60, 4))
+    whole = got(search.batch_top_k(df, q, 3))
+    few = search.batch_top_k(df, q, 3, block=4, column=2)
+    assert few._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1 and got(few) == whole
+    files = [f for column in grid.deal(q, 4, 100) for f in column]
+    assert len(files) > 12 and [len(names) for names, _ in grid.joined(files)] == [50]
+    monkeypatch.setattr(grid, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(grid, "COLUMN", 2)
+    assert all(len(names) <= 8 for names, _ in grid.joined(files)) and sum(len(names) for names, _ in grid.joined(files)) == 50
+    several = search.batch_top_k(df, q, 3, block=4, column=2)
+    assert "MapInArrow" not in several._jdf.queryExecution().optimizedPlan().toString() and got(several) == whole
+
+
 def test_heaps_against_a_full_sort():
     """Batches in any order, ties, rows without a score and fewer rows than k."""
     import pyarrow as pa
